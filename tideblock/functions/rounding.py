@@ -10,26 +10,16 @@ SIGNIFICANT_DIGITS = 5
 MAX_DECIMALS = 6
 
 
-def _decimals_allowed(px: Column, max_decimals: int) -> Column:
-    """Decimals left after the significant digits are spent, from exact decimal comparisons with powers of ten."""
-    size = F.abs(px)
-    choice = None
-    # A value of 10^e or more, but below 10^(e+1), has its first digit at exponent e.
-    for exponent in range(19, -19, -1):
-        decimals = min(SIGNIFICANT_DIGITS - 1 - exponent, max_decimals)
-        bound = F.lit(f"1e{exponent}").cast("decimal(38,18)")
-        test = size >= bound
-        choice = F.when(test, F.lit(decimals)) if choice is None else choice.when(test, F.lit(decimals))
-    return choice.otherwise(F.lit(max_decimals))
-
-
 def round_price(px: Column, max_decimals: int = MAX_DECIMALS) -> Column:
+    """Half-up, from exact decimal comparisons: one branch per first digit's place that limits the decimals."""
     value = px.cast("decimal(38,18)")
-    decimals = _decimals_allowed(value, max_decimals)
-    out = F.when(value == 0, F.lit(0))
-    for d in range(max_decimals, SIGNIFICANT_DIGITS - 1 - 20, -1):
-        out = out.when(decimals == d, F.round(value, d).cast("decimal(38,18)"))
-    return out.cast("decimal(38,18)")
+    size, whole = F.abs(value), "decimal(38,18)"
+    out = F.when(value == 0, value)
+    lowest = SIGNIFICANT_DIGITS - max_decimals
+    for exponent in range(19, lowest - 1, -1):
+        at_least = size >= F.lit(f"1e{exponent}").cast(whole)
+        out = out.when(at_least, F.round(value, SIGNIFICANT_DIGITS - 1 - exponent).cast(whole))
+    return out.otherwise(F.round(value, max_decimals).cast(whole))
 
 
 def round_size(size: Column, decimals: int) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideblock import scratch
 from tideblock.functions import book as bk
-from tideblock.functions import values as val
 from tideblock.operators import ordered
 from tideblock.operators.asof import asof
 
@@ -138,7 +138,8 @@ def rolling_sum(
     """
     time = order[0]
     chunks = ordered.chunk(rows, keys, order)
-    summed = ordered.scan(chunks, keys, order, _upto=ordered.running_sum(F.col(value))).drop(ordered.CHUNK)
+    running = ordered.scan(chunks, keys, order, _upto=ordered.running_sum(F.col(value))).drop(ordered.CHUNK)
+    summed = scratch.keep(running, "running")
     out = asof(
         summed, summed, keys, at=F.col(time) - window_ms, quote_at=time, payload=["_upto"], ties=order[1:],
         strict=True, into="_gone",
@@ -149,7 +150,7 @@ def rolling_sum(
 
 def book_change_summary(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Samples, distinct tops, distinct book hashes and number of changes per key."""
-    state = market_state(rows, keys)
+    state = scratch.keep(market_state(rows, keys), "state")
     basic = state.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if(F.col("top_px_change")).alias("top_changes"),

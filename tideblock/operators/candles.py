@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Milliseconds per interval unit.
@@ -20,6 +20,16 @@ def interval_ms(text: str) -> int:
     return int(match.group(1)) * UNIT_MS[match.group(2)]
 
 
+def interval_ms_of(text: Column) -> Column:
+    """The same for a column of interval texts; null for anything else."""
+    unit = F.lower(F.regexp_extract(text, r"^\s*\d+\s*([mhdMHD])\s*$", 1))
+    count = F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("bigint")
+    length = F.when(F.lit(False), F.lit(0))
+    for name, size in UNIT_MS.items():
+        length = length.when(unit == name, F.lit(size))
+    return count * length
+
+
 def ohlcv(trades: DataFrame, length_ms: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Bars over [t, t + length); first and last by (time, id); empty bars are absent."""
     position = F.struct("ts_ms", "event_id")
@@ -31,7 +41,7 @@ def ohlcv(trades: DataFrame, length_ms: int, keys: Sequence[str] = ("symbol",))
         F.max_by("px", position).alias("c"),
         F.sum("sz").alias("v"),
         F.count(F.lit(1)).alias("n"),
-    ).withColumn("T", F.col("t") + length_ms - 1)
+    ).withColumn("t_end", F.col("t") + length_ms - 1)
 
 
 def roll_up(bars: DataFrame, length_ms: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -44,7 +54,7 @@ def roll_up(bars: DataFrame, length_ms: int, keys: Sequence[str] = ("symbol",))
         F.max_by("c", "t").alias("c"),
         F.sum("v").alias("v"),
         F.sum("n").alias("n"),
-    ).withColumnRenamed("t0", "t").withColumn("T", F.col("t") + length_ms - 1)
+    ).withColumnRenamed("t0", "t").withColumn("t_end", F.col("t") + length_ms - 1)
 
 
 def to_blocks(bars: DataFrame, book_spread_bps: float, interval: str) -> DataFrame:
@@ -52,7 +62,7 @@ def to_blocks(bars: DataFrame, book_spread_bps: float, interval: str) -> DataFra
     close, half = F.col("c").cast("double"), book_spread_bps / 1e4 / 2.0
     return bars.select(
         "symbol",
-        F.col("T").alias("block_ts_ms"),
+        F.col("t_end").alias("block_ts_ms"),
         F.concat_ws(":", F.lit("candle"), "symbol", F.lit(interval), F.col("t").cast("string")).alias("book_event_id"),
         (close * (1.0 - half)).alias("bid_px"),
         F.lit(1.0).alias("bid_sz"),

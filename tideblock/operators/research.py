@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideblock import scratch
 from tideblock.functions import book as bk
 from tideblock.functions.values import finite
 from tideblock.operators import ordered, quantiles
@@ -171,6 +172,8 @@ def edge_screen(
     joined = dataset.join(has_train, list(keys)) if keys else dataset.join(F.broadcast(has_train))
     rows = joined.filter(~F.coalesce(F.col("_has"), F.lit(False)) | (F.col("split") == "train"))
     place = [*keys, "feature"]
+    # Read by every statistic below, so written once, in its narrow wide form.
+    rows = scratch.keep(rows.select(*keys, *order, target, *features), "screen")
     long = feature_rows(rows, features, target, [*keys, *order])
     scores = ic(long, place, order, lag)
     effects = quantile_effect(long, place, q).select(*place, "effect_bps")
@@ -219,6 +222,7 @@ def flow_sign(rows: DataFrame, keys: Sequence[str] = KEYS, flow: str = "signed_v
 
 def risk_label(rows: DataFrame, keys: Sequence[str], q: float, delta: str = "pnl_delta") -> DataFrame:
     """``risk`` marks increments at or below their own q-quantile."""
+    rows = scratch.keep(rows, "risk")
     cut = quantiles.quantile_columns(rows, keys, delta, {"_cut": q})
     return rows.join(cut, list(keys), "left").withColumn(
         "risk", F.coalesce(F.col(delta) <= F.col("_cut"), F.lit(False))
@@ -238,7 +242,8 @@ def threshold_windows(long: DataFrame, keys: Sequence[str], points: Sequence[flo
     ``long`` has (keys, x, risk, delta). Each row is placed once among the sorted thresholds; counts per place
     are then accumulated, so the number of thresholds does not multiply the rows.
     """
-    cuts = quantiles.quantiles(long, keys, "x", points)
+    long = scratch.keep(long, "risk")
+    cuts = scratch.keep(quantiles.quantiles(long, keys, "x", points), "cuts")
     lists = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("_cuts"))
     placed = long.join(lists, list(keys)).withColumns(
         {

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideblock import scratch
 from tideblock.functions import values as val
 from tideblock.operators import ordered, quantiles
 from tideblock.operators.asof import asof
@@ -140,14 +141,15 @@ def fill_markouts(fills: DataFrame, mids: DataFrame, horizons_s: Sequence[int])
     )
     future = F.nullif(F.col("_f.mid"), F.lit(0.0))
     gain = F.when(F.col("side_key") == "buy", future - F.col("px")).otherwise(F.col("px") - future)
-    return hit.withColumn("markout_bps", F.try_divide(gain, future) * 1e4).drop("_f")
+    return scratch.keep(hit.withColumn("markout_bps", F.try_divide(gain, future) * 1e4).drop("_f"), "markouts")
 
 
 def enrich_fills(fills: DataFrame, market: DataFrame, orders: DataFrame, decisions: DataFrame) -> DataFrame:
     """Fills of the run with market, order and decision joins and their edges."""
     mids = market_mids(market)
     inside = scoped_fills(fills, market).filter(~F.col("out_of_run"))
-    return fill_decisions(fill_orders(fill_edges(fill_market(inside, mids)), orders), decisions)
+    # Every fill KPI reads this table, so it is written once.
+    return scratch.keep(fill_decisions(fill_orders(fill_edges(fill_market(inside, mids)), orders), decisions), "fills")
 
 
 def edge_stats(enriched: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def net_by_spread(enriched: DataFrame) -> DataFrame:
 def join_quality(scoped: DataFrame, mids: DataFrame) -> DataFrame:
     """Joined, missed and out-of-run fills, time to the joined state, and the mid source."""
     out = scoped.groupBy(*RUN).agg(F.count_if("out_of_run").alias("out_of_run"))
-    hit = fill_market(scoped.filter(~F.col("out_of_run")), mids)
+    hit = scratch.keep(fill_market(scoped.filter(~F.col("out_of_run")), mids), "joined")
     counts = hit.groupBy(*RUN).agg(
         F.count_if("joined").alias("joined"),
         F.count_if(~F.col("joined")).alias("missed"),

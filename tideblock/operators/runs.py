@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideblock import scratch
 from tideblock.functions import values as val
 from tideblock.operators import ordered, quantiles
 from tideblock.operators.asof import asof
@@ -224,13 +225,16 @@ def flow_markout(
 
     The feature is looked up at the fill's block (the last of duplicate rows); the threshold is per run.
     """
-    known = features.filter(val.finite(F.col(feature))).withColumn("_x", F.col(feature).cast("double"))
+    known = features.filter(val.finite(F.col(feature))).select(
+        *keys, block, "block_ts_ms", F.col(feature).cast("double").alias("_x")
+    )
     lookup = known.groupBy(*keys, block).agg(F.max_by("_x", "block_ts_ms").alias("_x"))
     cut = quantiles.quantile_columns(known, keys, F.abs("_x"), {"threshold": q})
     rows = outcomes.filter(F.col("markout").isNotNull()).join(lookup, [*keys, block]).join(cut, list(keys))
     sign = F.when(F.col("_x") > F.col("threshold"), F.lit("pos")).when(F.col("_x") < -F.col("threshold"), F.lit("neg"))
     side = F.when(F.col("side") == "buy", F.lit("bid")).otherwise(F.lit("ask"))
     groups = rows.withColumns({"quote_side": side, "flow": sign, "_w": notional()}).filter(F.col("flow").isNotNull())
+    groups = scratch.keep(groups.select(*keys, "quote_side", "flow", "markout", "_w", "threshold"), "flow")
     place = [*keys, "quote_side", "flow"]
     points = quantiles.quantile_columns(groups, place, "markout", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     sums = groups.groupBy(*place).agg(

@@ -82,7 +82,7 @@ def _wire(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("status") == "halted", F.lit(" ")).otherwise(F.col("status")).alias("status"))
     fund = v.fundings(spark, sf).select(*head("userFundings"), F.col("funding_id").cast("string").alias("funding_id"),
         text("amount").alias("amount"), F.lit("0.0001").alias("rate"))
-    fill = v.deals(spark, sf).select(*head("userFills"), text("px").alias("px"), text("sz").alias("sz"), text("fee").alias("fee"), "side",
+    fill = v.deals(spark, sf).select(*head("userFills"), text("px").alias("px"), text("sz").alias("sz"), F.col("fee").cast("string").alias("fee"), "side",
         "trade_id", F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("event_id"))
     bbo = v.books(spark, sf).select(*head("bbo"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("event_id"),
         *[text(c).alias(c) for c in bl.TOP])
@@ -94,10 +94,17 @@ def _wire(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def raw_files(spark: SparkSession, sf: str) -> str:
-    path = scratch.new_path(spark, "wire")
-    _wire(spark, sf).write.text(f"{path}/day", compression="gzip")
-    return path
+    """The wire files of ``sf``, written once per application."""
+    key = (spark.conf.get("spark.app.id", ""), sf)
+    if key not in _written:
+        path = scratch.new_path(spark, "wire")
+        _wire(spark, sf).write.text(f"{path}/day", compression="gzip")
+        _written[key] = path
+    return _written[key]
 
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,10 +166,10 @@ def a4d(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ts_ms", "status", F.get_json_object("metadata", "$.oracle_gap").cast("double").alias("oracle_gap"))
 
 
-@query("a4e_parse_user_fills", "deals", "SELECT trade_id, side, px, sz, round(fee, 4) AS fee FROM deals", "px sz fee")
+@query("a4e_parse_user_fills", "deals", "SELECT trade_id, side, px, sz, fee FROM deals", "px sz fee")
 def a4e(spark: SparkSession, sf: str) -> DataFrame:
     rows = ev.valid(ev.parse_events(raw_events(spark, sf))).filter(F.col("event_type") == "user_fill")
-    return rows.select("trade_id", "side", "px", "sz", F.round(F.col("fee").cast("double"), 4).alias("fee"))
+    return rows.select("trade_id", "side", "px", "sz", "fee")
 
 
 @query("a4f_parse_user_fundings", "fundings", "SELECT CAST(funding_id AS VARCHAR) AS funding_id, ts_ms, amount FROM fundings", "amount")
@@ -308,8 +315,8 @@ def b9(spark: SparkSession, sf: str) -> DataFrame:
     return bl.market_state(blocks(spark, sf)).select("symbol", *bl.BLOCK, *_STATE_COLS.split())
 
 
-@query("b15_round_price", "base", """SELECT event_id, CASE WHEN x = 0 THEN 0 ELSE sign(x) * floor(abs(x) * pow(10::DECIMAL(38,0), d) + 0.5) / pow(10::DECIMAL(38,0), d) END AS price
-  FROM (SELECT event_id, x, least(4 - floor(log10(nullif(abs(x), 0))), 4)::INTEGER AS d FROM (SELECT event_id, value * (1 + k) AS x FROM base))""", "price")
+@query("b15_round_price", "base", """SELECT event_id, CASE WHEN x >= 10000 THEN round(x, 0) WHEN x >= 1000 THEN round(x, 1) ELSE x END AS price
+  FROM (SELECT event_id, CAST(value AS DECIMAL(18,2)) * (1 + k) AS x FROM base)""", "price")
 def b15(spark: SparkSession, sf: str) -> DataFrame:
     x = (F.col("value").cast("decimal(18,2)") * (1 + F.col("k"))).cast("decimal(38,18)")
     return v.base(spark, sf).select("event_id", rounding.round_price(x, 4).alias("price"))
@@ -413,25 +420,25 @@ def d1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BAR_SQL = """SELECT symbol, ts_ms // {n} * {n} AS t, arg_min(px, (ts_ms, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts_ms, event_id)) AS c,
-  sum(sz) AS v, count(*) AS n, ts_ms // {n} * {n} + {n} - 1 AS "T_end" FROM trades GROUP BY ALL"""
+  sum(sz) AS v, count(*) AS n, ts_ms // {n} * {n} + {n} - 1 AS t_end FROM trades GROUP BY ALL"""
 
 
 @query("d2_ohlcv_1m", "trades", _BAR_SQL.format(n=60_000), "o h l c v")
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    return cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1m")).withColumnRenamed("T", "T_end")
+    return cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1m"))
 
 
 @query("d2_ohlcv_1h_from_1m", "trades", _BAR_SQL.format(n=3_600_000), "o h l c v")
 def d2h(spark: SparkSession, sf: str) -> DataFrame:
-    return cd.roll_up(cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1m")), cd.interval_ms("1h")).withColumnRenamed("T", "T_end")
+    return cd.roll_up(cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1m")), cd.interval_ms("1h"))
 
 
 @query("a10_d3_rollup_candles", "trades", _BAR_SQL.format(n=2_700_000), "o h l c v")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch.new_path(spark, "candles")
     sinks.write_candles(cd.ohlcv(v.trades(spark, sf), cd.interval_ms("15m")), path, "15m")
-    back = logs.read_candles(spark, path)
-    return cd.roll_up(back, cd.interval_ms("45m")).withColumnRenamed("T", "T_end").select("symbol", "t", "o", "h", "l", "c", "v", "n", "T_end")
+    back = logs.read_candles(spark, path, one_array_per_file=False)
+    return cd.roll_up(back, cd.interval_ms("45m")).select("symbol", "t", "o", "h", "l", "c", "v", "n", "t_end")
 
 
 @query("d47_h14_book_change_diag", "state", """SELECT symbol, count(*) AS samples,

@@ -85,7 +85,7 @@ def fundings(spark: SparkSession, sf: str) -> DataFrame:
 
 def deals(spark: SparkSession, sf: str) -> DataFrame:
     """Own fills: every trade, with a fee."""
-    return trades(spark, sf).withColumn("fee", F.col("px") * F.col("sz") * 1.5e-4)
+    return trades(spark, sf).withColumn("fee", F.col("sz") * 0.015)
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +185,7 @@ def log_fills(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.when(k == 44, F.lit("?")).when(F.col("event_type") == "purchase", F.lit("B")).otherwise(F.lit("A")).alias("side"),
         F.when(k != 17, F.col("px0")).alias("px"), (F.col("k") % 10).cast("double").alias("sz"),
-        F.when(k != 21, F.col("px0") * (k % 10) * 1.5e-4).alias("fee"), (k % 25 == 4).alias("crossed"),
+        F.when(k != 21, (k % 10) * 0.015).alias("fee"), (k % 25 == 4).alias("crossed"),
         F.when(k % 8 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("cloid"),
     )
 
@@ -257,7 +257,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         """SELECT run_id, symbol, ts_ms, event_id AS funding_id, (k - 50) / 1000.0::DOUBLE AS amount
           FROM base WHERE event_type = 'signup'""",
     ),
-    "deals": (["trades"], "SELECT *, px * sz * 1.5e-4 AS fee FROM trades"),
+    "deals": (["trades"], "SELECT *, sz * 0.015::DOUBLE AS fee FROM trades"),
     "ledger": (
         ["base"],
         f"""SELECT variant AS run_id, ts_ms AS block_ts_ms, event_id AS book_event_id, (k - 50) / 10.0::DOUBLE * (1 + n) AS position,
@@ -308,7 +308,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         ["base"],
         """SELECT run_id, ts_ms + (k - 50) * 1000 AS time, event_id AS seq,
           CASE WHEN k = 44 THEN '?' WHEN event_type = 'purchase' THEN 'B' ELSE 'A' END AS side, CASE WHEN k <> 17 THEN px0 END AS px,
-          (k % 10)::DOUBLE AS sz, CASE WHEN k <> 21 THEN px0 * (k % 10) * 1.5e-4 END AS fee, k % 25 = 4 AS crossed,
+          (k % 10)::DOUBLE AS sz, CASE WHEN k <> 21 THEN (k % 10) * 0.015::DOUBLE END AS fee, k % 25 = 4 AS crossed,
           CASE WHEN k % 8 <> 0 THEN 'c' || user_id END AS cloid FROM base WHERE event_type IN ('purchase', 'error')""",
     ),
     "log_events": (

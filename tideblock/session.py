@@ -18,5 +18,5 @@ def local_session(cores: str | int = 8, name: str = "tideblock", **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark

@@ -69,7 +69,17 @@ def _blank(c: Column) -> Column:
 def parse_events(raw: DataFrame) -> DataFrame:
     """Typed columns of all channels with ``is_valid`` and ``errors``."""
     channel = F.coalesce(F.nullif("channel", F.lit("")), F.nullif("type", F.lit("")))
-    rows = raw.withColumn("_c", channel)
+    # Numbers and levels are parsed once, here; the checks below only look at the results.
+    rows = raw.withColumns(
+        {
+            "_c": channel,
+            "_pairs": F.exists("bids", lambda x: F.size(x) != 2) | F.exists("asks", lambda x: F.size(x) != 2),
+            "bids": book_levels("bids"),
+            "asks": book_levels("asks"),
+            **{c: val.to_decimal(F.col(c)) for c in NEEDS_NUMBER},
+            **{c: F.trim(c) for c in ("symbol", *NEEDS_TEXT)},
+        }
+    )
     on = lambda names: F.coalesce(F.col("_c").isin(names), F.lit(False))
     problems = [
         (F.col("_corrupt").isNotNull(), "corrupt"),
@@ -80,39 +90,23 @@ def parse_events(raw: DataFrame) -> DataFrame:
         (on(NEEDS_TIME) & F.col("ts_ms").isNull(), "ts_ms"),
     ]
     problems += [(on(names) & _blank(F.col(c)), c) for c, names in NEEDS_TEXT.items()]
-    problems += [(on(names) & val.to_decimal(F.col(c)).isNull(), c) for c, names in NEEDS_NUMBER.items()]
+    problems += [(on(names) & F.col(c).isNull(), c) for c, names in NEEDS_NUMBER.items()]
     for side in ("bids", "asks"):
-        parsed = book_levels(side)
-        broken = F.exists(parsed, lambda x: x["px"].isNull() | x["sz"].isNull()) | F.exists(
-            F.col(side), lambda x: F.size(x) != 2
-        )
-        problems.append((on(["l2Book"]) & (parsed.isNull() | F.coalesce(broken, F.lit(False))), side))
+        broken = F.exists(side, lambda x: x["px"].isNull() | x["sz"].isNull()) | F.col("_pairs")
+        problems.append((on(["l2Book"]) & (F.col(side).isNull() | F.coalesce(broken, F.lit(False))), side))
     errors = F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in problems]), lambda e: e.isNotNull())
     kind = F.lit(None).cast("string")
     for name, event_type in CHANNELS.items():
         kind = F.when(F.col("_c") == name, F.lit(event_type)).otherwise(kind)
-    symbol = F.trim("symbol")
-    numbers = {c: val.to_decimal(F.col(c)) for c in NEEDS_NUMBER}
-    event_id = val.event_id(F.col("event_id"), F.col("_c"), symbol, F.col("ts_ms"), F.col("recv_ts_ms"))
-    typed = rows.withColumns(
-        {
-            "errors": errors,
-            "event_type": kind,
-            "event_id": event_id,
-            "symbol": symbol,
-            "bids": book_levels("bids"),
-            "asks": book_levels("asks"),
-            **numbers,
-            **{c: F.trim(c) for c in NEEDS_TEXT},
-        }
-    )
+    event_id = val.event_id(F.col("event_id"), F.col("_c"), F.col("symbol"), F.col("ts_ms"), F.col("recv_ts_ms"))
+    typed = rows.withColumns({"errors": errors, "event_type": kind, "event_id": event_id})
     trade_key = F.concat_ws(":", "symbol", "trade_id", F.col("ts_ms").cast("string"))
     return typed.withColumns(
         {
             "is_valid": F.size("errors") == 0,
             "dedupe_key": F.when(F.col("event_type") == "trade", trade_key).otherwise(F.col("event_id")),
         }
-    ).drop("_c", "channel", "type", "levels")
+    ).drop("_c", "_pairs", "channel", "type", "levels")
 
 
 def valid(parsed: DataFrame) -> DataFrame:

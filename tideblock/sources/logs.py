@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideblock.functions import values as val
+from tideblock.operators.candles import interval_ms_of
 from tideblock.sources.schemas import ACCOUNT_STATE, CANDLE, METRICS, RUN_LOGS, RUN_REPORT
 
 
@@ -65,11 +66,12 @@ def read_run_reports(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_candles(spark: SparkSession, path: str) -> DataFrame:
-    """Files holding one JSON array of candles each; prices and volume as decimals."""
-    rows = spark.read.schema(CANDLE).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+def read_candles(spark: SparkSession, path: str, one_array_per_file: bool = True) -> DataFrame:
+    """JSON arrays of candles, one per file or one per line; prices and volume as decimals."""
+    rows = spark.read.schema(CANDLE).option("multiLine", str(one_array_per_file).lower()).option("recursiveFileLookup", "true").json(path)
     numbers = {c: val.to_decimal(F.col(c)) for c in ("o", "c", "h", "l", "v")}
-    return rows.withColumns(numbers).withColumnRenamed("s", "symbol")
+    ends = F.col("t") + interval_ms_of(F.col("i")) - 1
+    return rows.withColumns(numbers).withColumn("t_end", ends).withColumnRenamed("s", "symbol")
 
 
 def read_account_states(spark: SparkSession, path: str) -> DataFrame:

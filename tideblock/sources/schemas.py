@@ -9,7 +9,8 @@ bid_px STRING, bid_sz STRING, ask_px STRING, ask_sz STRING, px STRING, sz STRING
 status STRING, metadata STRING, fee STRING, amount STRING, rate STRING, funding_id STRING, _corrupt STRING
 """
 
-CANDLE = "t BIGINT, T BIGINT, s STRING, i STRING, o STRING, c STRING, h STRING, l STRING, v STRING, n BIGINT"
+# The wire also has T, the last millisecond; names differing only in case cannot share a schema, so it is derived.
+CANDLE = "t BIGINT, s STRING, i STRING, o STRING, c STRING, h STRING, l STRING, v STRING, n BIGINT"
 
 NODE_TRADE = "coin STRING, side STRING, time STRING, px STRING, sz STRING, hash STRING, tid BIGINT"
 

@@ -38,6 +38,14 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_candles(bars: DataFrame, path: str, interval: str) -> None:
-    """Candles in wire form: decimals as text without trailing zeros."""
-    text = {c: decimal_text(F.col(c).cast("decimal(38,18)"), strip_zeros=True) for c in ("o", "c", "h", "l", "v")}
-    write_json_lines(bars.withColumns(text).withColumn("i", F.lit(interval)).withColumnRenamed("symbol", "s"), path)
+    """Candles in wire form, decimals as text without trailing zeros: one array per line, of a symbol's UTC day."""
+    text = lambda c: decimal_text(F.col(c).cast("decimal(38,18)"), strip_zeros=True).alias(c)
+    wire = F.struct(
+        "t", F.col("t_end").alias("T"), F.col("symbol").alias("s"), F.lit(interval).alias("i"), *[text(c) for c in ("o", "c", "h", "l", "v")], "n"
+    )
+    day = F.floor(F.col("t") / F.lit(86_400_000))
+    arrays = bars.select("symbol", day.alias("day"), "t", wire.alias("w")).groupBy("symbol", "day").agg(
+        F.sort_array(F.collect_list(F.struct("t", "w"))).alias("a")
+    )
+    text_rows = arrays.select(F.to_json(F.transform("a", lambda x: x["w"])).alias("value"))
+    text_rows.write.mode("overwrite").text(path)
