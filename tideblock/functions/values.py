@@ -152,4 +152,4 @@ def time_tag(ts_ms: Column) -> Column:
 
 def micros_to_ms(ts: Column) -> Column:
     """Epoch milliseconds of a timestamp, rounded down."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(1000)).cast("bigint")
+    return F.unix_millis(ts.cast("timestamp"))

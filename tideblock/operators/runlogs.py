@@ -146,10 +146,12 @@ def fill_markouts(fills: DataFrame, mids: DataFrame, horizons_s: Sequence[int])
 
 def enrich_fills(fills: DataFrame, market: DataFrame, orders: DataFrame, decisions: DataFrame) -> DataFrame:
     """Fills of the run with market, order and decision joins and their edges."""
-    mids = market_mids(market)
-    inside = scoped_fills(fills, market).filter(~F.col("out_of_run"))
-    # Every fill KPI reads this table, so it is written once.
-    return scratch.keep(fill_decisions(fill_orders(fill_edges(fill_market(inside, mids)), orders), decisions), "fills")
+    # An as-of join reads its probes twice, so a chain of them doubles the work at every link unless each link is
+    # written. The last write serves every fill KPI.
+    inside = scratch.keep(scoped_fills(fills, market).filter(~F.col("out_of_run")), "fills")
+    priced = scratch.keep(fill_edges(fill_market(inside, market_mids(market))), "fills")
+    matched = scratch.keep(fill_orders(priced, orders), "fills")
+    return scratch.keep(fill_decisions(matched, decisions), "fills")
 
 
 def edge_stats(enriched: DataFrame) -> DataFrame:
@@ -368,7 +370,9 @@ def reject_breakdown(orders: DataFrame) -> DataFrame:
         {
             "reject_class": F.when(_on("pre_send_marketable"), F.lit("class1")).otherwise(F.lit("class2")),
             "side_key": _side(),
-            "spread_ticks": F.coalesce(F.format_string("%.1f", F.col("pre_send_spread_ticks")), F.lit("none")),
+            "spread_ticks": F.when(
+                F.col("pre_send_spread_ticks").isNotNull(), F.format_string("%.1f", F.col("pre_send_spread_ticks"))
+            ).otherwise(F.lit("none")),
             "round_mode": F.coalesce("pre_send_round_mode", F.lit("none")),
             "bucket": _bucket(),
             "applied": F.when(_on("risk_escape_applied"), F.lit("applied")).otherwise(F.lit("inactive")),

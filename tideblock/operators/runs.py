@@ -120,6 +120,7 @@ def fill_outcomes(fills: DataFrame, mids: DataFrame, horizons_ms: Sequence[int],
     """
     quote = dict(quote_at="mid_ts_ms", payload=["mid"], ties=["mid_id"])
     now = asof(fills.filter(F.col("side").isNotNull()), mids, keys, at="block_ts_ms", into="_now", **quote)
+    now = scratch.keep(now, "outcomes")
     asked = now.withColumn("horizon_ms", F.explode(F.array(*[F.lit(int(h)).cast("bigint") for h in horizons_ms])))
     hit = asof(
         asked, mids, keys, at=F.col("block_ts_ms") + F.col("horizon_ms"), direction="forward", into="_future", **quote

@@ -13,12 +13,27 @@ from tideblock.plans.views import with_ctes
 
 Build = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+# Added before rounding: an exact tie in the seventh digit must not hang on the last bit of a sum.
+NUDGE = 1.37e-8
 
 
 @dataclass(frozen=True)
 class Query:
     build: Build
-    sql: str | None
+    needs: str
+    text: str | None
+    doubles: str
+    ints: str
+
+    @property
+    def sql(self) -> str | None:
+        """The SQL with its views, and with columns rounded and cast like the Spark side."""
+        if self.text is None:
+            return None
+        swaps = [f"round(CAST({c} AS DOUBLE) + {NUDGE}::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in self.doubles.split()]
+        swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints.split()]
+        inner = with_ctes(self.needs, self.text) if self.needs else self.text
+        return f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({inner})" if swaps else inner
 
 
 QUERIES: dict[str, Query] = {}
@@ -29,7 +44,7 @@ def _plain(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out[f.name] = F.round(F.col(f.name).cast("double"), DIGITS) + F.lit(0.0)
+            out[f.name] = F.round(F.col(f.name).cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             out[f.name] = F.col(f.name).cast("bigint")
     return df.withColumns(out) if out else df
@@ -39,15 +54,9 @@ def query(name: str, needs: str = "", sql: str | None = None, doubles: str = "",
     """Register a query. ``needs`` names the CTEs of ``sql``; ``doubles`` and ``ints`` its columns to round or cast."""
 
     def register(build: Build) -> Build:
-        text = None
-        if sql is not None:
-            swaps = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0::DOUBLE AS {c}" for c in doubles.split()]
-            swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
-            inner = with_ctes(needs, sql) if needs else sql
-            text = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({inner})" if swaps else inner
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(lambda spark, sf: _plain(build(spark, sf)), text)
+        QUERIES[name] = Query(lambda spark, sf: _plain(build(spark, sf)), needs, sql, doubles, ints)
         return build
 
     return register

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideblock import scratch
@@ -18,7 +18,6 @@ from tideblock.sources import logs, sinks
 
 DAY = 24 * v.HOUR_MS
 WINDOW, STEP, COUNT = 4 * DAY, DAY, 20
-BASE = F.col("run_id") == "base"
 
 _INC = ", ".join(
     f"{c} - COALESCE(lag({c} IGNORE NULLS) OVER w, 0) AS d_{c}" for c in rn.DELTA_COLUMNS
@@ -84,9 +83,13 @@ v.CTES.update(
 )
 
 
+def base_run() -> Column:
+    return F.col("run_id") == "base"
+
+
 def window(spark: SparkSession, sf: str) -> DataFrame:
     """The blocks in which the base run halted."""
-    return rn.window_keys(v.ledger(spark, sf), F.col("halt_triggered"), run=BASE)
+    return rn.window_keys(v.ledger(spark, sf), F.col("halt_triggered"), run=base_run())
 
 
 # ---- run metrics ----
@@ -207,7 +210,7 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT f.run_id, count(*) AS fills, sum(price * size) AS notional FROM run_fills f JOIN a USING (run_id, book_event_id) GROUP BY ALL) USING (run_id)""", "avg_abs_pos notional")
 def c21(spark: SparkSession, sf: str) -> DataFrame:
     led = v.ledger(spark, sf)
-    return rn.unwind_outside_window(led, v.run_fills(spark, sf), rn.window_keys(led, F.col("pull_triggered"), run=BASE))
+    return rn.unwind_outside_window(led, v.run_fills(spark, sf), rn.window_keys(led, F.col("pull_triggered"), run=base_run()))
 
 
 @query("e5_pnl_delta", "ledger", f"SELECT run_id, book_event_id, total_pnl - COALESCE(lag(total_pnl) OVER w, 0) AS delta_total_pnl, price_pnl - COALESCE(lag(price_pnl) OVER w, 0) AS delta_price_pnl FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY block_ts_ms, book_event_id)", "delta_total_pnl delta_price_pnl")
@@ -346,7 +349,7 @@ PARAMS = {
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
     """Quoting states from the base run's ledger."""
-    led = v.ledger(spark, sf).filter(BASE)
+    led = v.ledger(spark, sf).filter(base_run())
     imb = F.col("signed_volume") / 100
     return rn.drawdown(led).select(
         "book_event_id", "block_ts_ms", F.col("mark_price").alias("mid"), "position", "drawdown", "market_spread_bps", "abs_mid_ret", "signed_volume",
@@ -452,12 +455,12 @@ v.CTES["eligible"] = (
 )
 
 
-@query("c16_j2_fill_upper", "eligible", "SELECT order_id, least(size, vol) AS fill_size, val / vol AS fill_price, trades_used FROM eligible", "fill_size fill_price")
+@query("c16_j2_fill_upper", "eligible", "SELECT order_id, CASE WHEN vol IS NOT NULL THEN least(size, vol) END AS fill_size, val / vol AS fill_price, trades_used FROM eligible", "fill_size fill_price")
 def c16(spark: SparkSession, sf: str) -> DataFrame:
     return of.evaluate(block_orders(spark, sf), bucketed(spark, sf)).select("order_id", "fill_size", "fill_price", "trades_used")
 
 
-@query("c16_j2_fill_lower_alphas", "eligible", "SELECT order_id, alpha, least(size, vol3 * alpha) AS fill_size, val3 / vol3 AS fill_price, n3 AS trades_used FROM eligible, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) a(alpha)", "alpha fill_size fill_price")
+@query("c16_j2_fill_lower_alphas", "eligible", "SELECT order_id, alpha, CASE WHEN vol3 IS NOT NULL THEN least(size, vol3 * alpha) END AS fill_size, val3 / vol3 AS fill_price, n3 AS trades_used FROM eligible, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) a(alpha)", "alpha fill_size fill_price")
 def c16l(spark: SparkSession, sf: str) -> DataFrame:
     out = of.evaluate(block_orders(spark, sf), bucketed(spark, sf), model="lower", alpha=[0.3, 0.5, 0.7], prints=3)
     return out.select("order_id", "alpha", "fill_size", "fill_price", "trades_used")

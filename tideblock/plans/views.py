@@ -128,8 +128,8 @@ def log_market(spark: SparkSession, sf: str) -> DataFrame:
     k, e = F.col("k"), F.col("event_id")
     return b.select(
         "run_id", "ts_ms", e.alias("seq"),
-        F.when(k >= 5, F.round(F.col("px0") - 0.01 * (1 + e % 5), 2)).alias("best_bid"),
-        F.when(k >= 5, F.round(F.col("px0") + 0.01 * (1 + e % 7), 2)).alias("best_ask"),
+        F.when(k >= 5, F.round(F.col("px0") - 0.01 * (1 + e % 5), 4)).alias("best_bid"),
+        F.when(k >= 5, F.round(F.col("px0") + 0.01 * (1 + e % 7), 4)).alias("best_ask"),
         F.when(k.isin(3, 4), F.col("px0")).alias("mid"), F.when(k > 0, F.col("px0")).alias("mark_px"),
         F.when(k != 9, k % 5 == 0).alias("spread_filter_active"), (k < 6).alias("boost_active"),
         (k == 99).alias("reconnect"), (k % 2 == 0).alias("top_px_change"),
@@ -144,8 +144,8 @@ def log_decisions(spark: SparkSession, sf: str) -> DataFrame:
         "run_id", "ts_ms", e.alias("seq"), (k >= 90).alias("boost_active"),
         F.when(~idle, 1.0 + k / 10.0).alias("raw_bid_sz"), F.when(~idle, 0.0 + k / 10.0).alias("raw_ask_sz"),
         (k % 8 == 0).alias("halt_triggered"), (k % 12 == 0).alias("stop_triggered"), (k % 5 == 0).alias("spread_filter_active"),
-        F.when(k > 1, F.round(F.col("px0") - 0.01 * (1 + e % 3), 2)).alias("final_bid_px"),
-        F.when(k > 1, F.round(F.col("px0") + 0.01 * (1 + e % 3), 2)).alias("final_ask_px"),
+        F.when(k > 1, F.round(F.col("px0") - 0.01 * (1 + e % 3), 4)).alias("final_bid_px"),
+        F.when(k > 1, F.round(F.col("px0") + 0.01 * (1 + e % 3), 4)).alias("final_ask_px"),
         F.lit(1.0).alias("base_size"), (1.0 + k / 100.0).alias("final_bid_sz"), (0.9 + k / 90.0).alias("final_ask_sz"),
         (k == 13).alias("crossed"),
     )
@@ -276,8 +276,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "log_market": (
         ["base"],
-        """SELECT run_id, ts_ms, event_id AS seq, CASE WHEN k >= 5 THEN round(px0 - 0.01::DOUBLE * (1 + event_id % 5), 2) END AS best_bid,
-          CASE WHEN k >= 5 THEN round(px0 + 0.01::DOUBLE * (1 + event_id % 7), 2) END AS best_ask, CASE WHEN k IN (3, 4) THEN px0 END AS mid,
+        """SELECT run_id, ts_ms, event_id AS seq, CASE WHEN k >= 5 THEN round(px0 - 0.01::DOUBLE * (1 + event_id % 5), 4) END AS best_bid,
+          CASE WHEN k >= 5 THEN round(px0 + 0.01::DOUBLE * (1 + event_id % 7), 4) END AS best_ask, CASE WHEN k IN (3, 4) THEN px0 END AS mid,
           CASE WHEN k > 0 THEN px0 END AS mark_px, CASE WHEN k <> 9 THEN k % 5 = 0 END AS spread_filter_active,
           k < 6 AS boost_active, k = 99 AS reconnect, k % 2 = 0 AS top_px_change FROM base""",
     ),
@@ -285,8 +285,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         ["base"],
         """SELECT run_id, ts_ms, event_id AS seq, k >= 90 AS boost_active, CASE WHEN k % 4 <> 0 THEN 1 + k / 10.0::DOUBLE END AS raw_bid_sz,
           CASE WHEN k % 4 <> 0 THEN k / 10.0::DOUBLE END AS raw_ask_sz, k % 8 = 0 AS halt_triggered, k % 12 = 0 AS stop_triggered,
-          k % 5 = 0 AS spread_filter_active, CASE WHEN k > 1 THEN round(px0 - 0.01::DOUBLE * (1 + event_id % 3), 2) END AS final_bid_px,
-          CASE WHEN k > 1 THEN round(px0 + 0.01::DOUBLE * (1 + event_id % 3), 2) END AS final_ask_px, 1.0::DOUBLE AS base_size,
+          k % 5 = 0 AS spread_filter_active, CASE WHEN k > 1 THEN round(px0 - 0.01::DOUBLE * (1 + event_id % 3), 4) END AS final_bid_px,
+          CASE WHEN k > 1 THEN round(px0 + 0.01::DOUBLE * (1 + event_id % 3), 4) END AS final_ask_px, 1.0::DOUBLE AS base_size,
           1 + k / 100.0::DOUBLE AS final_bid_sz, 0.9::DOUBLE + k / 90.0::DOUBLE AS final_ask_sz, k = 13 AS crossed FROM base""",
     ),
     "log_orders": (
