@@ -17,15 +17,18 @@ from tideblock.operators import ordered
 SUMMARY_POINTS = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, points: Sequence[float]) -> DataFrame:
-    """(keys, ``p``, ``q``) for every point; groups without a finite value are absent."""
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str | Column, points: Sequence[float], weight: str | None = None
+) -> DataFrame:
+    """(keys, ``p``, ``q``) for every point; groups without a finite value are absent. ``weight`` counts copies."""
     column = (F.col(value) if isinstance(value, str) else value).cast("double")
+    copies = F.lit(1) if weight is None else F.col(weight)
     counted = (
-        df.select(*keys, column.alias("_x"))
+        df.select(*keys, column.alias("_x"), copies.cast("bigint").alias("_n"))
         .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
         .withColumn("_x", F.col("_x") + F.lit(0.0))
         .groupBy(*keys, "_x")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_n").alias("_n"))
     )
     chunks = ordered.chunk(counted, keys, ["_x"])
     ranked = ordered.scan(chunks, keys, ["_x"], _upto=ordered.running_sum(F.col("_n")))

@@ -200,7 +200,8 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 def flow_sign(rows: DataFrame, keys: Sequence[str] = KEYS, flow: str = "signed_volume", order: Sequence[str] = BLOCK) -> DataFrame:
     """Mean present and next return by sign of the flow, and their correlations with it."""
-    near = ordered.over(rows, keys, order, _p=ordered.previous(F.col("mid")), _n=ordered.following(F.col("mid")))
+    narrow = rows.select(*keys, *order, "mid", flow)
+    near = ordered.over(narrow, keys, order, _p=ordered.previous(F.col("mid")), _n=ordered.following(F.col("mid")))
     sv = F.col(flow)
     data = near.withColumns(
         {"_now": bk.simple_return(F.col("mid"), F.col("_p")), "_fwd": bk.simple_return(F.col("_n"), F.col("mid"))}
@@ -239,43 +240,36 @@ def _scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def threshold_windows(long: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
     """Every (quantile threshold, direction) of a feature as a risk window.
 
-    ``long`` has (keys, x, risk, delta). Each row is placed once among the sorted thresholds; counts per place
-    are then accumulated, so the number of thresholds does not multiply the rows.
+    ``long`` has (keys, x, risk, delta). Rows are summed per distinct x, the thresholds are put among the values (once
+    before and once after their equals), and one chunked running sum gives what lies below and up to each. The
+    number of thresholds does not multiply the rows.
     """
-    long = scratch.keep(long, "risk")
-    cuts = scratch.keep(quantiles.quantiles(long, keys, "x", points), "cuts")
-    lists = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("_cuts"))
-    placed = long.join(lists, list(keys)).withColumns(
-        {
-            # number of thresholds <= x, and number < x
-            "_ge": F.size(F.filter("_cuts", lambda c: c["q"] <= F.col("x"))),
-            "_gt": F.size(F.filter("_cuts", lambda c: c["q"] < F.col("x"))),
-        }
+    sums = {"n": F.lit(1), "r": F.col("risk").cast("int"), "dn": F.col("delta").isNotNull().cast("int")}
+    place = [*keys, "x"]
+    values = scratch.keep(
+        long.groupBy(*place).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.coalesce(F.sum("delta"), F.lit(0.0)).alias("ds")),
+        "values",
     )
-    ok = F.col("delta").isNotNull()
-    counts = placed.groupBy(*keys, "_ge", "_gt").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("risk")).alias("r"),
-        F.count_if(ok).alias("dn"),
-        F.sum("delta").alias("ds"),
+    names = [*sums, "ds"]
+    cuts = scratch.keep(quantiles.quantiles(values, keys, "x", points, weight="n"), "cuts")
+    marks = cuts.select(*keys, F.col("q").alias("x"), "p", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind"))
+    series = values.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    run = ordered.over(
+        series, keys, ["x", "kind", "p"], **{f"_{n}": ordered.running_sum(F.coalesce(F.col(n), F.lit(0))) for n in names}
+    ).filter(F.col("kind") != 1)
+    at = lambda kind, n: F.max(F.when(F.col("kind") == kind, F.col(f"_{n}")))
+    placed = run.groupBy(*keys, "p").agg(
+        F.max("x").alias("threshold"),
+        *[at(0, n).alias(f"below_{n}") for n in names],
+        *[at(2, n).alias(f"lt_{n}") for n in names],
     )
-    # At most len(points)^2 small rows per key from here on.
-    total = counts.groupBy(*keys).agg(*[F.sum(c).alias(f"_t{c}") for c in ("n", "r", "dn", "ds")])
-    steps = cuts.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("p")))
-    grid = steps.join(counts, list(keys))
-    inside = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0))
-    gt, lt = F.col("_ge") >= F.col("_i"), F.col("_gt") < F.col("_i")
-    sums = grid.groupBy(*keys, "p", "q").agg(
-        *[inside(gt, c).alias(f"gt_{c}") for c in ("n", "r", "dn", "ds")],
-        *[inside(lt, c).alias(f"lt_{c}") for c in ("n", "r", "dn", "ds")],
-    ).join(total, list(keys))
+    total = values.groupBy(*keys).agg(*[F.sum(n).alias(f"_t{n}") for n in names])
     both = F.array(
-        *[
-            F.struct(F.lit(m).alias("mode"), *[F.col(f"{m}_{c}").alias(c) for c in ("n", "r", "dn", "ds")])
-            for m in ("gt", "lt")
-        ]
+        F.struct(F.lit("gt").alias("mode"), *[(F.col(f"_t{n}") - F.col(f"below_{n}")).alias(n) for n in names]),
+        F.struct(F.lit("lt").alias("mode"), *[F.col(f"lt_{n}").alias(n) for n in names]),
     )
-    rows = sums.select(*keys, "p", F.col("q").alias("threshold"), "_tn", "_tr", "_tdn", "_tds", F.inline(both))
+    joined = placed.join(total, list(keys))
+    rows = joined.select(*keys, "p", "threshold", *[f"_t{n}" for n in names], F.inline(both))
     tp, fp, fn = F.col("r"), F.col("n") - F.col("r"), F.col("_tr") - F.col("r")
     return rows.withColumns(
         {

@@ -75,7 +75,7 @@ def drawdown(ledger: DataFrame, keys: Sequence[str] = RUN, from_zero: bool = Fal
 
 
 def max_drawdown(ledger: DataFrame, keys: Sequence[str] = RUN, from_zero: bool = False) -> DataFrame:
-    return drawdown(ledger, keys, from_zero).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
+    return drawdown(ledger.select(*keys, *BLOCK, "total_pnl"), keys, from_zero).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
 
 
 def increments(ledger: DataFrame, columns: Sequence[str], keys: Sequence[str] = RUN, skip_null: bool = False) -> DataFrame:
@@ -89,7 +89,7 @@ def increments(ledger: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 def pnl_when(ledger: DataFrame, flags: Sequence[str] = FLAGS, keys: Sequence[str] = RUN) -> DataFrame:
     """Sum of pnl increments inside and outside each flag."""
-    rows = increments(ledger, ["total_pnl"], keys)
+    rows = increments(ledger.select(*keys, *BLOCK, "total_pnl", *flags), ["total_pnl"], keys)
     on = lambda c: F.coalesce(F.col(c), F.lit(False))
     d = F.col("delta_total_pnl")
     return rows.groupBy(*keys).agg(
@@ -157,7 +157,7 @@ def mark_window(rows: DataFrame, keys_in: DataFrame, block: str = "book_event_id
 
 def split_pnl(ledger: DataFrame, keys_in: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Sums of increments of every pnl part inside and outside the window."""
-    rows = increments(ledger, DELTA_COLUMNS, keys, skip_null=True)
+    rows = increments(ledger.select(*keys, *BLOCK, *DELTA_COLUMNS), DELTA_COLUMNS, keys, skip_null=True)
     return mark_window(rows, keys_in).groupBy(*keys, "in_window").agg(
         *[F.coalesce(F.sum(f"delta_{c}"), F.lit(0.0)).alias(c) for c in DELTA_COLUMNS]
     )
@@ -175,7 +175,8 @@ def split_inventory(ledger: DataFrame, keys_in: DataFrame, keys: Sequence[str] =
 
 def split_exposure(ledger: DataFrame, keys_in: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Previous position against the price change: sum of products, means, correlation."""
-    near = ordered.over(ledger, keys, BLOCK, _p=ordered.previous(F.struct("position", "mark_price")))
+    narrow = ledger.select(*keys, *BLOCK, "position", "mark_price")
+    near = ordered.over(narrow, keys, BLOCK, _p=ordered.previous(F.struct("position", "mark_price")))
     rows = near.filter(F.col("_p").isNotNull()).withColumns(
         {"_pos": F.coalesce("_p.position", F.lit(0.0)), "_d": F.col("mark_price") - F.col("_p.mark_price")}
     ).filter(F.col("_d").isNotNull())

@@ -187,7 +187,8 @@ def d21(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def risk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rn.increments(v.ledger(spark, sf), ["total_pnl"]).withColumnRenamed("delta_total_pnl", "pnl_delta")
+    narrow = v.ledger(spark, sf).select("run_id", *bl.BLOCK, "total_pnl", "market_spread_bps", "signed_volume", "abs_mid_ret")
+    rows = rn.increments(narrow, ["total_pnl"]).withColumnRenamed("delta_total_pnl", "pnl_delta")
     return rs.risk_label(rows, rn.RUN, 0.10)
 
 

@@ -215,12 +215,12 @@ def c21(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e5_pnl_delta", "ledger", f"SELECT run_id, book_event_id, total_pnl - COALESCE(lag(total_pnl) OVER w, 0) AS delta_total_pnl, price_pnl - COALESCE(lag(price_pnl) OVER w, 0) AS delta_price_pnl FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY block_ts_ms, book_event_id)", "delta_total_pnl delta_price_pnl")
 def e5(spark: SparkSession, sf: str) -> DataFrame:
-    return rn.increments(v.ledger(spark, sf), ["total_pnl", "price_pnl"]).select("run_id", "book_event_id", "delta_total_pnl", "delta_price_pnl")
+    return rn.increments(v.ledger(spark, sf).select("run_id", *bl.BLOCK, "total_pnl", "price_pnl"), ["total_pnl", "price_pnl"]).select("run_id", "book_event_id", "delta_total_pnl", "delta_price_pnl")
 
 
 @query("e6_drawdown", "led_w", "SELECT run_id, min(total_pnl - peak) AS max_drawdown, min(total_pnl - greatest(peak, 0)) AS max_drawdown_from_zero FROM led_w GROUP BY ALL", "max_drawdown max_drawdown_from_zero")
 def e6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rn.drawdown(v.ledger(spark, sf))
+    rows = rn.drawdown(v.ledger(spark, sf).select("run_id", *bl.BLOCK, "total_pnl"))
     peak = F.col("total_pnl") - F.col("drawdown")
     zero = F.min(F.col("total_pnl") - F.greatest(peak, F.lit(0.0)))
     return rows.groupBy("run_id").agg(F.min("drawdown").alias("max_drawdown"), zero.alias("max_drawdown_from_zero"))

@@ -14,6 +14,7 @@ def local_session(cores: str | int = 8, name: str = "tideblock", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
