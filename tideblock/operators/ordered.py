@@ -66,9 +66,12 @@ def row_count() -> Run:
 def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Split every key's series into contiguous chunks of similar size.
 
-    ``order`` must end in a column that makes rows unique, so that even one instant can be split.
+    ``order`` must end in a column that makes rows unique, so that even one instant can be split. The number of
+    chunks is ``spark.tideblock.chunks`` where set, else the session's shuffle partitions (merged when small).
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    by = [F.col(c) for c in [*keys, *order]]
+    wanted = df.sparkSession.conf.get("spark.tideblock.chunks", None)
+    ranged = df.repartitionByRange(int(wanted), *by) if wanted else df.repartitionByRange(*by)
     return scratch.keep(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 

@@ -69,7 +69,8 @@ def i5(spark: SparkSession, sf: str) -> DataFrame:
   prev_id IS NOT NULL AND (bid_px IS DISTINCT FROM prev_bid OR ask_px IS DISTINCT FROM prev_ask) AS top_px_change, (SELECT sum(p.signed_volume_lenient) FROM state p WHERE p.symbol = b.symbol AND p.block_ts_ms >= b.block_ts_ms - 21600000
   AND (p.block_ts_ms, p.book_event_id) <= (b.block_ts_ms, b.book_event_id)) AS signed_volume_window FROM state b""", "mid mid_ret signed_volume_window")
 def i6(spark: SparkSession, sf: str) -> DataFrame:
-    return ss.collect_stream(sm.block_state(as_stream(blocks(spark, sf), "blocks"), 2 * HOUR, 6 * HOUR))
+    rows = scratch.keep(blocks(spark, sf), "blocks")
+    return ss.replay(rows, "block_ts_ms", 3, lambda stream: sm.block_state(stream, 2 * HOUR, 6 * HOUR))
 
 
 @query("i7_stream_session_gaps", "trades", f"""SELECT symbol, start_ms, last_ms, n FROM (SELECT symbol, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) AS g FROM

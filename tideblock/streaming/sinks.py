@@ -36,6 +36,24 @@ def collect_stream(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def replay(df: DataFrame, at: str, slices: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed a table to a stream in time order: append one slice of time, process it, then the next.
+
+    Keeps each micro-batch to one slice, for operators whose input must arrive in order.
+    """
+    spark = df.sparkSession
+    path = scratch.new_path(spark, "replay")
+    low, high = df.agg(F.min(at), F.max(at)).first()  # one row
+    width = (high - low) // slices + 1
+    stream = None
+    for i in range(slices):
+        part = df.filter((F.col(at) >= low + i * width) & (F.col(at) < low + (i + 1) * width))
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = build(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
+        to_parquet(stream, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def last_complete(stream: DataFrame) -> DataFrame:
     """Run a complete-mode aggregation over what has arrived and return its final table.
 
