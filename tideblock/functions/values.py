@@ -134,9 +134,8 @@ def truthy(text: Column) -> Column:
 def decimal_text(value: Column, strip_zeros: bool = False) -> Column:
     """Plain decimal notation, optionally without trailing zeros."""
     text = value.cast("string")
-    if not strip_zeros:
-        return text
-    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")).otherwise(text)
+    # Zeros after the last other decimal, or the whole fraction when it is all zeros.
+    return F.regexp_replace(text, r"(\.[0-9]*[1-9])0+$|\.0*$", "$1") if strip_zeros else text
 
 
 def price_tick(value: Column) -> Column:

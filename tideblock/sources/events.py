@@ -99,7 +99,11 @@ def parse_events(raw: DataFrame) -> DataFrame:
     for name, event_type in CHANNELS.items():
         kind = F.when(F.col("_c") == name, F.lit(event_type)).otherwise(kind)
     event_id = val.event_id(F.col("event_id"), F.col("_c"), F.col("symbol"), F.col("ts_ms"), F.col("recv_ts_ms"))
-    typed = rows.withColumns({"errors": errors, "event_type": kind, "event_id": event_id})
+    # ``line`` is the place in the scan, and settles which of two equal arrivals came first. Being non-deterministic
+    # it also keeps the validity filter above this projection: pushed below, the optimizer derives constraints over
+    # every combination of the parsed columns, which can take minutes.
+    place = {} if raw.isStreaming else {"line": F.monotonically_increasing_id()}
+    typed = rows.withColumns({"errors": errors, "event_type": kind, "event_id": event_id, **place})
     trade_key = F.concat_ws(":", "symbol", "trade_id", F.col("ts_ms").cast("string"))
     return typed.withColumns(
         {
@@ -123,7 +127,7 @@ def dedupe(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     An aggregate, not a window: copies are reduced before the shuffle, so a key copied very often stays cheap.
     """
     keys = keys or ["dedupe_key"]
-    by = [c for c in ("recv_ts_ms", "source_file", "event_id") if c in events.columns]
+    by = [c for c in ("recv_ts_ms", "source_file", "line", "event_id") if c in events.columns]
     rest = [c for c in events.columns if c not in keys]
     first = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_r"))
     return first.select(*keys, "_r.*").select(*events.columns)
@@ -131,11 +135,10 @@ def dedupe(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def as_records(events: DataFrame) -> DataFrame:
     """Flat export form: decimals as plain text."""
-    out = events
-    for field in events.schema.fields:
-        if field.dataType.typeName() == "decimal":
-            out = out.withColumn(field.name, val.decimal_text(F.col(field.name), strip_zeros=True))
-    return out
+    text = {
+        f.name: val.decimal_text(F.col(f.name), strip_zeros=True) for f in events.schema.fields if f.dataType.typeName() == "decimal"
+    }
+    return events.withColumns(text)
 
 
 def filter_symbol(events: DataFrame, symbol: str) -> DataFrame:
