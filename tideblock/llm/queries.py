@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import near_dedup
+from tideblock.llm import near_dedup, quality, substring_dedup
 from tideblock.llm.frames import table
 
 
@@ -14,6 +14,16 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, folder, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, near_dedup.SQL),
+    "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
+    "op10_quality_classifier": (op10_quality_classifier, None),
 }
