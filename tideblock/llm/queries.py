@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import near_dedup, quality, substring_dedup
+from tideblock.llm import decontaminate, near_dedup, packing, quality, substring_dedup, token_counts
 from tideblock.llm.frames import table
 
 
@@ -14,16 +14,31 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pieces(table(spark, folder, "documents"), ids=False)
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removals(table(spark, folder, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, near_dedup.SQL),
+    "op5_benchmark_decontamination": (op5_benchmark_decontamination, decontaminate.SQL),
+    "op7_packing": (op7_packing, None),
     "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
+    "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
 }
