@@ -26,8 +26,22 @@ UNIT = 16
 HASHES = 64
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 FILTER_BITS = 22
-_ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_SALT = mix(np.arange(101, HASHES + 101, dtype=np.uint64))
+_ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SALT = (mix(np.arange(101, HASHES + 101, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_COLUMN = np.arange(HASHES, dtype=np.uint64) << np.uint64(32)
+
+
+def _units(keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(blocks, hashes) minima over each block of ``UNIT`` keys of each set; set d has count[d] blocks and one key at least."""
+    bounds = np.concatenate([[0], count.cumsum()])
+    at = np.repeat(first[:-1], count) + UNIT * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], count))
+    place = np.minimum(at[None, :] + np.arange(UNIT)[:, None], np.repeat(first[1:] - 1, count)[None, :])  # a short block repeats its last key
+    short = (keys >> np.uint64(32)).astype(np.uint32)[place]
+    out, buffer = np.empty((len(at), HASHES), np.uint32), np.empty_like(short)
+    for i, a in enumerate(_ODD):
+        np.multiply(short, a, out=buffer)
+        out[:, i] = np.minimum.reduce(buffer, axis=0)
+    return out
 
 
 class Index:
@@ -42,12 +56,14 @@ class Index:
         for c in np.unique(kind[size > 0]).tolist():
             rows = np.flatnonzero((kind == c) & (size > 0))
             keys = np.concatenate([self.keys[self.first[r] : self.first[r + 1]] for r in rows])
-            starts = np.concatenate([[0], size[rows].cumsum()[:-1]])
-            values = np.stack([np.minimum.reduceat(keys * a, starts) ^ s for a, s in zip(_ODD, _SALT, strict=True)], axis=1)
-            order = np.argsort(values.ravel(), kind="stable")
-            values, owner = values.ravel()[order], np.repeat(rows, HASHES)[order]
+            bounds = np.concatenate([[0], size[rows].cumsum()])
+            count = -(-size[rows] // UNIT)
+            values = np.minimum.reduceat(_units(keys, bounds, count), count.cumsum() - count, axis=0)
             seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[(values & np.uint64(len(seen) - 1)).astype(np.int64)] = True
+            seen[((values ^ _SALT) & np.uint32(len(seen) - 1)).ravel()] = True
+            values = (values.astype(np.uint64) | _COLUMN).ravel()
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(rows, HASHES)[order]
             self.classes.append((c, values, owner, seen))
 
     def shared(self, item: int, keys: np.ndarray) -> tuple[int, int]:
@@ -72,12 +88,7 @@ def candidates(index: Index, runs: np.ndarray, first: np.ndarray) -> set[tuple[i
         return set()
     count = -(-np.diff(first)[full] // UNIT)
     bounds = np.concatenate([[0], count.cumsum()])
-    at = np.repeat(first[:-1][full], count) + UNIT * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], count))
-    blocks = np.empty((len(at), HASHES), np.uint64)
-    buffer = np.empty_like(runs)
-    for i, a in enumerate(_ODD):
-        np.multiply(runs, a, out=buffer)
-        blocks[:, i] = np.minimum.reduceat(buffer, at)
+    blocks = _units(runs, np.append(first[full], first[-1]), count)
     found: set[tuple[int, int]] = set()
     level = 0
     for c, values, owner, seen in index.classes:
@@ -86,9 +97,9 @@ def candidates(index: Index, runs: np.ndarray, first: np.ndarray) -> set[tuple[i
             level += 1
         last = np.zeros(len(blocks), bool)
         last[bounds[1:] - 1] = True
-        windows = np.minimum(blocks, np.where(last[:, None], blocks, np.roll(blocks, -1, axis=0))) ^ _SALT
-        row, column = np.nonzero(seen[(windows & np.uint64(len(seen) - 1)).astype(np.int64)])
-        hit = windows[row, column]
+        windows = np.minimum(blocks, np.where(last[:, None], blocks, np.roll(blocks, -1, axis=0)))
+        row, column = np.nonzero(seen[(windows ^ _SALT) & np.uint32(len(seen) - 1)])
+        hit = windows[row, column].astype(np.uint64) | _COLUMN[column]
         low, high = np.searchsorted(values, hit, side="left"), np.searchsorted(values, hit, side="right")
         some = high > low
         row, low, high = row[some], low[some], high[some]

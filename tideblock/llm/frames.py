@@ -37,6 +37,32 @@ def by_slice(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.Reco
     return run
 
 
+class Cache:
+    """Values by key for a task's process, in bounded memory: of a full half, only keys asked for again stay."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, keys: list, compute: Callable[[list], Iterable]) -> list:
+        """Values of distinct keys; ``compute`` gets those that are not held."""
+        out = [self.old.get(k) for k in keys]
+        rest = [i for i, v in enumerate(out) if v is None]
+        fresh = []
+        for i in rest:
+            v = self.young.pop(keys[i], None)
+            if v is None:
+                fresh.append(i)
+            else:
+                out[i] = self.old[keys[i]] = v
+        for i, v in zip(fresh, compute([keys[i] for i in fresh]) if fresh else (), strict=True):
+            out[i] = self.young[keys[i]] = v
+        if len(self.young) > self.limit:
+            self.young.clear()
+        if len(self.old) > self.limit:
+            self.young, self.old = self.old, {}
+        return out
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
@@ -65,16 +91,18 @@ def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each result is written to the shared folder. Nodes must not be null.
+    Alternating large-star and small-star steps; each result is written to the shared folder, and so are the smallest neighbours, so that
+    a join with a node of very many edges can be split. Nodes must not be null.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     now = keep(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = keep(large, "large")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = keep(small.select("e.*").where("u != v").distinct(), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("values").alias("values"))
     reps = keep(classes.where(F.size("values") > 0), "classes")
     near = components(candidates(reps.select(F.col("rep").alias("doc_id"), "values"), groups))
-    members = keep(docs.join(near, F.col("doc_id") == F.col("node")).select("doc_id", "text", "root"), "members")
+    # The same join at every size: the ids in groups grow with the documents, so they are not broadcast.
+    members = keep(docs.join(near.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "root"), "members")
     sized = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
     blocks = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -149,7 +150,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) of the smallest id of each component, one row for each id. Rows without an id stay."""
     found = keep(near_duplicates(docs, n=n, percent=percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept")).drop("_kept")
+    rows = docs.join(found.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id") == F.col("_kept")).drop("_kept")
     once = rows.where("_rows = 1").drop("_rows")
     several = rows.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))

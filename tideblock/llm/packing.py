@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideblock.llm.frames import texts
+from tideblock.llm.frames import Cache, texts
 from tideblock.llm.words import slices
 
 MAX_TOKENS = 4096
 END = 2
 SLICE_BYTES = 4 << 20
-CACHED_CHUNKS = 300_000
-_known: dict[str, dict[str, bytes]] = {}
+SEPARATOR = "|"
+JOINED = 500
+_known: dict[str, Cache] = {}
 
 
 @cache
@@ -38,19 +39,34 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _encode(path: str, chunks: list[str]) -> list[bytes]:
+    """Ids of each chunk. Many are encoded as one text with separators between them, which is faster; those that hold the sign are not."""
+    encode = partial(_tokenizer(path).encode_batch_fast, add_special_tokens=False)
+    out: list[bytes] = [b""] * len(chunks)
+    plain = [i for i, c in enumerate(chunks) if SEPARATOR not in c]
+    other = [i for i, c in enumerate(chunks) if SEPARATOR in c]
+    for i, e in zip(other, encode([chunks[i] for i in other]), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    mark = encode([SEPARATOR])[0].ids
+    groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+    for group, e in zip(groups, encode([f" {SEPARATOR} ".join(chunks[i] for i in g) for g in groups]), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cuts = np.flatnonzero(ids == mark[0])
+        if len(mark) != 1 or len(cuts) != len(group) - 1:
+            raise ValueError("the separator is not one token of its own in this tokenizer")
+        data = ids.tobytes()
+        low = 0
+        for i, high in zip(group, [*cuts.tolist(), len(ids)], strict=True):
+            out[i] = data[4 * low : 4 * high]
+            low = high + 1
+    return out
+
+
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """uint32 ids of all texts, and where each text's begin (one more entry than texts)."""
     lists = pc.ascii_split_whitespace(column.fill_null(""))
     coded = lists.flatten().dictionary_encode()
-    known = _known.setdefault(path, {})
-    chunks = coded.dictionary.to_pylist()
-    fresh = [c for c in chunks if c not in known]
-    if len(known) + len(fresh) > CACHED_CHUNKS:
-        known.clear()
-        fresh = chunks
-    for chunk, e in zip(fresh, _tokenizer(path).encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[chunk] = np.array(e.ids, "<u4").tobytes()
-    ids = [known[c] for c in chunks]
+    ids = _known.setdefault(path, Cache()).get(coded.dictionary.to_pylist(), partial(_encode, path))
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     start = size.cumsum() - size
     flat = np.frombuffer(b"".join(ids), "<u4")

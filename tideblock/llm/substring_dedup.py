@@ -303,7 +303,7 @@ class Found:
         again = keep(recurring(docs.where("doc_id is not null"), window).groupBy("class").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "anchors")
         little_endian = F.conv(F.concat(*[F.substring(F.hex("digest"), 2 * i - 1, 2) for i in range(8, 0, -1)]), 16, -10).cast("long")
         firsts = classes.select("digest", "rep", little_endian.alias("class")).join(again, "class")
-        self.held = keep(docs.join(firsts.drop("class").withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep")).select("doc_id", "text", "digest", "cold", "hot"), "held")
+        self.held = keep(docs.join(firsts.drop("class").withColumnRenamed("rep", "_rep").hint("merge"), F.col("doc_id") == F.col("_rep")).select("doc_id", "text", "digest", "cold", "hot"), "held")
         n = self.held.agg(F.sum(F.size("cold") + 8 * F.size("hot"))).first()[0] or 0
         shards = max(docs.sparkSession.sparkContext.defaultParallelism, int(n) // SHARD_PHRASES + 1)
         known_windows = located(phrases(self.held, window), window, shards)
@@ -369,7 +369,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = f.cuts.join(f.held.select("doc_id", "digest").distinct(), "doc_id").select("doc_id", "digest", "starts")
     cuts = copies.unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")
     columns = docs.columns
-    wide = docs.join(cuts, F.col("doc_id").cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
+    wide = docs.join(cuts.hint("merge"), F.col("doc_id").cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
     place = wide.columns.index("text")
     chars = wide.columns.index("n_chars") if "n_chars" in columns else None
 

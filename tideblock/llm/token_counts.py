@@ -9,6 +9,7 @@ neighbouring unknowns count once. Units are counted once in a while, all units o
 from __future__ import annotations
 
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -17,15 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tideblock.llm.frames import texts
+from tideblock.llm.frames import Cache, texts
 from tideblock.llm.words import slices
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 SLICE_BYTES = 4 << 20
-CACHED_UNITS = 400_000
 LONG = 64
-_known: dict[str, dict[str, int]] = {}
+TOGETHER = 1 << 15
+_known: dict[str, Cache] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -58,18 +59,18 @@ class Counter:
         long = int(np.searchsorted(-length, -LONG, side="left"))
         for i in range(long):
             out[order[i]] = self._one(units[i])
-        units, length = units[long:], length[long:]
-        if units:
-            out[order[long:]] = self._many(units, length)
+        for low in range(long, len(units), TOGETHER):
+            out[order[low : low + TOGETHER]] = self._many(units[low : low + TOGETHER], length[low : low + TOGETHER])
         return out
 
     def _many(self, units: list[str], length: np.ndarray) -> np.ndarray:
         start = np.concatenate([[0], (length + 1).cumsum()[:-1]])
-        found = np.array([x for pair in self.automaton.iter(" ".join(units)) for x in pair], np.int64).reshape(-1, 2)
-        unit = np.searchsorted(start, found[:, 0], side="right") - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(" ".join(units))), np.int64).reshape(-1, 2)
+        unit = np.repeat(np.arange(len(units)), length + 1)[found[:, 0]]
         end, piece = found[:, 0] - start[unit] + 1, found[:, 1]
         most, longest = int(length[0]), int(self.size.max())
         group = end * (longest + 1) + longest - self.size[piece]  # by end, longest first
+        group = group.astype(np.int16) if (most + 1) * (longest + 1) < 1 << 15 else group
         by = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[by], np.arange((most + 1) * (longest + 1) + 1))
         unit, piece = unit[by], piece[by]
@@ -129,14 +130,8 @@ def text_counts(column: pa.Array, path: str) -> np.ndarray:
     lists = pc.split_pattern(pc.replace_substring(column.fill_null(""), SPACE, " "), " ")
     flat = lists.flatten()
     coded = flat.dictionary_encode()
-    known = _known.setdefault(path, {})
     units = coded.dictionary.to_pylist()
-    fresh = [u for u in units if u not in known]
-    if len(known) + len(fresh) > CACHED_UNITS:
-        known.clear()
-        fresh = units
-    known.update(zip(fresh, _counter(path).counts([SPACE + u for u in fresh]).tolist(), strict=True))
-    each = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+    each = np.array(_known.setdefault(path, Cache()).get(units, lambda fresh: _counter(path).counts([SPACE + u for u in fresh]).tolist()), np.int64)
     n = each[coded.indices.to_numpy(zero_copy_only=False)]
     offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
     n[offsets[:-1][np.asarray(pc.equal(flat.take(pa.array(offsets[:-1])), ""))]] = 0  # no unit before a space that begins the text
