@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,32 @@ def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -
     return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
 
 
+def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 16) -> np.ndarray:
+    """Sum over all rows of a vector of ``size`` numbers, which ``add`` adds a batch to.
+
+    Each task gives one vector, ``parts`` tasks add those up in a stream, and the driver gets ``parts`` vectors at any size of the input.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            add(total, batch)
+        yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
+
+    def plus(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for x in batch.column(0):
+            total += np.frombuffer(x.as_buffer(), np.float64)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            plus(total, batch)
+        yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
+
+    rows = df.mapInArrow(scan, "sum binary").repartition(parts).mapInArrow(fold, "sum binary").collect()
+    return np.sum([np.frombuffer(r[0], np.float64) for r in rows], axis=0) if rows else np.zeros(size)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the smallest node reachable.
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import decontaminate, near_dedup, packing, quality, substring_dedup, token_counts
+from tideblock.llm import decontaminate, language_id, near_dedup, packing, quality, substring_dedup, token_counts, top_k
 from tideblock.llm.frames import table
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(table(spark, folder, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -18,6 +22,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_exact_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pieces(table(spark, folder, "documents"), ids=False)
 
@@ -35,8 +43,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_language_id": (op1_language_id, None),
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, near_dedup.SQL),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, decontaminate.SQL),
+    "op6_exact_topk_search": (op6_exact_topk_search, top_k.SQL),
     "op7_packing": (op7_packing, None),
     "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
     "op9_token_counts": (op9_token_counts, None),
