@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import decontaminate, language_id, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
+from tideblock.llm import decontaminate, language_id, lm_score, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
 from tideblock.llm.frames import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.languages(table(spark, folder, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scores(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -48,6 +52,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
+    "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, near_dedup.SQL),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, decontaminate.SQL),
