@@ -268,9 +268,10 @@ def located(sent: DataFrame, window: int, shards: int) -> DataFrame:
     """shard_key, phrase_key, least: the smallest id of each window of a phrase."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         keys = table["shard_key"].to_numpy()
         order = np.argsort(keys, kind="stable")
         table, keys = table.take(pa.array(order)), keys[order]
