@@ -86,7 +86,8 @@ def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"model": pa.array([learn(list(batches))], pa.binary())})
 
-    return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()  # all tasks scan; only the sample meets in one
+    return bytes(row[0]) if row else learn([])
 
 
 def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 16) -> np.ndarray:
