@@ -134,10 +134,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The same join at every size: the ids in groups grow with the documents, so they are not broadcast.
     members = keep(docs.join(near.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "root"), "members")
     sized = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
+    sized = keep(sized, "sizes")  # so that the join with a large group can be split
     blocks = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pairs = blocks.withColumn("o", other).select("doc_id", "text", "root", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
-    found = pairs.groupBy("root", "p", "q").applyInArrow(links(n, percent), "a long, b long")
+    # One key, as else all pairs of blocks of a group would stay in the task that the join put the group in.
+    found = pairs.withColumn("pair", F.struct("root", "p", "q")).groupBy("pair").applyInArrow(links(n, percent), "a long, b long")
     same_id = known.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
     by_id = known.join(same_id.select("doc_id"), "doc_id").join(reps.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(found.unionByName(by_id))
