@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gzip
 import json
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 import zstandard
@@ -22,16 +23,20 @@ BOOK = "symbol string, event_id string, ts_ms bigint, bid_px double, bid_sz doub
 TRADE = "symbol string, event_id string, ts_ms bigint, trade_id string, side string, px double, sz double"
 
 
-def test_round_price_and_size(spark):
-    cases = [("123.456789", "123.46"), ("12.345678", "12.346"), ("0.0000123456", "0.000012"), ("9999999", "10000000"), ("0", "0"), ("-0.0999995", "-0.1")]
-    df = spark.createDataFrame(cases, "x string, want string")
-    for r in df.select(rounding.round_price(F.col("x")).alias("got"), "want").collect():
-        assert r.got == Decimal(r.want)
-    sizes = [("1.234567", "1.23"), ("1.235", "1.24")]
-    for r in spark.createDataFrame(sizes, "x string, want string").select(rounding.round_size(F.col("x"), 2).alias("got"), "want").collect():
-        assert r.got == Decimal(r.want)
-    one = spark.range(1).select(rounding.round_price(F.lit("1.23456789"), 4).alias("x"), rounding.round_size(F.lit("0.000001234"), 6).alias("y")).first()
-    assert (one.x, one.y) == (Decimal("1.2346"), Decimal("0.000001"))
+def test_rounding_is_half_up_to_five_digits_and_a_cap(spark):
+    """Against the definition in exact decimals, over prices of many sizes, ties included."""
+    r = random.Random(12)
+    prices = [Decimal(r.randint(-(10**8), 10**8)).scaleb(-r.randint(0, 12)) for _ in range(200)] + [Decimal("2.00005"), Decimal("-31.0015"), Decimal("0.0000015"), Decimal("77777.5"), Decimal(0)]
+
+    def price(x: Decimal, cap: int) -> Decimal:
+        places = min(cap, 4 - x.adjusted()) if x else 0
+        return x.quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+
+    df = spark.createDataFrame([(str(x),) for x in prices], "x string")
+    got = df.select("x", rounding.round_price(F.col("x")).alias("p"), rounding.round_price(F.col("x"), 3).alias("q"), rounding.round_size(F.col("x"), 4).alias("s")).collect()
+    for row in got:
+        x = Decimal(row.x)
+        assert (row.p, row.q, row.s) == (price(x, 6), price(x, 3), x.quantize(Decimal("0.0001"), ROUND_HALF_UP)), row.x
 
 
 def test_values(spark):
@@ -58,33 +63,42 @@ def test_values(spark):
     assert r.f == hashlib.sha256(b"1.0:2.0:None:3.0").hexdigest()[:8]
 
 
-def test_blocks_do_not_look_ahead(spark):
-    books = spark.createDataFrame([("S", "b2", 2000, 100.0, 1.0, 101.0, 2.0), ("S", "b1", 1000, 100.0, 1.0, 101.0, 2.0)], BOOK)
-    trades = spark.createDataFrame([("S", "t1", 1000, "1", "buy", 100.0, 1.0), ("S", "t2", 1500, "2", "sell", 100.0, 1.0), ("S", "t3", 2500, "3", "buy", 1.0, 1.0)], TRADE)
-    got = {r.trade_id: r.book_event_id for r in bl.bucket_trades(trades, books).collect()}
-    assert got == {"1": "b1", "2": "b2"}
-    rows = bl.blocks(books, trades).orderBy("block_ts_ms").collect()
-    assert [(r.book_event_id, r.n_trades, r.signed_volume) for r in rows] == [("b1", 1, 1.0), ("b2", 1, -1.0)]
-
-
-def test_features_of_a_toy_book(spark):
-    books = spark.createDataFrame([("S", "b", 1, 100.0, 2.0, 101.0, 1.0), ("S", "c", 5, 100.0, 2.0, 101.0, 1.0), ("S", "d", 9, None, None, None, None)], BOOK)
-    trades = spark.createDataFrame([("S", "t1", 2, "1", "buy", 100.0, 2.0), ("S", "t2", 3, "2", "sell", 101.0, 1.0), ("S", "t3", 8, "3", "?", 9.0, 1.0)], TRADE)
-    r = {x.book_event_id: x for x in bl.features(bl.blocks(books, trades)).collect()}
-    b, c, d = r["b"], r["c"], r["d"]
-    assert (b.mid, b.spread, b.imbalance) == (100.5, 1.0, pytest.approx(1 / 3))
-    assert b.microprice == pytest.approx((100 * 1 + 101 * 2) / 3)
-    assert b.micro_pos == pytest.approx(b.microprice - b.mid)
-    assert b.missing_signed_volume and b.missing_trades
-    assert (c.signed_volume, c.basis_bps) == (1.0, pytest.approx((101 - 100.5) / 100.5 * 1e4))
-    assert d.missing_mid and d.missing_basis_bps and d.signed_volume is None and d.signed_volume_lenient == 0.0
+def test_trades_go_to_the_first_block_at_or_after_them(spark):
+    r = random.Random(21)
+    times = sorted(r.sample(range(10, 400), 12))
+    books = spark.createDataFrame([("Q", f"k{t}", t, 20.0, 5.0, 20.5, 3.0) for t in r.sample(times, 12)], BOOK)
+    made = [(f"u{i}", r.randint(0, 420), r.choice(["buy", "sell"]), r.randint(1, 9)) for i in range(60)]
+    trades = spark.createDataFrame([("Q", i, t, i, side, 20.25, float(n)) for i, t, side, n in made], TRADE)
+    home = {i: next((b for b in times if b >= t), None) for i, t, _, _ in made}
+    assert {x.trade_id: x.book_event_id for x in bl.bucket_trades(trades, books).collect()} == {i: f"k{b}" for i, b in home.items() if b is not None}
+    for x in bl.blocks(books, trades).collect():
+        own = [(n if side == "buy" else -n) for i, _, side, n in made if home[i] == x.block_ts_ms]
+        assert x.n_trades == len(own) and (x.signed_volume or 0.0) == sum(own)
+
+
+def test_features_of_books_with_and_without_trades(spark):
+    books = spark.createDataFrame([("Q", "k1", 10, 49.5, 6.0, 50.5, 2.0), ("Q", "k2", 20, 49.0, 1.0, 49.5, 7.0), ("Q", "k3", 30, None, None, None, None)], BOOK)
+    trades = spark.createDataFrame([("Q", "u1", 12, "1", "sell", 49.0, 4.0), ("Q", "u2", 17, "2", "buy", 49.75, 2.5), ("Q", "u3", 25, "3", "other", 48.0, 1.0)], TRADE)
+    k = {x.book_event_id: x for x in bl.features(bl.blocks(books, trades)).collect()}
+    assert (k["k1"].mid, k["k1"].spread, k["k1"].imbalance) == (50.0, 1.0, pytest.approx(0.5))
+    weighed = (49.5 * 2 + 50.5 * 6) / 8
+    assert (k["k1"].microprice, k["k1"].micro_pos) == (pytest.approx(weighed), pytest.approx(weighed - 50))
+    assert k["k1"].missing_trades and k["k1"].missing_signed_volume
+    assert (k["k2"].signed_volume, k["k2"].basis_bps) == (-1.5, pytest.approx((49.75 - 49.25) / 49.25 * 1e4))
+    assert k["k3"].missing_mid and k["k3"].missing_basis_bps and k["k3"].signed_volume is None and k["k3"].signed_volume_lenient == 0.0
+
+
+def test_what_lies_before_the_window_leaves_nothing(spark, many_chunks):
+    schema = "symbol string, block_ts_ms bigint, book_event_id string, sv double"
+    rows = spark.createDataFrame([("Q", 10, "a", 1e16), ("Q", 5000, "b", 1.0), ("Q", 5100, "c", 1.0)], schema)
+    assert {x.book_event_id: x.w for x in bl.rolling_sum(rows, "sv", 1000, into="w").collect()} == {"a": 1e16, "b": 1.0, "c": 2.0}
 
 
 def test_rolling_flow(spark, many_chunks):
     schema = "symbol string, block_ts_ms bigint, book_event_id string, sv double"
-    rows = spark.createDataFrame([("S", 1000, "a", 1.0), ("S", 2000, "b", 1.0), ("S", 4000, "c", 1.0), ("S", 4000, "d", 5.0)], schema)
-    got = {r.book_event_id: r.w for r in bl.rolling_sum(rows, "sv", 2000, into="w").collect()}
-    assert got == {"a": 1.0, "b": 2.0, "c": 2.0, "d": 7.0}
+    rows = spark.createDataFrame([("Q", 300, "a", 2.5), ("Q", 450, "b", -4.0), ("Q", 900, "c", 0.25), ("Q", 900, "d", 8.0)], schema)
+    got = {r.book_event_id: r.w for r in bl.rolling_sum(rows, "sv", 450, into="w").collect()}
+    assert got == {"a": 2.5, "b": -1.5, "c": -3.75, "d": 4.25}
 
 
 def test_nested_trades_are_cut_into_parts(spark, many_chunks):
@@ -112,8 +126,8 @@ def test_raw_files_to_typed_events(spark, tmp_path):
     good = [
         {"channel": "l2Book", "symbol": "BTC", "recv_ts_ms": 5, "ts_ms": 4, "bids": [["1.5", "2"], ["1.6", "1"]], "asks": [["2", "3"]]},
         {"type": "l2Book", "symbol": "BTC", "recv_ts_ms": 5, "ts_ms": 9, "levels": [[{"px": "1", "sz": "1"}], [{"px": "2", "sz": "1"}]]},
-        {"channel": "trades", "symbol": "BTC", "recv_ts_ms": 101, "ts_ms": 100, "px": "10.10", "sz": "1", "side": "buy", "trade_id": "t1", "event_id": "x"},
-        {"channel": "trades", "symbol": "BTC", "recv_ts_ms": 102, "ts_ms": 100, "px": "10.10", "sz": "1", "side": "buy", "trade_id": "t1", "event_id": "y"},
+        {"channel": "trades", "symbol": "BTC", "recv_ts_ms": 640, "ts_ms": 633, "px": "0.70", "sz": "12", "side": "sell", "trade_id": "n77", "event_id": "x"},
+        {"channel": "trades", "symbol": "BTC", "recv_ts_ms": 655, "ts_ms": 633, "px": "0.70", "sz": "12", "side": "sell", "trade_id": "n77", "event_id": "y"},
         {"channel": "activeAssetCtx", "symbol": "BTC", "recv_ts_ms": 7, "status": "ok", "metadata": {"a": 1}},
     ]
     bad = [
@@ -135,15 +149,15 @@ def test_raw_files_to_typed_events(spark, tmp_path):
     assert errors == [("bids",), ("bids",), ("px",), ("symbol",), ("unknown_channel",)] or ("bids", "asks") in errors
     events = ev.dedupe(ev.valid(parsed))
     keys = {r.dedupe_key: r for r in events.collect()}
-    assert set(keys) == {"BTC:t1:100", "l2Book:BTC:4", "l2Book:BTC:9", "activeAssetCtx:BTC:7"}
-    assert keys["BTC:t1:100"].event_id == "x" and keys["BTC:t1:100"].px == Decimal("10.1")
+    assert set(keys) == {"BTC:n77:633", "l2Book:BTC:4", "l2Book:BTC:9", "activeAssetCtx:BTC:7"}
+    assert keys["BTC:n77:633"].event_id == "x" and keys["BTC:n77:633"].px == Decimal("0.7")
     top = events.filter("dedupe_key = 'l2Book:BTC:4'").select(bk.book_top(F.col("bids"), F.col("asks")).alias("t")).first().t
     assert (top.bid_px, top.bid_sz, top.ask_px) == (Decimal("1.6"), Decimal("1"), Decimal("2"))
     out = str(tmp_path / "silver")
     ev.convert_raw(spark, str(tmp_path / "a" / "one.jsonl"), out)
     assert spark.read.parquet(out).count() == 4
     flat = ev.as_records(events.filter("event_type = 'trade'")).first()
-    assert (flat.px, flat.sz) == ("10.1", "1")
+    assert (flat.px, flat.sz) == ("0.7", "12")
 
 
 def test_node_trades_and_candles(spark, tmp_path):

@@ -117,14 +117,40 @@ def test_run_metrics(spark, many_chunks):
     mids = spark.createDataFrame([("r", 500, "x", 100.0), ("r", 1500, "y", 101.0)], "run_id string, mid_ts_ms bigint, mid_id string, mid double")
     out = rn.fill_outcomes(fills, mids, [500]).first()
     assert (out.markout, out.realized_spread) == (1.0, 1.0)
-    windows = rn.overlapping_windows(ledger, 1000, 500, 10).orderBy("window_no").collect()
+    windows = rn.overlapping_windows(ledger, 1000, 500).orderBy("window_no").collect()
     assert [w.start_ms for w in windows] == [0, 500, 1000]
-    rows = rn.assign_windows(ledger, 1000, 500, 10).collect()
+    rows = rn.assign_windows(ledger, 1000, 500).collect()
     assert sorted((r.window_no, r.book_event_id) for r in rows) == [(0, "a"), (1, "b"), (2, "b")]
     prints = rn.same_as_baseline(rn.fingerprint(ledger.union(ledger.withColumn("run_id", F.lit("s"))).repartition(3), ["run_id"], ["block_ts_ms", "total_pnl"]), "r")
     assert all(r.same_as_baseline for r in prints.collect())
 
 
+def test_a_hundred_windows_of_a_day(spark):
+    day = 86_400_000
+    rows = spark.createDataFrame([("r", 1_700_000_000_000 + k * day) for k in range(104)], "run_id string, block_ts_ms bigint")
+    windows = rn.overlapping_windows(rows, 4 * day, day, ["run_id"]).orderBy("window_no").collect()
+    assert [w.window_no for w in windows] == list(range(100)) and windows[-1].end_ms == 1_700_000_000_000 + 103 * day
+    assigned = rn.assign_windows(rows, 4 * day, day, ["run_id"]).groupBy("window_no").count().collect()
+    assert sorted((r.window_no, r["count"]) for r in assigned) == [(k, 4) for k in range(100)]
+    assert rn.overlapping_windows(rows, 4 * day, day, ["run_id"], count=7).count() == 7
+    assert rn.overlapping_windows(rows, 200 * day, day, ["run_id"]).count() == 0
+
+
+def test_prints_are_compared_by_all_other_keys(spark):
+    rows = spark.createDataFrame([(r, t, x) for r in "pq" for t, x in (("one", 1), ("two", 2))] + [("q", "two", 3)], "run_id string, kind string, x int")
+    got = rn.same_as_baseline(rn.fingerprint(rows, ["run_id", "kind"], ["x"]), "p").collect()
+    assert {(r.run_id, r.kind): r.same_as_baseline for r in got} == {("p", "one"): True, ("p", "two"): True, ("q", "one"): True, ("q", "two"): False}
+
+
+def test_flow_markout_by_a_given_threshold(spark):
+    outcomes = spark.createDataFrame([("r", b, "buy", 10.0, 1.0, m) for b, m in (("a", 1.0), ("b", 2.0), ("c", 4.0))], "run_id string, book_event_id string, side string, price double, size double, markout double")
+    features = spark.createDataFrame([("r", "a", 1, 5.0), ("r", "b", 2, -5.0), ("r", "c", 3, 0.5), ("r", "c", 2, 9.0)], "run_id string, book_event_id string, block_ts_ms bigint, flow double")
+    got = {r.flow: (r.n, r["mean"], r.threshold) for r in rn.flow_markout(outcomes, features, "flow", threshold=1.0).collect()}
+    assert got == {"pos": (1, 1.0, 1.0), "neg": (1, 2.0, 1.0)}
+    with pytest.raises(ValueError):
+        rn.flow_markout(outcomes, features, "flow")
+
+
 def test_targets_and_edge(spark, many_chunks):
     rows = spark.createDataFrame([("S", 0, "a", 100.0), ("S", 1000, "b", 110.0), ("S", 2000, "c", 120.0)], "symbol string, block_ts_ms bigint, book_event_id string, mid double")
     got = {r.book_event_id: r.y_markout_1s for r in rs.wide_targets(rows, [1]).collect()}

@@ -17,6 +17,7 @@ ORDER = ["ts_ms", "event_id"]
 BLOCK = ["block_ts_ms", "book_event_id"]
 TOP = ["bid_px", "bid_sz", "ask_px", "ask_sz"]
 TRADE_CHUNK = 10_000
+EXACT = "decimal(38,18)"
 
 
 def bucket_trades(trades: DataFrame, books: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -133,19 +134,20 @@ def rolling_sum(
 ) -> DataFrame:
     """Sum of ``value`` over rows up to this one whose time is at least ``t - window_ms``.
 
-    The running sum up to this row, less the running sum of everything before the window. Later rows of the same
-    instant are not included.
+    The running sum up to this row, less the running sum of everything before the window. Both are decimals, so what
+    lies before the window leaves nothing behind. Later rows of the same instant are not included.
     """
     time = order[0]
     chunks = ordered.chunk(rows, keys, order)
-    running = ordered.scan(chunks, keys, order, _upto=ordered.running_sum(F.col(value))).drop(ordered.CHUNK)
+    running = ordered.scan(chunks, keys, order, _upto=ordered.running_sum(F.col(value).cast(EXACT))).drop(ordered.CHUNK)
     summed = scratch.keep(running, "running")
     out = asof(
         summed, summed, keys, at=F.col(time) - window_ms, quote_at=time, payload=["_upto"], ties=order[1:],
         strict=True, into="_gone",
     )
-    gone = F.coalesce(F.col("_gone._upto"), F.lit(0).cast("double"))
-    return out.withColumn(into, F.coalesce(F.col("_upto").cast("double"), F.lit(0.0)) - gone).drop("_upto", "_gone")
+    none = F.lit(0).cast(EXACT)
+    held = F.coalesce(F.col("_upto"), none) - F.coalesce(F.col("_gone._upto"), none)
+    return out.withColumn(into, held.cast("double")).drop("_upto", "_gone")
 
 
 def book_change_summary(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -125,8 +125,12 @@ def fill_orders(fills: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def fill_decisions(fills: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Boost state of the last decision at or before the fill; the last line of an instant wins."""
-    rows = decisions.withColumn("boost_active", F.coalesce("boost_active", F.lit(False)))
+    """Boost state of the last decision at or before the fill; the last line of an instant wins.
+
+    ``boost_active``, else ``boost_triggered`` where the log has it, else not boosted.
+    """
+    known = [F.col(c) for c in ("boost_active", "boost_triggered") if c in decisions.columns]
+    rows = decisions.withColumn("boost_active", F.coalesce(*known, F.lit(False)))
     hit = asof(fills, rows, RUN, at="ts_ms", quote_at="ts_ms", payload=["boost_active"], ties=["seq"], into="_d")
     key = F.when(F.col("_d.boost_active"), F.lit("boost")).when(F.col("_d").isNotNull(), F.lit("base"))
     return hit.withColumn("boost_key", F.coalesce(key, F.lit("unknown"))).drop("_d")

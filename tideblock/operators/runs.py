@@ -221,18 +221,25 @@ def unwind_outside_window(
 
 
 def flow_markout(
-    outcomes: DataFrame, features: DataFrame, feature: str, q: float, keys: Sequence[str] = RUN, block: str = "book_event_id"
+    outcomes: DataFrame, features: DataFrame, feature: str, q: float | None = None, keys: Sequence[str] = RUN,
+    block: str = "book_event_id", threshold: float | None = None,
 ) -> DataFrame:
-    """Markout of fills by side and by sign of a feature beyond a quantile of its absolute value.
+    """Markout of fills by side and by sign of a feature beyond ``threshold``, or beyond a quantile ``q`` of its absolute value.
 
-    The feature is looked up at the fill's block (the last of duplicate rows); the threshold is per run.
+    The feature is looked up at the fill's block (the last of duplicate rows). The quantile is taken per run over what can be
+    looked up, so each block counts once.
     """
+    if (q is None) == (threshold is None):
+        raise ValueError("give either q or threshold")
     known = features.filter(val.finite(F.col(feature))).select(
         *keys, block, "block_ts_ms", F.col(feature).cast("double").alias("_x")
     )
     lookup = known.groupBy(*keys, block).agg(F.max_by("_x", "block_ts_ms").alias("_x"))
-    cut = quantiles.quantile_columns(known, keys, F.abs("_x"), {"threshold": q})
-    rows = outcomes.filter(F.col("markout").isNotNull()).join(lookup, [*keys, block]).join(cut, list(keys))
+    rows = outcomes.filter(F.col("markout").isNotNull()).join(lookup, [*keys, block])
+    if threshold is not None:
+        rows = rows.withColumn("threshold", F.lit(float(threshold)))
+    else:
+        rows = rows.join(quantiles.quantile_columns(lookup, keys, F.abs("_x"), {"threshold": q}), list(keys))
     sign = F.when(F.col("_x") > F.col("threshold"), F.lit("pos")).when(F.col("_x") < -F.col("threshold"), F.lit("neg"))
     side = F.when(F.col("side") == "buy", F.lit("bid")).otherwise(F.lit("ask"))
     groups = rows.withColumns({"quote_side": side, "flow": sign, "_w": notional()}).filter(F.col("flow").isNotNull())
@@ -249,19 +256,28 @@ def flow_markout(
     return sums.withColumn("weighted_mean", F.try_divide(F.col("markout_notional"), F.col("notional"))).join(points, place)
 
 
-def overlapping_windows(rows: DataFrame, length_ms: int, step_ms: int, count: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Window dimension: ``[start + i * step, + length)`` for each key, while it ends within the data."""
+def _last_window(length_ms: int, step_ms: int, count: int | None) -> Column:
+    """Number of the last window that ends within the span of the key; -1 or less if none does."""
+    last = F.floor((F.col("_end") - F.col("_start") - F.lit(length_ms)) / F.lit(step_ms)).cast("bigint")
+    return last if count is None else F.least(last, F.lit(count - 1).cast("bigint"))
+
+
+def overlapping_windows(
+    rows: DataFrame, length_ms: int, step_ms: int, keys: Sequence[str] = (), count: int | None = None
+) -> DataFrame:
+    """Window dimension: ``[start + i * step, + length)`` for each key, while it ends within the data (the first ``count``, if given)."""
     span = rows.groupBy(*keys).agg(F.min("block_ts_ms").alias("_start"), F.max("block_ts_ms").alias("_end"))
-    listed = span.select(*keys, "_end", "_start", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("window_no"))
-    start = F.col("_start") + F.col("window_no") * step_ms
+    last = _last_window(length_ms, step_ms, count)
+    listed = span.filter(last >= 0).withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    start = F.col("_start").cast("bigint") + F.col("window_no") * F.lit(step_ms).cast("bigint")
     return listed.select(
-        *keys, "window_no", start.cast("bigint").alias("start_ms"), (start + length_ms).cast("bigint").alias("end_ms"), "_end"
-    ).filter(F.col("end_ms") <= F.col("_end")).drop("_end").withColumn("window_id", val.time_tag(F.col("start_ms")))
+        *keys, F.col("window_no").cast("int").alias("window_no"), start.alias("start_ms"), (start + F.lit(length_ms).cast("bigint")).alias("end_ms")
+    ).withColumn("window_id", val.time_tag(F.col("start_ms")))
 
 
 def assign_windows(
-    rows: DataFrame, length_ms: int, step_ms: int, count: int, keys: Sequence[str] = (), at: str = "block_ts_ms",
-    span_of: DataFrame | None = None,
+    rows: DataFrame, length_ms: int, step_ms: int, keys: Sequence[str] = (), at: str = "block_ts_ms",
+    span_of: DataFrame | None = None, count: int | None = None,
 ) -> DataFrame:
     """Each row once per window that covers it. The covering windows are computed, not joined."""
     base = span_of if span_of is not None else rows
@@ -269,11 +285,7 @@ def assign_windows(
     joined = rows.join(span, list(keys)) if keys else rows.join(F.broadcast(span))  # one row without keys
     off = F.col(at) - F.col("_start")
     first = F.greatest(F.floor((off - length_ms) / F.lit(step_ms)) + 1, F.lit(0))
-    last = F.least(
-        F.floor(off / F.lit(step_ms)),
-        F.lit(count - 1),
-        F.floor((F.col("_end") - F.col("_start") - length_ms) / F.lit(step_ms)),
-    )
+    last = F.least(F.floor(off / F.lit(step_ms)), _last_window(length_ms, step_ms, count))
     covered = joined.withColumn(
         "window_no", F.explode(F.when((off >= 0) & (first <= last), F.sequence(first, last)))
     )
@@ -339,5 +351,8 @@ def fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
 
 
 def same_as_baseline(prints: DataFrame, baseline: str, run: str = "run_id") -> DataFrame:
-    base = prints.filter(F.col(run) == baseline).select(F.col("sha256").alias("_base"))
-    return prints.join(F.broadcast(base), how="left").withColumn("same_as_baseline", F.col("sha256") == F.col("_base")).drop("_base")  # one row
+    """Compares each print with the baseline run's print of the same other keys (null where the baseline has none)."""
+    other = [c for c in prints.columns if c not in (run, "rows", "hash_sum", "hash_xor", "sha256", "hash8")]
+    base = prints.filter(F.col(run) == baseline).select(*other, F.col("sha256").alias("_base"))
+    joined = prints.join(base, other, "left") if other else prints.join(F.broadcast(base), how="left")  # one row without other keys
+    return joined.withColumn("same_as_baseline", F.col("sha256") == F.col("_base")).drop("_base")

@@ -194,8 +194,7 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
     count(DISTINCT CASE WHEN kind = 'trade' THEN rtrim(id, 'b') ELSE id END) AS n FROM wire WHERE ok GROUP BY ALL""")
 def a9(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch.new_path(spark, "silver")
-    silver = ev.dedupe(ev.valid(ev.parse_events(raw_events(spark, sf))))
-    sinks.write_table(silver, out, ["event_type", "symbol"])
+    ev.convert_raw(spark, raw_files(spark, sf), out, "*.txt*")
     return spark.read.parquet(out).groupBy("event_type", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,10 +351,19 @@ def b26(spark: SparkSession, sf: str) -> DataFrame:
     return v.base(spark, sf).filter(val.finite(odd)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b28_f4_candle_blocks", "trades", """WITH bars AS (SELECT symbol, ts_ms // 3600000 * 3600000 AS t, arg_max(px, (ts_ms, event_id)) AS c FROM trades GROUP BY ALL)
+_CANDLE_BLOCKS = """WITH bars AS (SELECT symbol, ts_ms // 3600000 * 3600000 AS t, arg_max(px, (ts_ms, event_id)) AS c FROM trades GROUP BY ALL)
   SELECT symbol, t + 3599999 AS block_ts_ms, 'candle:' || symbol || ':1h:' || t AS book_event_id, c * (1 - 0.00025) AS bid_px, 1.0 AS bid_sz,
-  c * (1 + 0.00025) AS ask_px, 1.0 AS ask_sz, false AS missing_book, true AS missing_trades FROM bars ORDER BY t, symbol LIMIT 500""", "bid_px bid_sz ask_px ask_sz")
+  c * (1 + 0.00025) AS ask_px, 1.0 AS ask_sz, false AS missing_book, true AS missing_trades FROM bars"""
+
+
+@query("b28_candle_blocks", "trades", _CANDLE_BLOCKS, "bid_px bid_sz ask_px ask_sz")
 def b28(spark: SparkSession, sf: str) -> DataFrame:
+    return cd.to_blocks(cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1h")), 5.0, "1h")
+
+
+# A limit is what F4 is: the first bars in time order.
+@query("b28_f4_candle_blocks", "trades", f"{_CANDLE_BLOCKS} ORDER BY t, symbol LIMIT 500", "bid_px bid_sz ask_px ask_sz")
+def b28_f4(spark: SparkSession, sf: str) -> DataFrame:
     bars = cd.first_bars(cd.ohlcv(v.trades(spark, sf), cd.interval_ms("1h")), 500)
     return cd.to_blocks(bars, 5.0, "1h")
 

@@ -17,7 +17,7 @@ from tideblock.plans.catalog import query
 from tideblock.sources import logs, sinks
 
 DAY = 24 * v.HOUR_MS
-WINDOW, STEP, COUNT = 4 * DAY, DAY, 20
+WINDOW, STEP = 4 * DAY, DAY
 
 _INC = ", ".join(
     f"{c} - COALESCE(lag({c} IGNORE NULLS) OVER w, 0) AS d_{c}" for c in rn.DELTA_COLUMNS
@@ -66,7 +66,7 @@ v.CTES.update(
         "win_led": (
             ["ledger"],
             f"""SELECT l.*, i AS window_no, strftime(make_timestamp((s + i * {STEP}) * 1000), '%Y%m%d_%H%M') AS window_id, s + i * {STEP} AS start_ms FROM ledger l,
-            (SELECT min(block_ts_ms) AS s, max(block_ts_ms) AS e FROM ledger), range(0, {COUNT}) r(i)
+            (SELECT s, e, unnest(range(0, greatest((e - s - {WINDOW}) // {STEP} + 1, 0))) AS i FROM (SELECT min(block_ts_ms) AS s, max(block_ts_ms) AS e FROM ledger))
             WHERE s + i * {STEP} + {WINDOW} <= e AND block_ts_ms >= s + i * {STEP} AND block_ts_ms < s + i * {STEP} + {WINDOW}""",
         ),
         "ab_results": (
@@ -242,13 +242,13 @@ def e8b(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e17_overlapping_windows", "win_led", "SELECT window_no, window_id, start_ms, run_id, count(*) AS n FROM win_led GROUP BY ALL", "", "window_no")
 def e17(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rn.assign_windows(v.ledger(spark, sf), WINDOW, STEP, COUNT)
+    rows = rn.assign_windows(v.ledger(spark, sf), WINDOW, STEP)
     return rows.groupBy("window_no", "window_id", "start_ms", "run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e17_window_table", "win_led", f"SELECT DISTINCT window_no, start_ms, start_ms + {WINDOW} AS end_ms, window_id FROM win_led", "", "window_no")
 def e17t(spark: SparkSession, sf: str) -> DataFrame:
-    return rn.overlapping_windows(v.ledger(spark, sf), WINDOW, STEP, COUNT)
+    return rn.overlapping_windows(v.ledger(spark, sf), WINDOW, STEP)
 
 
 # ---- comparison ----
@@ -306,7 +306,7 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ab_results(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rn.assign_windows(v.ledger(spark, sf), WINDOW, STEP, COUNT).filter(F.col("total_pnl").isNotNull())
+    rows = rn.assign_windows(v.ledger(spark, sf), WINDOW, STEP).filter(F.col("total_pnl").isNotNull())
     return rows.groupBy(F.col("run_id").alias("variant"), "window_id").agg(
         F.max_by("total_pnl", F.struct(*bl.BLOCK)).alias("pnl"), F.avg("position").alias("inventory"), F.count(F.lit(1)).alias("blocks"),
         F.avg(F.col("halt_triggered").cast("double")).alias("halt_rate"),

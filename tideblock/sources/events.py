@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideblock.functions import values as val
 from tideblock.sources.schemas import NODE_TRADE, RAW_EVENT
+from tideblock.sources.sinks import write_table
 
 # Channel names and the event type of each.
 CHANNELS = {
@@ -146,10 +147,10 @@ def filter_symbol(events: DataFrame, symbol: str) -> DataFrame:
     return events.filter(val.canonical_symbol(F.col("symbol")) == val.canonical_symbol(F.lit(symbol)))
 
 
-def convert_raw(spark: SparkSession, raw_path: str, out_path: str) -> None:
-    """Raw lines to deduplicated Parquet, by event type and symbol."""
-    events = dedupe(valid(parse_events(read_raw(spark, raw_path))))
-    events.write.mode("overwrite").partitionBy("event_type", "symbol").parquet(out_path)
+def convert_raw(spark: SparkSession, raw_path: str, out_path: str, *pattern: str) -> None:
+    """Raw lines to deduplicated Parquet, by event type and symbol. ``pattern`` is that of :func:`read_raw`."""
+    events = dedupe(valid(parse_events(read_raw(spark, raw_path, *pattern))))
+    write_table(events, out_path, ["event_type", "symbol"])
 
 
 def read_node_trades(spark: SparkSession, path: str, coin: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:

@@ -14,6 +14,11 @@ def _parent(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
+def _first_filled(*columns: str) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
+
+
 def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False) -> DataFrame:
     """One log of every run below ``root``; ``run_id`` is the folder name.
 
@@ -30,9 +35,9 @@ def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     rows = found.select("*", _parent(F.col("_metadata.file_path")).alias("run_id"), place.alias("seq"))
     if name == "orders":
-        rows = rows.withColumn("client_oid", F.coalesce("client_oid", "cloid", "clientOid"))
+        rows = rows.withColumn("client_oid", _first_filled("client_oid", "cloid", "clientOid"))
     if name == "fills":
-        rows = rows.withColumn("cloid", F.coalesce("cloid", "client_oid", "clientOid"))
+        rows = rows.withColumn("cloid", _first_filled("cloid", "client_oid", "clientOid"))
     if name == "market_state":
         rows = rows.withColumn("mark_px", F.coalesce("mark_px", "markPx"))
     return rows

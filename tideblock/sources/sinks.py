@@ -11,7 +11,9 @@ from tideblock.functions.values import decimal_text
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Parquet with zstd. Rows of a partition value are spread over several files, never gathered in one task."""
+    """Parquet with zstd. With partition values, rows are rebalanced by them: few files for each, and adaptive execution splits large ones."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
