@@ -81,10 +81,15 @@ def stratified(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame
 
 
 def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -> bytes:
-    """Train on a sample of bounded size in one task of an executor; only the model, of fixed size, reaches the driver."""
+    """Train on a sample of bounded size in one task of an executor; only the model, of fixed size, reaches the driver.
+
+    The sample (doc_id and more) comes in order of doc_id, so the model does not hang on the order of its arrival.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"model": pa.array([learn(list(batches))], pa.binary())})
+        held = [b for b in batches if b.num_rows]
+        held = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks().to_batches() if held else []
+        yield pa.RecordBatch.from_pydict({"model": pa.array([learn(held)], pa.binary())})
 
     row = sample.repartition(1).mapInArrow(run, "model binary").first()  # all tasks scan; only the sample meets in one
     return bytes(row[0]) if row else learn([])

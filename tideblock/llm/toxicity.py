@@ -15,6 +15,7 @@ A document's score is that of its most toxic sentence, as a chance.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable
 from itertools import pairwise
 
 import numpy as np
@@ -154,12 +155,19 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3,
     return w
 
 
+def _numbered(strings: Iterable[str]) -> tuple[list[str], np.ndarray]:
+    """Different strings, and the place of each string among them."""
+    seen: dict[str, int] = {}
+    index = np.array([seen.setdefault(x, len(seen)) for x in strings], np.int64)
+    return list(seen), index
+
+
 def _landmarks(names: list[str], doc: np.ndarray, word: np.ndarray, label: np.ndarray) -> tuple[list[str], np.ndarray, list[int]]:
     """Candidates (words and beginnings), their log odds of toxic documents, and the chosen ones, each covering documents the others don't."""
     pair = np.unique(doc * len(names) + word)
     doc, word = pair // len(names), pair % len(names)
     parts = [[n[:k] for n in names] for k in BEGINNINGS] + [names]
-    candidates, index = np.unique(np.array([p for part in parts for p in part], object).astype(str), return_inverse=True)
+    candidates, index = _numbered(p for part in parts for p in part)
     index = index.reshape(len(parts), -1)
     pair = np.unique(np.concatenate([doc * len(candidates) + ids[word] for ids in index]))
     doc, unit = pair // len(candidates), pair % len(candidates)
@@ -179,7 +187,7 @@ def _landmarks(names: list[str], doc: np.ndarray, word: np.ndarray, label: np.nd
         chosen.append(best)
         usable[best] = False
         weight[doc[unit == best]] *= COVERED
-    return candidates.tolist(), ratio, chosen
+    return candidates, ratio, chosen
 
 
 def _bent(word: str, at: int) -> str:
@@ -196,8 +204,7 @@ def train(batches: list[pa.RecordBatch]) -> bytes:
         share = (label.sum() + 0.5) / (len(label) + 1)
         return pickle.dumps(([], np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share)))))
     s = Sentences(column)
-    names, unit_id = np.unique(np.array(s.units, object).astype(str), return_inverse=True)
-    names = names.tolist()
+    names, unit_id = _numbered(s.units)
     word = unit_id[s.word]
     owner = np.searchsorted(s.text, s.first[:-1], side="right") - 1
     doc = owner[s.sentence]
