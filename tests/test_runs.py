@@ -125,6 +125,15 @@ def test_run_metrics(spark, many_chunks):
     assert all(r.same_as_baseline for r in prints.collect())
 
 
+@pytest.mark.parametrize("buy, sell, size, pnl", [("0.000000003", "0.000000006", "1000000", 0.003), ("1000000", "1000001.5", "0.000000000000000002", 3e-18), ("123456789.123456789", "123456790.123456789", "100000", 1e5)])
+def test_position_ledger_keeps_the_decimals_of_ingest(spark, buy, sell, size, pnl):
+    deals = spark.createDataFrame([("r", 1, "a", "buy", buy, size), ("r", 2, "b", "sell", sell, size)], "run_id string, ts_ms bigint, trade_id string, side string, px string, sz string")
+    deals = deals.withColumns({"px": F.col("px").cast("decimal(38,18)"), "sz": F.col("sz").cast("decimal(38,18)"), "fee": F.lit(0.0)})
+    none = spark.createDataFrame([], "run_id string, ts_ms bigint, funding_id string, amount double")
+    last = ps.position_ledger(deals, none, ["run_id"]).filter("ts_ms = 2").first()
+    assert last.position == 0 and last.price_pnl == pytest.approx(pnl, rel=1e-6)
+
+
 def test_a_hundred_windows_of_a_day(spark):
     day = 86_400_000
     rows = spark.createDataFrame([("r", 1_700_000_000_000 + k * day) for k in range(104)], "run_id string, block_ts_ms bigint")

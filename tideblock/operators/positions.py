@@ -5,14 +5,30 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideblock import scratch
 from tideblock.operators import ordered
 
 ORDER = ["ts_ms", "_kind", "_id"]
-SIZE, PRICE = "decimal(20,8)", "decimal(18,8)"
+# Sizes, prices and costs keep the 18 decimals of the ingest type; beyond 18 digits before the point a cast raises.
+EXACT = "decimal(36,18)"
+COARSE_SIZE, COARSE_PRICE, FINE = "decimal(21,6)", "decimal(16,6)", "decimal(18,18)"
+
+
+def _times(size: Column, price: Column) -> Column:
+    """size * price to 18 decimals. No decimal holds the product of 18 and 18 decimals, so both are split at the sixth.
+
+    Sizes of 1e15 and prices of 1e10 or more raise.
+    """
+    coarse_size, coarse_price = size.cast(COARSE_SIZE), price.cast(COARSE_PRICE)
+    fine_size, fine_price = (size - coarse_size).cast(FINE), (price - coarse_price).cast(FINE)
+    parts = (coarse_size * coarse_price, coarse_size * fine_price, fine_size * coarse_price, fine_size * fine_price)
+    first, *rest = (p.cast("decimal(33,18)") for p in parts)
+    for p in rest:
+        first = first + p
+    return first.cast(EXACT)
 
 
 def _events(fills: DataFrame, fundings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,8 +68,8 @@ def position_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[str])
     over everything less its value where the segment began. Sizes and prices are decimals, so a closed position
     is exactly zero.
     """
-    px, size = F.col("px").cast(PRICE), F.col("sz").cast(SIZE)
-    signed = F.when(F.col("side") == "buy", size).when(F.col("side").isNotNull(), -size).otherwise(F.lit(0).cast(SIZE))
+    px, size = F.col("px").cast(EXACT), F.col("sz").cast(EXACT)
+    signed = F.when(F.col("side") == "buy", size).when(F.col("side").isNotNull(), -size).otherwise(F.lit(0).cast(EXACT))
     events = _events(fills, fundings, keys).withColumns({"px": px, "_s": signed, "_fill": F.col("_kind") == 1})
     held = ordered.scan(
         ordered.chunk(events, keys, ORDER), keys, ORDER,
@@ -62,13 +78,13 @@ def position_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[str])
         funding=ordered.running_sum(F.col("amount")),
         last_px=ordered.last_seen(F.col("px")),
     )
-    before = F.col("position") - F.col("_s")
+    before = F.col("position").cast(EXACT) - F.col("_s")
     adds = (before != 0) & (F.signum(before) == F.signum(F.col("_s")))
-    cost = F.when(F.col("_fill") & ~adds, F.col("position").cast(SIZE) * F.col("px")).otherwise(
-        F.coalesce(F.col("_s").cast(SIZE) * F.col("px"), F.lit(0))
+    cost = F.when(F.col("_fill") & ~adds, _times(F.col("position").cast(EXACT), F.col("px"))).otherwise(
+        F.coalesce(_times(F.col("_s").cast(EXACT), F.col("px")), F.lit(0))
     )
     marked = scratch.keep(
-        held.withColumns({"_before": before, "_starts": F.col("_fill") & ~adds, "_cost": cost.cast("decimal(38,16)")}),
+        held.withColumns({"_before": before, "_starts": F.col("_fill") & ~adds, "_cost": cost.cast(EXACT)}),
         "ledger",
     )
     summed = scratch.keep(
@@ -102,8 +118,8 @@ def average_cost_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[st
     first reduced to one such map, the maps (one row per key and chunk) are applied in order to give each chunk
     its opening cost, and then the chunks are walked independently.
     """
-    size = F.col("sz").cast(SIZE)
-    signed = F.when(F.col("side") == "buy", size).when(F.col("side").isNotNull(), -size).otherwise(F.lit(0).cast(SIZE))
+    size = F.col("sz").cast(EXACT)
+    signed = F.when(F.col("side") == "buy", size).when(F.col("side").isNotNull(), -size).otherwise(F.lit(0).cast(EXACT))
     events = _events(fills, fundings, keys).withColumns({"px": F.col("px").cast("double"), "_s": signed})
     held = ordered.scan(
         ordered.chunk(events, keys, ORDER), keys, ORDER,
@@ -116,7 +132,7 @@ def average_cost_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[st
         held.withColumns(
             {
                 "_signed": F.col("_s").cast("double"),
-                "_before": (F.col("position") - F.col("_s")).cast("double"),
+                "_before": (F.col("position").cast(EXACT) - F.col("_s")).cast("double"),
                 "_after": F.col("position").cast("double"),
             }
         ),
