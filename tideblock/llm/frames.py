@@ -98,7 +98,7 @@ def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -
 def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 16) -> np.ndarray:
     """Sum over all rows of a vector of ``size`` numbers, which ``add`` adds a batch to.
 
-    Each task gives one vector, ``parts`` tasks add those up in a stream, and the driver gets ``parts`` vectors at any size of the input.
+    Each task gives one vector, fewer and fewer tasks add those up, and the driver gets ``parts`` vectors at any size of the input.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,12 @@ def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], siz
             plus(total, batch)
         yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
 
-    rows = df.mapInArrow(scan, "sum binary").repartition(parts).mapInArrow(fold, "sum binary").collect()
+    made = df.mapInArrow(scan, "sum binary")
+    n = made.rdd.getNumPartitions()
+    while n > 16 * parts:  # no task adds up more than a few dozen vectors
+        n = -(-n // 16)
+        made = made.repartition(n).mapInArrow(fold, "sum binary")
+    rows = made.repartition(parts).mapInArrow(fold, "sum binary").collect()
     return np.sum([np.frombuffer(r[0], np.float64) for r in rows], axis=0) if rows else np.zeros(size)
 
 
