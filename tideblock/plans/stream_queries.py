@@ -14,12 +14,13 @@ from tideblock.streaming import sinks as ss
 
 HOUR = v.HOUR_MS
 DELAY = "10 minutes"
-DELAY_MS = 600_000
 
 
-def as_stream(df: DataFrame, label: str) -> DataFrame:
-    """The rows of a batch frame as a file stream."""
+def as_stream(df: DataFrame, label: str, flush_at: str | None = None) -> DataFrame:
+    """The rows of a batch frame as a file stream; with ``flush_at`` a row a day later closes all state."""
     spark = df.sparkSession
+    if flush_at is not None:
+        df = df.unionByName(ss.flush_row(df, flush_at, 24 * HOUR, symbol=""))
     path = scratch.new_path(spark, label)
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
@@ -53,16 +54,15 @@ def i3(spark: SparkSession, sf: str) -> DataFrame:
     return ss.collect_stream(sm.dedupe_fills(as_stream(twice, "fills"), DELAY, _START)).select("run_id", "fill_id", "px")
 
 
-@query("i4_stream_ohlcv", "trades", f"""SELECT * FROM (SELECT symbol, ts_ms // 3600000 * 3600000 AS t, arg_min(px, (ts_ms, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts_ms, event_id)) AS c, sum(sz) AS v, count(*) AS n FROM trades GROUP BY ALL)
-  WHERE t + 3600000 <= (SELECT max(ts_ms) FROM trades) - {DELAY_MS}""", "o h l c v")
+@query("i4_stream_ohlcv", "trades", """SELECT * FROM (SELECT symbol, ts_ms // 3600000 * 3600000 AS t, arg_min(px, (ts_ms, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts_ms, event_id)) AS c, sum(sz) AS v, count(*) AS n FROM trades GROUP BY ALL)""", "o h l c v")
 def i4(spark: SparkSession, sf: str) -> DataFrame:
-    return ss.collect_stream(sm.ohlcv(as_stream(trades(spark, sf), "trades"), "1 hour", DELAY))
+    return ss.replay(trades(spark, sf), "ts_ms", 3, lambda stream: sm.ohlcv(stream, "1 hour", DELAY), 24 * HOUR)
 
 
-@query("i5_stream_sliding_flow", "trades", f"""SELECT symbol, s AS start_ms, s + 7200000 AS end_ms, sum(CASE WHEN side = 'buy' THEN sz ELSE -sz END) AS signed_volume FROM
-  (SELECT *, ts_ms // 3600000 * 3600000 - o AS s FROM trades, (VALUES (0), (3600000)) t(o)) WHERE s + 7200000 <= (SELECT max(ts_ms) FROM trades) - {DELAY_MS} GROUP BY ALL""", "signed_volume")
+@query("i5_stream_sliding_flow", "trades", """SELECT symbol, s AS start_ms, s + 7200000 AS end_ms, sum(CASE WHEN side = 'buy' THEN sz ELSE -sz END) AS signed_volume FROM
+  (SELECT *, ts_ms // 3600000 * 3600000 - o AS s FROM trades, (VALUES (0), (3600000)) t(o)) GROUP BY ALL""", "signed_volume")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
-    return ss.collect_stream(sm.sliding_flow(as_stream(trades(spark, sf), "trades"), "2 hours", "1 hour", DELAY))
+    return ss.replay(trades(spark, sf), "ts_ms", 3, lambda stream: sm.sliding_flow(stream, "2 hours", "1 hour", DELAY), 24 * HOUR)
 
 
 @query("i6_stream_block_state", "state", """SELECT symbol, block_ts_ms, book_event_id, mid, CASE WHEN block_ts_ms - prev_ts < 7200000 THEN mid_ret END AS mid_ret, COALESCE(block_ts_ms - prev_ts >= 7200000, false) AS reconnect,
@@ -73,10 +73,10 @@ def i6(spark: SparkSession, sf: str) -> DataFrame:
     return ss.replay(rows, "block_ts_ms", 3, lambda stream: sm.block_state(stream, 2 * HOUR, 6 * HOUR))
 
 
-@query("i7_stream_session_gaps", "trades", f"""SELECT symbol, start_ms, last_ms, n FROM (SELECT symbol, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) AS g FROM
-  (SELECT *, COALESCE((ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) >= 7200000)::INT, 1) AS s FROM trades)) GROUP BY symbol, g) WHERE last_ms + 7199999 <= (SELECT max(ts_ms) FROM trades) - {DELAY_MS}""")
+@query("i7_stream_session_gaps", "trades", """SELECT symbol, start_ms, last_ms, n FROM (SELECT symbol, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) AS g FROM
+  (SELECT *, COALESCE((ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, event_id) >= 7200000)::INT, 1) AS s FROM trades)) GROUP BY symbol, g)""")
 def i7(spark: SparkSession, sf: str) -> DataFrame:
-    return ss.collect_stream(sm.session_gaps(as_stream(trades(spark, sf), "trades"), 2 * HOUR, DELAY))
+    return ss.replay(trades(spark, sf), "ts_ms", 3, lambda stream: sm.session_gaps(stream, 2 * HOUR, DELAY), 24 * HOUR)
 
 
 @query("i8_stream_fill_gate", "log_fills", "SELECT run_id, count(*) AS fills, sum(px * sz) AS notional, count(*) >= 170 AND sum(px * sz) >= 80000 AS reached FROM log_fills WHERE px IS NOT NULL AND sz > 0 GROUP BY ALL", "notional")
@@ -100,9 +100,11 @@ def i9(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.rollup().select("runs", "net_med_median", "net_med_win_rate", "net_p10_min", "warn_count", "warn_consecutive")
 
 
-@query("i10_stream_fill_markout")
+@query("i10_stream_fill_markout", "trades books", """SELECT symbol, fill_id, side, CASE WHEN side = 'buy' THEN m - px ELSE px - m END AS markout FROM
+  (SELECT f.symbol, f.event_id AS fill_id, f.side, f.px, arg_min((b.bid_px + b.ask_px) / 2, (b.ts_ms, b.event_id)) AS m FROM trades f JOIN books b ON b.symbol = f.symbol AND b.bid_px IS NOT NULL AND b.ask_px IS NOT NULL
+   AND b.ts_ms BETWEEN f.ts_ms + 3600000 AND f.ts_ms + 3600000 + 7200000 GROUP BY ALL)""", "markout")
 def i10(spark: SparkSession, sf: str) -> DataFrame:
     fills = trades(spark, sf).withColumnRenamed("event_id", "fill_id")
     mids = v.books(spark, sf).select("symbol", "ts_ms", "event_id", ((F.col("bid_px") + F.col("ask_px")) / 2).alias("mid")).filter(F.col("mid").isNotNull())
-    out = sm.fill_markout(as_stream(fills, "fills"), as_stream(mids, "mids"), HOUR, 2 * HOUR, DELAY)
+    out = sm.fill_markout(as_stream(fills, "fills", "ts_ms"), as_stream(mids, "mids", "ts_ms"), HOUR, 2 * HOUR, DELAY)
     return ss.collect_stream(out)

@@ -36,18 +36,30 @@ def collect_stream(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def replay(df: DataFrame, at: str, slices: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def flush_row(df: DataFrame, at: str, after_ms: int, **values: object) -> DataFrame:
+    """A row that moves the watermark past all others: ``after_ms`` later than the latest, with ``values`` and else nulls.
+
+    Give values to the keys of a join, as rows with null keys are dropped before they move its watermark.
+    """
+    last = df.agg((F.max(at) + F.lit(after_ms)).alias(at))
+    return last.select(*[(F.col(at) if f.name == at else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name) for f in df.schema.fields]).filter(F.col(at).isNotNull())
+
+
+def replay(df: DataFrame, at: str, slices: int, build: Callable[[DataFrame], DataFrame], flush_ms: int | None = None) -> DataFrame:
     """Feed a table to a stream in time order: append one slice of time, process it, then the next.
 
-    Keeps each micro-batch to one slice, for operators whose input must arrive in order.
+    Keeps each micro-batch to one slice, for operators whose input must arrive in order. With ``flush_ms`` a last row
+    closes what the watermark still holds open.
     """
     spark = df.sparkSession
     path = scratch.new_path(spark, "replay")
     low, high = df.agg(F.min(at), F.max(at)).first()  # one row
-    width = (high - low) // slices + 1
+    width = (high - low) // slices + 1 if low is not None else 1
+    parts = [df.filter((F.col(at) >= low + i * width) & (F.col(at) < low + (i + 1) * width)) for i in range(slices)] if low is not None else [df]
+    if flush_ms is not None:
+        parts.append(flush_row(df, at, flush_ms))
     stream = None
-    for i in range(slices):
-        part = df.filter((F.col(at) >= low + i * width) & (F.col(at) < low + (i + 1) * width))
+    for part in parts:
         part.write.mode("append").parquet(f"{path}/in")
         stream = build(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
         to_parquet(stream, f"{path}/out", f"{path}/checkpoint")
