@@ -90,6 +90,16 @@ def test_order_evaluation(spark):
     assert {r.order_id: r.status for r in of.order_status(of.evaluate(limited, trades)).collect()} == {"a": "filled", "b": "filled", "c": "no_fill", "d": "filled"}
 
 
+@pytest.mark.parametrize("limit, above, below", [("1000000000.5", "1000000000.500000000000000001", "1000000000.499999999999999999"), ("0.123456789012345", "0.123456789012346", "0.123456789012344")])
+def test_limits_are_compared_with_all_decimals(spark, limit, above, below):
+    kinds = "symbol string, book_event_id string, ts_ms bigint, event_id string, side string, px string, sz double"
+    trades = spark.createDataFrame([("Q", "k", 1, "1", "sell", above, 2.0), ("Q", "k", 2, "2", "sell", limit, 3.0), ("Q", "k", 3, "3", "sell", below, 4.0)], kinds)
+    orders = spark.createDataFrame([("o", "Q", "k", "buy", limit)], "order_id string, symbol string, book_event_id string, side string, limit_px string")
+    exact = "decimal(38,18)"
+    hit = of.eligible_volume(orders.withColumn("limit_px", F.col("limit_px").cast(exact)), trades.withColumn("px", F.col("px").cast(exact))).first()
+    assert (hit["_volume"], hit["_count"]) == (7.0, 2)
+
+
 def test_unwind_latch_equals_a_loop(spark, many_chunks):
     rng = random.Random(9)
     rows = [("S", i, i, rng.random() < 0.15, rng.random() < 0.05, rng.choice([0.0, 0.5, 1.0, -2.0, 3.0])) for i in range(300)]

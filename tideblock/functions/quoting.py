@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Parameter names with their defaults; None means "not set".
+# Parameter names and defaults of run configurations; None means "not set".
 PARAMETERS: dict[str, tuple[str, object]] = {
     "base_spread_bps": ("double", 5.0),
     "base_size": ("double", 1.0),

@@ -59,7 +59,7 @@ def asof(
         .withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket_ms)))
     )
     place = [*keys, "_bucket"]
-    sense = F.col("_t").cast("bigint") if backward else -F.col("_t").cast("bigint")
+    sense = F.col("_t") if backward else -F.col("_t")
     edge = F.max_by(F.col("_q"), F.when(F.col("_q").isNotNull(), sense))
     buckets = instants.groupBy(*place).agg(edge.alias("_q"), F.max("_probe").alias("_probe"))
     across = Window.partitionBy(*keys).orderBy("_bucket" if backward else F.col("_bucket").desc())

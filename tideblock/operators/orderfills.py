@@ -11,8 +11,9 @@ from tideblock.functions.quoting import crosses_post_only
 from tideblock.operators import ordered
 from tideblock.operators.asof import asof
 
-# Prices are compared in steps of 1e-10.
-PRICE_STEPS = 10_000_000_000
+# Prices are compared as they come in, with all decimals; the as-of axis is cut into stretches of one unit of price.
+PRICE = "decimal(38,18)"
+PRICE_STRETCH = 1
 BLOCK_KEY = ["symbol", "book_event_id"]
 TRADE_ORDER = ["ts_ms", "event_id"]
 
@@ -23,10 +24,6 @@ def with_limit(orders: DataFrame) -> DataFrame:
     return orders.withColumn("limit_px", F.coalesce(F.col("price"), opposite))
 
 
-def _steps(price: Column) -> Column:
-    return (price.cast("decimal(28,10)") * F.lit(PRICE_STEPS).cast("decimal(11,0)")).cast("bigint")
-
-
 def _hit_side(order_side: Column) -> Column:
     return F.when(order_side == "buy", F.lit("sell")).when(order_side == "sell", F.lit("buy"))
 
@@ -37,7 +34,7 @@ def eligible_volume(orders: DataFrame, bucketed: DataFrame, keys: Sequence[str]
     Trades are summed per (block, side, price) and accumulated from the best price for the order; each order then
     takes the total at its limit by an as-of join along the price axis. No order-trade pairs are formed.
     """
-    reach = lambda side, px: F.when(side == "sell", _steps(px)).otherwise(-_steps(px))
+    reach = lambda side, px: F.when(side == "sell", px.cast(PRICE)).otherwise(-px.cast(PRICE))
     usable = bucketed.filter(F.col("px").isNotNull() & (F.col("sz") > 0) & F.col("side").isin("buy", "sell"))
     levels = usable.groupBy(*keys, F.col("side").alias("_hit"), reach(F.col("side"), F.col("px")).alias("_u")).agg(
         F.sum("sz").alias("_sz"), F.sum(F.col("px") * F.col("sz")).alias("_val"), F.count(F.lit(1)).alias("_n")
@@ -52,7 +49,7 @@ def eligible_volume(orders: DataFrame, bucketed: DataFrame, keys: Sequence[str]
     asked = orders.withColumn("_hit", _hit_side(F.col("side")))
     hit = asof(
         asked, summed, place, at=reach(F.col("_hit"), F.col("limit_px")), quote_at="_u",
-        payload=["_volume", "_value", "_count"], ties=["_u"], into="_e", bucket_ms=PRICE_STEPS,
+        payload=["_volume", "_value", "_count"], ties=["_u"], into="_e", bucket_ms=PRICE_STRETCH,
     )
     return hit.withColumns({"_volume": F.col("_e._volume"), "_value": F.col("_e._value"), "_count": F.col("_e._count")}).drop(
         "_e", "_hit"
