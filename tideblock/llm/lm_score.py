@@ -67,6 +67,24 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the most frequent words, at most ``FREQUENT`` and the end, most frequent first.
+
+    A histogram of rounded logarithms of the counts (a few thousand rows) gives the bound, so nothing is sorted as a whole.
+    """
+    size = F.floor(F.log2("n") * 64).cast("int")
+    room, bound = FREQUENT, None
+    for b, k in sorted(map(tuple, counts.groupBy(size.alias("b")).agg(F.count("*")).collect()), reverse=True):
+        if k > room:
+            break
+        room, bound = room - k, b
+    end = F.col("word") == int(END.astype(np.int64))
+    top = counts.where(end if bound is None else (size >= bound) | end).toArrow()
+    word, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.lexsort((word, -n))
+    return word[order], n[order]
+
+
 class Known:
     """The frequent words' counts and the network's ids. ``words`` and ``n``: most frequent first, the end of a document among them."""
 
@@ -88,12 +106,13 @@ class Known:
         return np.where(sorted_words[at] == token, self.order[at], self.other)
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each token, and whether it is among the frequent."""
+        """Count of each token, and whether it is among the frequent; an end always is."""
+        end = token == END
         if not len(self.words):
-            return np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+            return np.zeros(len(token), np.int64), end
         at = np.minimum(np.searchsorted(self.words, token), len(self.words) - 1)
         there = self.words[at] == token
-        return np.where(there, self.n[at], 0), there
+        return np.where(there, self.n[at], 0), there | end
 
     def start(self) -> int:
         return self.other - 1
@@ -157,8 +176,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     training = docs.where(remainder("doc_id", 5) != 1)
     counts = keep(counted(training), "counts")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = counts.sort(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    known = Known(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, distinct)
+    known = Known(*frequent(counts), total, distinct)
     weights = network(training, known)
     held = spark.sparkContext.broadcast((known, weights))
 

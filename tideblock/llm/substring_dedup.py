@@ -300,7 +300,7 @@ class Found:
     def __init__(self, docs: DataFrame, window: int):
         made = keep(sequences(docs), "sequences")
         known = made.where("doc_id is not null")
-        classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")  # so that a large class can be split in joins
         again = keep(recurring(docs.where("doc_id is not null"), window).groupBy("class").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "anchors")
         little_endian = F.conv(F.concat(*[F.substring(F.hex("digest"), 2 * i - 1, 2) for i in range(8, 0, -1)]), 16, -10).cast("long")
         firsts = classes.select("digest", "rep", little_endian.alias("class")).join(again, "class")
