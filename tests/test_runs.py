@@ -69,23 +69,23 @@ def test_position_ledger_equals_a_fold(spark, many_chunks, reset):
 
 def test_order_evaluation(spark):
     trades = spark.createDataFrame(
-        [("S", "b", 1, "1", "buy", 101.0, 1.0), ("S", "b", 2, "2", "sell", 100.5, 1.0), ("S", "b", 3, "3", "sell", 101.5, 1.0), ("S", "b", 4, "4", "sell", 99.0, 2.0)],
+        [("S", "b", 1, "1", "buy", 64.75, 2.0), ("S", "b", 2, "2", "sell", 64.25, 3.0), ("S", "b", 3, "3", "sell", 65.5, 1.0), ("S", "b", 4, "4", "sell", 60.5, 4.0)],
         "symbol string, book_event_id string, ts_ms bigint, event_id string, side string, px double, sz double",
     )
     orders = spark.createDataFrame(
-        [("a", "buy", 5.0, 101.0), ("b", "sell", 5.0, 101.0), ("c", "buy", 5.0, 90.0), ("d", "buy", 5.0, 100.5)], "order_id string, side string, size double, price double"
-    ).selectExpr("*", "'S' symbol", "'b' book_event_id", "100.0D bid_px", "102.0D ask_px", "true post_only")
+        [("a", "buy", 9.0, 64.75), ("b", "sell", 9.0, 64.75), ("c", "buy", 9.0, 50.0), ("d", "buy", 9.0, 64.25)], "order_id string, side string, size double, price double"
+    ).selectExpr("*", "'S' symbol", "'b' book_event_id", "60.0D bid_px", "66.0D ask_px", "true post_only")
     limited = of.with_limit(orders)
     up = {r.order_id: r for r in of.evaluate(limited, trades).collect()}
-    assert (up["a"].fill_size, up["a"].fill_price, up["a"].trades_used) == (3.0, pytest.approx((100.5 + 198.0) / 3), 2)
-    assert (up["b"].fill_size, up["b"].fill_price) == (1.0, 101.0)
-    assert up["c"].fill_size is None and up["d"].fill_size == 3.0
+    assert (up["a"].fill_size, up["a"].fill_price, up["a"].trades_used) == (7.0, pytest.approx((3 * 64.25 + 4 * 60.5) / 7), 2)
+    assert (up["b"].fill_size, up["b"].fill_price) == (2.0, 64.75)
+    assert up["c"].fill_size is None and up["d"].fill_size == 7.0
     low = {(r.order_id, r.alpha): r for r in of.evaluate(limited, trades, model="lower", alpha=[0.3, 0.5], prints=1).collect()}
-    assert (low["a", 0.5].fill_size, low["a", 0.5].fill_price) == (0.5, 100.5)
+    assert (low["a", 0.5].fill_size, low["a", 0.5].fill_price) == (1.5, 64.25)
     assert all(low[o, al].fill_size is None or low[o, al].fill_size <= up[o].fill_size for o, al in low)
     top = {r.order_id: r for r in of.evaluate(limited, trades, at_limit=True).collect()}
-    assert (top["c"].fill_size, top["c"].fill_price) == (5.0, 90.0)
-    crossing = orders.withColumn("price", F.lit(102.0)).filter("order_id = 'a'")
+    assert (top["c"].fill_size, top["c"].fill_price) == (9.0, 50.0)
+    crossing = orders.withColumn("price", F.lit(66.0)).filter("order_id = 'a'")
     assert of.order_status(of.evaluate(of.with_limit(crossing), trades)).first().status == "invalid_cross"
     assert {r.order_id: r.status for r in of.order_status(of.evaluate(limited, trades)).collect()} == {"a": "filled", "b": "filled", "c": "no_fill", "d": "filled"}
 
