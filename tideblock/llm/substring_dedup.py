@@ -32,8 +32,8 @@ from tideblock.scratch import keep
 WINDOW = 13
 ANCHOR = 4
 FLUSH = 1 << 20
-HOT = 1000
 SHARD_PHRASES = 20_000
+HOT = SHARD_PHRASES  # classes of an anchor beyond which its phrases don't fit one automaton
 CHUNK_WINDOWS = 16
 NEVER = (1 << 63) - 1
 
