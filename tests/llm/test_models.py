@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import pickle
+import random
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tideblock.llm import language_id, lm_score, quality, recurrent, toxicity
 from tideblock.llm.frames import Cache, table
@@ -220,3 +222,31 @@ def test_the_network_beats_the_counts_on_held_out_rows(spark):
     out = lm_score.scores(table(spark, FOLDER, "documents")).toPandas()
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum()
+
+
+def test_every_training_document_is_learned_and_weights_are_carried(spark, monkeypatch):
+    """A pattern outside of the first sample and of any fixed sixteenth, in many small batches of one task."""
+    monkeypatch.setattr(lm_score, "WARM_TEXTS", 40)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        turns = "left right up down " * 40
+        ids = spark.range(1200).select(
+            "id",
+            (F.pmod(F.xxhash64("id", F.lit("warm")), F.lit(1_000_003)) / 1_000_003.0).alias("warm"),
+            F.pmod(F.xxhash64("id", F.lit("language model")), F.lit(16_000)).alias("place"),
+        )
+        rows = []
+        for i, warm, place in ids.collect():
+            seen = warm < 0.06 or place < 1000
+            words = turns.split()
+            random.Random(i).shuffle(words)
+            rows.append((i, " ".join(words) if seen else turns))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        out = [r for r in lm_score.scores(docs).collect() if r.held_out and rows[r.doc_id][1] == turns]
+        gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+        assert len(out) > 100
+        assert gain > 0.3, gain  # of 0.6: log10 of four equally frequent words
+    finally:
+        spark.conf.set(name, before)

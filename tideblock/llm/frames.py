@@ -98,7 +98,7 @@ def learned(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], bytes]) -
 def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 16) -> np.ndarray:
     """Sum over all rows of a vector of ``size`` numbers, which ``add`` adds a batch to.
 
-    Each task gives one vector, fewer and fewer tasks add those up, and the driver gets ``parts`` vectors at any size of the input.
+    Each task gives one vector; ``added`` adds those up.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +107,15 @@ def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], siz
             add(total, batch)
         yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
 
+    return added(df.mapInArrow(scan, "sum binary"), size, parts)
+
+
+def added(made: DataFrame, size: int, parts: int = 16) -> np.ndarray:
+    """Sum of the vectors of ``size`` numbers in the column ``sum`` (bytes), one vector or so from each task.
+
+    Fewer and fewer tasks add them up, and the driver gets ``parts`` vectors at any size of the input.
+    """
+
     def plus(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for x in batch.column(0):
             total += np.frombuffer(x.as_buffer(), np.float64)
@@ -117,7 +126,6 @@ def summed(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], siz
             plus(total, batch)
         yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
 
-    made = df.mapInArrow(scan, "sum binary")
     n = made.rdd.getNumPartitions()
     while n > 16 * parts:  # no task adds up more than a few dozen vectors
         n = -(-n // 16)

@@ -4,8 +4,8 @@ Counts of all words come from all training documents. The network knows the most
 all other words; such a word's chance is that sign's times its smoothed share of the other words' counts, with one more place for words
 never seen. So every text has a chance, and chances sum to one.
 
-The network first learns from a sample of bounded size. Then a fixed share of all training documents is learned in parallel, each task
-starting from the same weights, and the weights are averaged by the number of tokens: what is learned from grows with the input.
+The network first learns from a sample of bounded size. Then all training documents are learned in parallel, each task starting from the
+same weights and carrying its own through all its documents, and the tasks' weights are averaged by the number of tokens.
 
 The counts of the ``FREQUENT`` most frequent words go to all tasks (a fixed size). Rarer ones are joined by word.
 """
@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideblock.llm import recurrent
-from tideblock.llm.frames import learned, remainder, summed, texts
+from tideblock.llm.frames import added, learned, remainder, texts
 from tideblock.llm.words import mix, slices, words
 from tideblock.scratch import keep
 
 CLASSES = MEMBERS = 64
 FREQUENT = 1 << 18
 WARM_TEXTS = 2000
-SHARE = 16
 FLUSH = 1 << 21
 SLICE_BYTES = 6 << 20
 END = np.uint64(0x0DDC0FFEEBADF00D)
@@ -132,9 +131,8 @@ def _trained(weights: list[np.ndarray], known: Known, column: pa.Array, memory:
 
 
 def network(docs: DataFrame, known: Known) -> np.ndarray:
-    """Weights learned from (doc_id, text): from a sample, then from a share of all rows with averaged weights."""
+    """Weights learned from (doc_id, text): from a sample, then from all rows with averaged weights."""
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language model")), F.lit(SHARE * 1000))
     held = spark.sparkContext.broadcast(known)
 
     def warm(batches: list[pa.RecordBatch]) -> bytes:
@@ -152,15 +150,15 @@ def network(docs: DataFrame, known: Known) -> np.ndarray:
     start = np.frombuffer(learned(docs.where(other < part), warm), np.float32)
     begun = spark.sparkContext.broadcast(start)
 
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = held.value
         weights = recurrent.unpacked(begun.value, CLASSES, MEMBERS)
         memory = [np.full_like(w, 1e-2) for w in weights]
-        n = sum(_trained(weights, k, column, memory) for column in _texts_of([batch]))
-        total[:-1] += n * recurrent.packed(weights).astype(np.float64)
-        total[-1] += n
+        n = sum(_trained(weights, k, column, memory) for column in _texts_of(batches))
+        total = np.append(recurrent.packed(weights).astype(np.float64), 1.0) * n
+        yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
 
-    total = summed(docs.where(place < 1000), add, len(start) + 1, parts=4)
+    total = added(docs.mapInArrow(whole, "sum binary"), len(start) + 1, parts=4)
     return (total[:-1] / total[-1]).astype(np.float32) if total[-1] else start
 
 
