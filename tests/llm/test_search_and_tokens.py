@@ -77,6 +77,20 @@ def test_items_at_every_place_of_long_documents():
     assert found == sorted((i, j) for i, j, _, _ in expected_items(list(enumerate(texts)), wanted))
 
 
+def test_short_items_inside_long_documents():
+    """All of 3,000 items of 5 to 20 words are found in documents of some 25,000 words, also with shingles gone or common to many items."""
+    r = random.Random(6)
+    wanted = [(k, ("what is the answer to " if k % 3 == 0 and k % 16 > 4 else "") + data.prose(9000 + k, 5 + k % 16, 10**6)) for k in range(3000)]
+    index = decontaminate.Index(wanted, 5)
+    texts = []
+    for k in range(30):
+        own = [w if j % 3 else data.edited(w, j, 0.02) for j, (_, w) in enumerate(wanted[100 * k : 100 * k + 100])]
+        texts.append(" ".join(data.prose(50_000 + 100 * k + j, r.randrange(200, 300), 10**6) + " " + w for j, w in enumerate(own)))
+    found = sorted((d, i) for d, i, _, _ in decontaminate.matches(index, pa.array(texts), 5, 80))
+    assert found == sorted((i, j) for i, j, _, _ in expected_items(list(enumerate(texts)), wanted))
+    assert len(found) > 2500
+
+
 def test_containment_of_empty_tables(spark):
     none, asked = data.documents(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained(none, asked).count() == 0

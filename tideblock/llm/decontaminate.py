@@ -1,10 +1,13 @@
 """Benchmark items inside documents: MinHash containment search partitioned by size, verified by exact containment.
 
 Items are short and documents may be long, so the similarity of their whole sets says little. Items are partitioned by their number of
-shingles (classes of 16, 32, 64, ...), and for a class of size u each document is seen as windows of 2 * u shingles, one every u. A passage
+shingles (classes of 32, 64, ...), and for a class of size u each document is seen as windows of 2 * u shingles, one every u. A passage
 of an item's length lies in one window whole, so that their similarity is 0.19 or more at a containment of 0.8, and 64 minimum hashes
 miss it with a probability of 1e-6. Windows are minima of blocks of 16 shingles, so all classes together cost one pass for each hash.
 
+Items of up to 16 shingles are too few among a window's for that. They are looked up by shingles, and none is missed: of the s shingles of
+an item of which k are asked for, any s - k + 1 have one of those found, so its s - k + 1 rarest ones among the items are enough.
+
 Items go to the tasks in blocks of bounded size, a scan for each block. A candidate is verified against the document's full set.
 """
 
@@ -45,16 +48,17 @@ def _units(keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 class Index:
-    """Minimum hashes of a block of items by size class. ``items``: (item_id, text) rows."""
+    """Shingles of the short ones of a block of items, and minimum hashes of the others by size class. ``items``: (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], n: int, percent: int = PERCENT):
         self.ids = [i for i, _ in items]
         self.keys, self.first = shingles(words(pa.array([t for _, t in items], pa.string())), n)
         size = np.diff(self.first)
+        self._look_up(size, percent)
         kind = np.ceil(np.log2(np.maximum(size, UNIT) / UNIT)).astype(int)
         self.classes = []
-        for c in np.unique(kind[size > 0]).tolist():
-            rows = np.flatnonzero((kind == c) & (size > 0))
+        for c in np.unique(kind[size > UNIT]).tolist():
+            rows = np.flatnonzero(kind == c)
             keys = np.concatenate([self.keys[self.first[r] : self.first[r + 1]] for r in rows])
             bounds = np.concatenate([[0], size[rows].cumsum()])
             count = -(-size[rows] // UNIT)
@@ -66,6 +70,21 @@ class Index:
             values, owner = values[order], np.repeat(rows, HASHES)[order]
             self.classes.append((c, values, owner, seen))
 
+    def _look_up(self, size: np.ndarray, percent: int) -> None:
+        """Of each item of ``UNIT`` shingles or fewer, its rarest ones, by shingle."""
+        owner = np.repeat(np.arange(len(size)), np.where(size <= UNIT, size, 0))
+        keys = self.keys[np.repeat(size <= UNIT, size)]
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.lexsort((keys, count[inverse], owner))
+        keys, owner = keys[order], owner[order]
+        spare = size - np.maximum(1, -(-percent * size // 100))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+        keys, owner = keys[rank <= spare[owner]], owner[rank <= spare[owner]]
+        order = np.argsort(keys, kind="stable")
+        self.short, self.short_owner = keys[order], owner[order]
+        self.short_seen = np.zeros(1 << FILTER_BITS, bool)
+        self.short_seen[self.short & np.uint64(len(self.short_seen) - 1)] = True
+
     def shared(self, item: int, keys: np.ndarray) -> tuple[int, int]:
         """How many shingles of the item are in ``keys`` (sorted), of how many."""
         own = self.keys[self.first[item] : self.first[item + 1]]
@@ -81,15 +100,35 @@ def _halved(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.minimum.reduceat(values, at, axis=0), bounds
 
 
+def _pairs(doc: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each document with the owners from its low to its high."""
+    n = high - low
+    items = owner[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)]
+    return zip(np.repeat(doc, n).tolist(), items.tolist(), strict=True)
+
+
+def _short(index: Index, runs: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs of documents and short items, as ``candidates``."""
+    at = np.flatnonzero(index.short_seen[runs & np.uint64(len(index.short_seen) - 1)])
+    low, high = (np.searchsorted(index.short, runs[at], side=side) for side in ("left", "right"))
+    some = high > low
+    doc, low, high = np.searchsorted(first, at[some], side="right") - 1, low[some], high[some]
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order], high[order]
+    fresh = np.ones(len(doc), bool)  # a shingle once for each document
+    fresh[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
+    return set(_pairs(doc[fresh], index.short_owner, low[fresh], high[fresh]))
+
+
 def candidates(index: Index, runs: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
     """(document, item) pairs worth verifying. Document d has the shingle hashes runs[first[d]:first[d + 1]], in text order."""
     full = np.flatnonzero(np.diff(first))
+    found = _short(index, runs, first)
     if not len(full) or not index.classes:
-        return set()
+        return found
     count = -(-np.diff(first)[full] // UNIT)
     bounds = np.concatenate([[0], count.cumsum()])
     blocks = _units(runs, np.append(first[full], first[-1]), count)
-    found: set[tuple[int, int]] = set()
     level = 0
     for c, values, owner, seen in index.classes:
         while level < c:
@@ -103,10 +142,7 @@ def candidates(index: Index, runs: np.ndarray, first: np.ndarray) -> set[tuple[i
         low, high = np.searchsorted(values, hit, side="left"), np.searchsorted(values, hit, side="right")
         some = high > low
         row, low, high = row[some], low[some], high[some]
-        doc = full[np.searchsorted(bounds, row, side="right") - 1]
-        n = high - low
-        items = owner[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)]
-        found.update(zip(np.repeat(doc, n).tolist(), items.tolist(), strict=True))
+        found.update(_pairs(full[np.searchsorted(bounds, row, side="right") - 1], owner, low, high))
     return found
 
 
@@ -135,14 +171,14 @@ def matches(index: Index, column: pa.Array, n: int, percent: int) -> list[tuple[
     return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str, n: int) -> Iterator[Index]:
+def blocks(items: DataFrame, item_id: str, text: str, n: int, percent: int) -> Iterator[Index]:
     """Indexes of blocks of items, each of bounded size."""
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     count = max(1, -(-size[0] // BLOCK_ITEMS), -(-(size[1] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
     for k in range(count):
-        yield Index([tuple(r) for r in (rows if count == 1 else rows.where(block == k)).sort("item_id").collect()], n)
+        yield Index([tuple(r) for r in (rows if count == 1 else rows.where(block == k)).sort("item_id").collect()], n, percent)
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -153,7 +189,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     """
     docs = texts(docs, doc_id, text)
     out = None
-    for index in blocks(items, item_id, item_text, n):
+    for index in blocks(items, item_id, item_text, n, percent):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
@@ -170,7 +206,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item; filtered in place."""
-    for index in blocks(items, "item_id", "text", n):
+    for index in blocks(items, "item_id", "text", n, percent):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
