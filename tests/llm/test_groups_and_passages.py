@@ -157,6 +157,19 @@ def test_passages_of_exactly_a_window_and_hot_passages(spark, monkeypatch):
     assert rows(substring_dedup.removals(docs)) == expected
 
 
+def test_a_run_many_times_in_two_documents_is_hot(spark, monkeypatch):
+    """Log-like texts: an anchor's phrases count, not only its classes, and no key gets more of them than one automaton holds."""
+    monkeypatch.setattr(substring_dedup, "HOT", 30)
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 30)
+    texts = [" ".join(f"level info took ms {' '.join(str(1000 * d + 13 * k + j) for j in range(n))}" for k in range(300)) for d, n in ((1, 3), (7, 9))]
+    texts += [data.prose(1, 40), texts[1][2000:4000]]
+    docs = data.plain(spark, texts)
+    held = substring_dedup.Found(docs, 13).held
+    assert held.where("size(hot) > 0").count() >= 2
+    assert substring_dedup.phrases(held, 13).groupBy("shard_key").count().agg({"count": "max"}).first()[0] <= 30
+    assert rows(substring_dedup.removals(docs)) == expected_removals(list(enumerate(texts)), 13)
+
+
 def test_cut_texts_keep_their_columns(spark):
     docs = data.documents(spark)
     out = substring_dedup.deduplicated(docs)

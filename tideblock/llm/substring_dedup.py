@@ -5,7 +5,8 @@
    five times fewer anchors than words; equal windows have equal anchors. Anchors of two classes or more are counted in one shuffle, in
    which a task sends an anchor once with all its classes.
 3. Recurring anchors go back to the first document of each class, which cuts out the phrases around them: the words of all windows with
-   that anchor. An anchor of very many classes gives one phrase to a window, so that its phrases spread over shards.
+   that anchor. An anchor of very many phrases, in many classes or many times in few, gives one phrase to a window, so that they spread
+   over shards.
 4. Phrases go to shards by anchor, each with its smallest and largest id. A shard confirms windows that recur in other documents by
    their words, compiles an Aho-Corasick automaton of them, and streams all phrases of the shard through it: the smallest id of each window.
 5. Those return to the documents, which drop the covered words.
@@ -33,7 +34,7 @@ WINDOW = 13
 ANCHOR = 4
 FLUSH = 1 << 20
 SHARD_PHRASES = 20_000
-HOT = SHARD_PHRASES  # classes of an anchor beyond which its phrases don't fit one automaton
+HOT = SHARD_PHRASES  # phrases of an anchor beyond which they don't fit one automaton
 CHUNK_WINDOWS = 16
 NEVER = (1 << 63) - 1
 
@@ -97,24 +98,24 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, window: int) -> DataFrame:
-    """class, anchor, hot: the anchors that two classes or more have."""
+    """class, anchor, hot, times: the anchors that two classes or more have. ``times`` sums up to the phrases of all, a class's copies once in a part."""
 
-    def emit(anchor: list[np.ndarray], kind: list[np.ndarray]) -> pa.RecordBatch:
-        a, c = np.concatenate(anchor), np.concatenate(kind)
+    def emit(anchor: list[np.ndarray], kind: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
+        a, c, k = np.concatenate(anchor), np.concatenate(kind), np.concatenate(times)
         order = np.lexsort((c, a))
-        a, c = a[order], c[order]
+        a, c, k = a[order], c[order], k[order]
         fresh = np.ones(len(a), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        a, c = a[fresh], c[fresh]
+        a, c, k = a[fresh], c[fresh], np.maximum.reduceat(k, np.flatnonzero(fresh))
         head = np.ones(len(a), bool)
         head[1:] = a[1:] != a[:-1]
         more = np.diff(np.append(np.flatnonzero(head), len(a))) - 1
         offsets = np.concatenate([[0], 8 * more.cumsum()]).astype(np.int32)
         rest = pa.Array.from_buffers(pa.binary(), len(more), [pa.py_buffer(np.packbits(more > 0, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(c[~head].tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(c[head]), rest], names=["anchor", "class", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(c[head]), rest, pa.array(np.add.reduceat(k, np.flatnonzero(head)))], names=["anchor", "class", "more", "times"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, kind, held = [], [], 0
+        anchor, kind, times, held = [], [], [], 0
         for batch in batches:
             column = batch.column(1)
             for low, high in slices(column):
@@ -124,19 +125,26 @@ def recurring(docs: DataFrame, window: int) -> DataFrame:
                     new = np.ones(len(at), bool)
                     new[1:] = (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)
                     own = _class_of(_digest(Joined(w), w))
-                    anchor.append(best[new])
-                    kind.append(own[np.searchsorted(w.first, at[new], side="right") - 1])
-                    held += int(new.sum())
+                    start = np.flatnonzero(new)
+                    chunks = -(-np.diff(np.append(start, len(at))) // CHUNK_WINDOWS)
+                    a, doc = best[start], np.searchsorted(w.first, at[start], side="right") - 1
+                    order = np.lexsort((a, doc))
+                    a, doc = a[order], doc[order]
+                    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])))
+                    anchor.append(a[first])
+                    kind.append(own[doc[first]])
+                    times.append(np.add.reduceat(chunks[order], first))
+                    held += len(first)
                 if held >= FLUSH:
-                    yield emit(anchor, kind)
-                    anchor, kind, held = [], [], 0
+                    yield emit(anchor, kind, times)
+                    anchor, kind, times, held = [], [], [], 0
         if held:
-            yield emit(anchor, kind)
+            yield emit(anchor, kind, times)
 
-    sent = docs.mapInArrow(scan, "anchor long, class long, more binary")
+    sent = docs.mapInArrow(scan, "anchor long, class long, more binary, times long")
     over = "over (partition by anchor)"
     found = sent.selectExpr(
-        "anchor", "class", "more", f"min(class) {over} < max(class) {over} or count(more) {over} > 0 as several", f"sum(1 + coalesce(octet_length(more), 0) / 8) {over} > {HOT} as hot"
+        "anchor", "class", "more", "times", f"min(class) {over} < max(class) {over} or count(more) {over} > 0 as several", f"sum(times) {over} > {HOT} as hot"
     ).where("several")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +154,9 @@ def recurring(docs: DataFrame, window: int) -> DataFrame:
             rest = np.frombuffer(b"".join(more.to_pylist()), "<i8")
             row = np.concatenate([np.arange(len(n)), np.repeat(np.arange(len(n)), n)])
             kind = np.concatenate([batch.column(1).to_numpy(), rest])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row))], names=["class", "anchor", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(np.append(batch.column(4).to_numpy(), np.zeros(len(rest), np.int64)))], names=["class", "anchor", "hot", "times"])
 
-    return found.select("anchor", "class", "more", "hot").mapInArrow(unpack, "class long, anchor long, hot boolean")
+    return found.select("anchor", "class", "more", "hot", "times").mapInArrow(unpack, "class long, anchor long, hot boolean, times long")
 
 
 def _phrases(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, bytes, int]]:
@@ -301,11 +309,13 @@ class Found:
         made = keep(sequences(docs), "sequences")
         known = made.where("doc_id is not null")
         classes = keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")  # so that a large class can be split in joins
-        again = keep(recurring(docs.where("doc_id is not null"), window).groupBy("class").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "anchors")
+        lists = [F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")]
+        n_phrases = F.sum(F.col("times") * F.when(F.col("hot"), 8).otherwise(1)).alias("n_phrases")
+        again = keep(recurring(docs.where("doc_id is not null"), window).groupBy("class").agg(*lists, n_phrases), "anchors")
         little_endian = F.conv(F.concat(*[F.substring(F.hex("digest"), 2 * i - 1, 2) for i in range(8, 0, -1)]), 16, -10).cast("long")
-        firsts = classes.select("digest", "rep", little_endian.alias("class")).join(again, "class")
+        firsts = classes.select("digest", "rep", little_endian.alias("class")).join(again.drop("n_phrases"), "class")
         self.held = keep(docs.join(firsts.drop("class").withColumnRenamed("rep", "_rep").hint("merge"), F.col("doc_id") == F.col("_rep")).select("doc_id", "text", "digest", "cold", "hot"), "held")
-        n = self.held.agg(F.sum(F.size("cold") + 8 * F.size("hot"))).first()[0] or 0
+        n = again.agg(F.sum("n_phrases")).first()[0] or 0
         shards = max(docs.sparkSession.sparkContext.defaultParallelism, int(n) // SHARD_PHRASES + 1)
         known_windows = located(phrases(self.held, window), window, shards)
         seen = places(self.held, window).join(known_windows, ["shard_key", "phrase_key"])
