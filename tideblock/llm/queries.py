@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import decontaminate, language_id, lm_score, merkle, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
+from tideblock.llm import decontaminate, language_id, lexical, lm_score, merkle, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
 from tideblock.llm.frames import table
 
 
@@ -50,6 +50,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
@@ -65,5 +69,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
     "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_ranked_lexical_search": (op11_ranked_lexical_search, lexical.SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, merkle.SQL),
 }
