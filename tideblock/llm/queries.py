@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideblock.llm import decontaminate, language_id, lexical, lm_score, merkle, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
+from tideblock.llm import ann, decontaminate, language_id, lexical, lm_score, merkle, near_dedup, packing, quality, substring_dedup, token_counts, top_k, toxicity
 from tideblock.llm.frames import table
 
 
@@ -54,6 +54,10 @@ def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
     "op11_ranked_lexical_search": (op11_ranked_lexical_search, lexical.SQL),
+    "op12_approximate_neighbours": (op12_approximate_neighbours, None),
     "op13_merkle_manifest": (op13_merkle_manifest, merkle.SQL),
 }
