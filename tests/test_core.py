@@ -100,3 +100,24 @@ def test_weighted_quantiles_and_summary(spark):
     assert got == {p: pytest.approx(float(np.quantile(flat, p))) for p in (0.25, 0.4, 0.5)}
     s = summary(spark.createDataFrame([(x,) for x in flat], "x double"), [], "x").first()
     assert (s["count"], s["mean"], s["median"], s["p90"]) == (8, 25 / 8, 3.5, 5.0)
+
+
+@pytest.mark.parametrize(("parts", "block"), [(1, 2), (7, 4), (7, 256)])
+def test_fold_equals_a_plain_loop(spark, many_chunks, parts, block):
+    """An operation that is associative but not commutative: joining texts, cut to their last 40 characters."""
+    rows = series()
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint, v double").repartition(parts)
+    chunks = o.chunk(df, ["k"], ["t", "i"])
+    out = o.fold(chunks, ["k"], ["t", "i"], "text", F.concat(F.col("i").cast("string"), F.lit(" ")), lambda a, b: F.right(F.concat(a, b), F.lit(40)), block)
+    got = {r.i: r.text for r in out.collect()}
+    assert len(got) == len(rows) and set(out.columns) == {"k", "t", "i", "v", o.CHUNK, "text"}
+    for ks in by_key(rows).values():
+        want = ""
+        for _, _, i, _ in ks:
+            want = (want + f"{i} ")[-40:]
+            assert got[i] == want
+
+
+def test_fold_of_no_rows(spark):
+    none = spark.createDataFrame([], "k string, t bigint")
+    assert o.fold(o.chunk(none, ["k"], ["t"]), ["k"], ["t"], "x", F.col("t"), lambda a, b: a + b).count() == 0

@@ -100,6 +100,48 @@ def test_limits_are_compared_with_all_decimals(spark, limit, above, below):
     assert (hit["_volume"], hit["_count"]) == (7.0, 2)
 
 
+@pytest.mark.parametrize("prints", [1, 3])
+def test_first_prints_equal_a_search(spark, many_chunks, prints):
+    """Blocks of many levels, equal prices and times, orders without a side or a limit."""
+    rng = random.Random(prints)
+    trades = [("S", f"b{rng.randrange(3)}", rng.randrange(50), i, rng.choice(["buy", "sell", None]), rng.randrange(60) / 4, float(rng.randrange(0, 4))) for i in range(700)]
+    orders = [(i, "S", f"b{rng.randrange(4)}", rng.choice(["buy", "sell", None, "hold"]), 2.0, None if i % 17 == 0 else rng.randrange(64) / 4) for i in range(300)]
+    got = of.first_prints(
+        spark.createDataFrame(orders, "order_id int, symbol string, book_event_id string, side string, size double, limit_px double"),
+        spark.createDataFrame(trades, "symbol string, book_event_id string, ts_ms bigint, event_id bigint, side string, px double, sz double"), prints,
+    ).collect()
+    found = {r.order_id: (r["_volume"], r["_value"], r["_count"]) for r in got}
+    assert len(found) == len(got) == len(orders)
+    for i, _, block, side, _, limit in orders:
+        hit = [t for t in trades if t[1] == block and t[6] > 0 and limit is not None and ((side == "buy" and t[4] == "sell" and t[5] <= limit) or (side == "sell" and t[4] == "buy" and t[5] >= limit))]
+        hit = sorted(hit, key=lambda t: (t[2], t[3]))[:prints]
+        want = (sum(t[6] for t in hit), sum(t[5] * t[6] for t in hit), len(hit)) if hit else (None, None, None)
+        assert found[i] == want
+
+
+def test_ten_thousand_orders_and_trades_of_one_block(spark):
+    """10**8 pairs are not formed: every order of the block reaches thousands of trades."""
+    base = spark.range(10_000).select(F.lit("S").alias("symbol"), F.lit("b").alias("book_event_id"), "id")
+    trades = base.select("*", F.pmod(F.col("id") * 7919, F.lit(10_007)).alias("ts_ms"), F.col("id").alias("event_id"), F.lit("sell").alias("side"), (100 + F.pmod(F.col("id") * 31, F.lit(10_000)) / 1000).alias("px"), F.lit(1.0).alias("sz"))
+    orders = base.select("*", F.col("id").alias("order_id"), F.lit("buy").alias("side"), (100 + F.col("id") / 1000).alias("limit_px"))
+    rows = of.first_prints(orders.drop("id"), trades.drop("id"), 5)
+    got = {r.order_id: (r["_volume"], r["_count"]) for r in rows.select("order_id", "_volume", "_count").collect()}
+    assert len(got) == 10_000 and all(got[i] == (float(min(i + 1, 5)), min(i + 1, 5)) for i in range(10_000))
+
+
+def test_average_cost_after_very_many_partial_closes(spark, many_chunks):
+    """Each close leaves a tenth: a plain product of the remainders of 600 closes and re-openings would be 1e-600."""
+    fills, held = [], 0.0
+    for i in range(600):
+        fills += [("A", 2 * i, f"{2 * i:05d}", "buy", 100.0 + i % 7, 10.0 - held, 0.0), ("A", 2 * i + 1, f"{2 * i + 1:05d}", "sell", 101.0, 9.0, 0.0)]
+        held = 1.0
+    rows = ps.average_cost_ledger(spark.createDataFrame(fills, FILLS), spark.createDataFrame([], FUNDS), ["run_id"]).collect()
+    want = fold(fills, [], False)
+    assert len(rows) == 1200
+    for r in rows:
+        assert (r.position, r.avg_cost, r.price_pnl) == (want[r.trade_id][0], pytest.approx(want[r.trade_id][1]), pytest.approx(want[r.trade_id][2]))
+
+
 def test_unwind_latch_equals_a_loop(spark, many_chunks):
     rng = random.Random(9)
     rows = [("S", i, i, rng.random() < 0.15, rng.random() < 0.05, rng.choice([0.0, 0.5, 1.0, -2.0, 3.0])) for i in range(300)]

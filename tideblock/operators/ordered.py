@@ -4,11 +4,14 @@ A key may hold a third of all rows, so no window here is partitioned by the key
 by (key, order) into chunks; the chunk number is written with the row. Each chunk is summarised, the summaries
 (one row per key and chunk) are scanned, and the result enters its chunk as one extra row before (or after) the
 chunk's own rows. The row-level window is partitioned by (key, chunk).
+
+Beyond sums and last values, :func:`fold` runs any associative operation (composed maps, merged lists) the same way,
+with doubling steps instead of a built-in window function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +21,7 @@ from tideblock import scratch
 
 CHUNK = "_chunk"
 _SLOT = "_slot"
+FOLD_BLOCK = 256
 _OPEN, _CLOSE = Window.unboundedPreceding, Window.currentRow
 
 
@@ -137,3 +141,51 @@ def scan(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], **runs: R
 def over(df: DataFrame, keys: Sequence[str], order: Sequence[str], **runs: Run) -> DataFrame:
     """Chunk, scan and drop the chunk number."""
     return scan(chunk(df, keys, order), keys, order, **runs).drop(CHUNK)
+
+
+def _doubled(rows: DataFrame, column: str, merge: Callable[[Column, Column], Column], series, longest: int, start: Column | None = None) -> DataFrame:
+    """Running results over ``series``: each step merges in the result that ends where this one begins, twice as far back as the step before.
+
+    ``longest`` bounds the rows of a series; a row's ``start`` is its number of rows since its own beginning, where that isn't the series'.
+    """
+    back = 1
+    while back < longest:
+        earlier = F.lag(column, back).over(series)
+        reached = earlier.isNotNull() if start is None else (start >= back)
+        rows = rows.withColumn("_earlier", F.when(reached, earlier))
+        rows = rows.withColumn(column, F.when(F.col("_earlier").isNull(), F.col(column)).otherwise(merge(F.col("_earlier"), F.col(column))))
+        back *= 2
+    return rows.drop("_earlier")
+
+
+def fold(
+    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], into: str, value: Column, merge: Callable[[Column, Column], Column],
+    block: int | None = None,
+) -> DataFrame:
+    """Add the running result of an associative operation to a chunked frame: ``value`` of all rows up to this one, merged.
+
+    ``merge(earlier, later)`` combines two neighbouring stretches; ``value`` and what it gives must not be null, and keys neither. Rows are
+    merged by doubling within blocks of ``block`` rows of their chunk; the blocks' results, a few rows of the chunk, are merged
+    likewise within the chunk, the chunks' results within the key, and what lies before a block joins its rows.
+    """
+    block = block or FOLD_BLOCK
+    place = [*keys, CHUNK]
+    series = Window.partitionBy(*place).orderBy(*order)
+    rows = chunks.withColumns({"_at": F.row_number().over(series) - 1, "_last": F.lead(F.lit(1)).over(series).isNull(), into: value})
+    rows = _doubled(rows, into, merge, series, block, F.col("_at") % block)
+    rows = scratch.keep(rows.withColumn("_block", F.floor(F.col("_at") / block)), "fold")
+    most, chunk_count = rows.agg(F.max("_block"), F.max(CHUNK)).first()
+    if most is None:
+        return rows.drop("_at", "_last", "_block")
+    ends = rows.filter(F.col("_last") | (F.col("_at") % block == block - 1)).select(*place, "_block", "_last", into)
+    in_chunk = Window.partitionBy(*place).orderBy("_block")
+    ends = _doubled(ends, into, merge, in_chunk, most + 1)
+    ends = scratch.keep(ends.withColumn("_before", F.lag(into).over(in_chunk)), "fold")
+    in_key = Window.partitionBy(*keys).orderBy(CHUNK)
+    whole = _doubled(ends.filter("_last").select(*place, into), into, merge, in_key, chunk_count + 1)
+    whole = whole.select(*place, F.lag(into).over(in_key).alias("_open"))
+    before = F.when(F.col("_open").isNull(), F.col("_before")).when(F.col("_before").isNull(), F.col("_open")).otherwise(merge(F.col("_open"), F.col("_before")))
+    heads = ends.join(whole, place).select(*place, "_block", before.alias("_head")).filter(F.col("_head").isNotNull())
+    out = rows.join(heads, [*place, "_block"], "left")
+    result = F.when(F.col("_head").isNull(), F.col(into)).otherwise(merge(F.col("_head"), F.col(into)))
+    return out.withColumn(into, result).drop("_at", "_last", "_block", "_head")

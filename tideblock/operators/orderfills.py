@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideblock.functions.quoting import crosses_post_only
 from tideblock.operators import ordered
-from tideblock.operators.asof import asof
 
-# Prices are compared as they come in, with all decimals; the as-of axis is cut into stretches of one unit of price.
+# Prices are compared as they come in, with all decimals.
 PRICE = "decimal(38,18)"
-PRICE_STRETCH = 1
+AXIS = ["_u", "_kind", "_tie"]
 BLOCK_KEY = ["symbol", "book_event_id"]
 TRADE_ORDER = ["ts_ms", "event_id"]
 
@@ -28,49 +27,66 @@ def _hit_side(order_side: Column) -> Column:
     return F.when(order_side == "buy", F.lit("sell")).when(order_side == "sell", F.lit("buy"))
 
 
-def eligible_volume(orders: DataFrame, bucketed: DataFrame, keys: Sequence[str] = BLOCK_KEY) -> DataFrame:
-    """Volume, value and count of the block's opposite trades at or through each order's limit.
+def _by_price(orders: DataFrame, bucketed: DataFrame, keys: Sequence[str], totals: Callable[[DataFrame, list[str]], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Price levels with their ``totals`` and orders in one series per (block, side), from the best price for the order.
 
-    Trades are summed per (block, side, price) and accumulated from the best price for the order; each order then
-    takes the total at its limit by an as-of join along the price axis. No order-trade pairs are formed.
+    An order comes after the levels that it reaches, its own limit included, so a running value over the levels is the order's answer.
     """
     reach = lambda side, px: F.when(side == "sell", px.cast(PRICE)).otherwise(-px.cast(PRICE))
     usable = bucketed.filter(F.col("px").isNotNull() & (F.col("sz") > 0) & F.col("side").isin("buy", "sell"))
-    levels = usable.groupBy(*keys, F.col("side").alias("_hit"), reach(F.col("side"), F.col("px")).alias("_u")).agg(
-        F.sum("sz").alias("_sz"), F.sum(F.col("px") * F.col("sz")).alias("_val"), F.count(F.lit(1)).alias("_n")
-    )
     place = [*keys, "_hit"]
-    summed = ordered.over(
-        levels, place, ["_u"],
+    priced = usable.withColumns({"_hit": F.col("side"), "_u": reach(F.col("side"), F.col("px"))})
+    levels = totals(priced, [*place, "_u"]).withColumn("_kind", F.lit(0))
+    hit = F.coalesce(_hit_side(F.col("side")), F.lit(""))
+    asked = orders.withColumns({"_hit": hit, "_u": reach(hit, F.col("limit_px")), "_kind": F.lit(1)})
+    series = asked.unionByName(levels, allowMissingColumns=True).withColumn("_tie", F.monotonically_increasing_id())
+    return ordered.chunk(series, place, AXIS), place
+
+
+def eligible_volume(orders: DataFrame, bucketed: DataFrame, keys: Sequence[str] = BLOCK_KEY) -> DataFrame:
+    """Volume, value and count of the block's opposite trades at or through each order's limit.
+
+    Trades are summed per (block, side, price) and accumulated along the price axis. No order-trade pairs are formed.
+    """
+    sums = [F.sum("sz").alias("_sz"), F.sum(F.col("px") * F.col("sz")).alias("_val"), F.count(F.lit(1)).alias("_n")]
+    series, place = _by_price(orders, bucketed, keys, lambda trades, by: trades.groupBy(*by).agg(*sums))
+    summed = ordered.scan(
+        series, place, AXIS,
         _volume=ordered.running_sum(F.col("_sz")),
         _value=ordered.running_sum(F.col("_val")),
         _count=ordered.running_sum(F.col("_n")),
     )
-    asked = orders.withColumn("_hit", _hit_side(F.col("side")))
-    hit = asof(
-        asked, summed, place, at=reach(F.col("_hit"), F.col("limit_px")), quote_at="_u",
-        payload=["_volume", "_value", "_count"], ties=["_u"], into="_e", bucket_ms=PRICE_STRETCH,
-    )
-    return hit.withColumns({"_volume": F.col("_e._volume"), "_value": F.col("_e._value"), "_count": F.col("_e._count")}).drop(
-        "_e", "_hit"
-    )
+    return summed.filter(F.col("_kind") == 1).drop(*place[-1:], *AXIS, "_sz", "_val", "_n", ordered.CHUNK)
 
 
 def first_prints(orders: DataFrame, bucketed: DataFrame, prints: int, keys: Sequence[str] = BLOCK_KEY) -> DataFrame:
-    """The same totals over the first ``prints`` eligible trades in time order."""
-    trades = bucketed.filter(F.col("px").isNotNull() & (F.col("sz") > 0)).select(
-        *keys, *[F.col(c).alias(f"t_{c}") for c in (*TRADE_ORDER, "side", "px", "sz")]
-    )
-    through = F.when(F.col("side") == "buy", F.col("t_px") <= F.col("limit_px")).otherwise(
-        F.col("t_px") >= F.col("limit_px")
-    )
-    asked = orders.select("order_id", *keys, "side", "limit_px").withColumn("t_side", _hit_side(F.col("side")))
-    pairs = asked.join(trades, [*keys, "t_side"]).filter(through)
-    numbered = ordered.over(pairs, ["order_id"], [f"t_{c}" for c in TRADE_ORDER], _i=ordered.row_count())
-    totals = numbered.filter(F.col("_i") <= prints).groupBy("order_id").agg(
-        F.sum("t_sz").alias("_volume"), F.sum(F.col("t_px") * F.col("t_sz")).alias("_value"), F.count(F.lit(1)).alias("_count")
+    """The same totals over the first ``prints`` eligible trades in time order.
+
+    Each price level keeps its first ``prints`` trades. Along the price axis the lists of two stretches merge into the first ``prints``
+    trades of both, so an order finds the first trades of all levels it reaches, and no order-trade pairs are formed.
+    """
+    trade = F.struct(*TRADE_ORDER, F.col("px").cast("double").alias("px"), F.col("sz").cast("double").alias("sz"))
+
+    def first(trades: DataFrame, by: list[str]) -> DataFrame:
+        place = Window.partitionBy(*by).orderBy(*TRADE_ORDER)
+        few = trades.withColumn("_i", F.row_number().over(place)).filter(F.col("_i") <= prints)
+        return few.groupBy(*by).agg(F.sort_array(F.collect_list(trade)).alias("_prints"))
+
+    series, place = _by_price(orders, bucketed, keys, first)
+    kind = series.schema["_prints"].dataType.simpleString()
+    none = F.array().cast(kind)
+    merge = lambda a, b: F.slice(F.sort_array(F.concat(a, b)), 1, prints)
+    merged = ordered.fold(series, place, AXIS, "_first", F.coalesce("_prints", none), merge)
+    some = F.size("_first") > 0
+    total = lambda of: F.when(some, F.aggregate("_first", F.lit(0.0), lambda s, t: s + of(t)))
+    answers = merged.filter(F.col("_kind") == 1).withColumns(
+        {
+            "_volume": total(lambda t: t["sz"]),
+            "_value": total(lambda t: t["px"] * t["sz"]),
+            "_count": F.when(some, F.size("_first").cast("bigint")),
+        }
     )
-    return orders.join(totals, "order_id", "left")
+    return answers.drop(*place[-1:], *AXIS, "_prints", "_first", ordered.CHUNK)
 
 
 def evaluate(

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,9 +113,8 @@ def position_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[str])
 def average_cost_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same ledger with true average cost: a partial close keeps the average of the remainder.
 
-    Given the position (a running sum), each event maps the open cost ``C`` to ``a * C + b``. Every chunk is
-    first reduced to one such map, the maps (one row per key and chunk) are applied in order to give each chunk
-    its opening cost, and then the chunks are walked independently.
+    Given the position (a running sum), each event maps the open cost ``C`` and the realised pnl ``G`` to ``a * C + b`` and
+    ``G + g * C + h``. Such maps compose to maps of the same form, so the ledger is their running composition.
     """
     size = F.col("sz").cast(EXACT)
     signed = F.when(F.col("side") == "buy", size).when(F.col("side").isNotNull(), -size).otherwise(F.lit(0).cast(EXACT))
@@ -128,60 +126,19 @@ def average_cost_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[st
         funding=ordered.running_sum(F.col("amount")),
         last_px=ordered.last_seen(F.col("px")),
     )
-    rows = scratch.keep(
-        held.withColumns(
-            {
-                "_signed": F.col("_s").cast("double"),
-                "_before": (F.col("position").cast(EXACT) - F.col("_s")).cast("double"),
-                "_after": F.col("position").cast("double"),
-            }
-        ),
-        "ledger",
+    rows = held.withColumns(
+        {
+            "_signed": F.col("_s").cast("double"),
+            "_before": (F.col("position").cast(EXACT) - F.col("_s")).cast("double"),
+            "_after": F.col("position").cast("double"),
+        }
     )
-    place = [*keys, ordered.CHUNK]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in place)
-
-    def reduce_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = 1.0, 0.0
-        for kind, before, signed_size, after, px in _walk(pdf):
-            step_a, step_b = _cost_step(kind, before, signed_size, after, px)
-            a, b = step_a * a, step_a * b + step_b
-        return pd.DataFrame([[*key, a, b]])
-
-    def open_chunks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordered.CHUNK)
-        cost, opening = 0.0, []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            opening.append(cost)
-            cost = a * cost + b
-        return pdf[place].assign(_open=opening)
-
-    def walk_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        cost, costs, gains = float(pdf["_open"].iloc[0]), [], []
-        for kind, before, signed_size, after, px in _walk(pdf):
-            gain = 0.0
-            if kind == 1 and before * signed_size < 0:
-                closed = min(abs(before), abs(signed_size))
-                gain = (px - cost / before) * closed * (1 if before > 0 else -1)
-            step_a, step_b = _cost_step(kind, before, signed_size, after, px)
-            cost = step_a * cost + step_b
-            costs.append(cost)
-            gains.append(gain)
-        return pdf[[c for c in names if c in pdf]].assign(_cost=costs, _gain=gains)
-
-    needed = rows.select(*place, *ORDER, "_before", "_signed", "_after", "px")
-    maps = needed.groupBy(*place).applyInPandas(reduce_chunk, f"{key_schema}, a double, b double")
-    opening = maps.groupBy(*keys).applyInPandas(open_chunks, f"{key_schema}, _open double")
-    names = [c for c in rows.columns]
-    out_schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _cost double, _gain double"
-    walked = rows.join(opening, place).groupBy(*place).applyInPandas(walk_chunk, out_schema)
-    out = ordered.scan(scratch.keep(walked, "ledger"), keys, ORDER, price_pnl=ordered.running_sum(F.col("_gain")))
+    folded = ordered.fold(rows, keys, ORDER, "_map", _cost_map(), _then)
     return _finish(
-        out.withColumns(
+        folded.withColumns(
             {
-                "avg_cost": F.when(F.col("_after") != 0, F.col("_cost") / F.col("_after")),
+                "avg_cost": F.when(F.col("_after") != 0, F.col("_map.b") / F.col("_after")),
+                "price_pnl": F.col("_map.h"),
                 "fees": F.coalesce("_fees", F.lit(0.0)),
                 "funding": F.coalesce("funding", F.lit(0.0)),
             }
@@ -190,17 +147,24 @@ def average_cost_ledger(fills: DataFrame, fundings: DataFrame, keys: Sequence[st
     )
 
 
-def _walk(pdf: pd.DataFrame) -> Iterator[tuple]:
-    ordered_rows = pdf.sort_values(ORDER)
-    return ordered_rows[["_kind", "_before", "_signed", "_after", "px"]].itertuples(index=False, name=None)
+def _cost_map() -> Column:
+    """What an event does to the open cost (``a``, ``b``) and to the realised pnl (``g``, ``h``)."""
+    before, signed, after, px = F.col("_before"), F.col("_signed"), F.col("_after"), F.col("px")
+    fill = F.col("_kind") == 1
+    adds, keeps, closes = before * signed > 0, before * after > 0, fill & (before * signed < 0)
+    closed = F.least(F.abs(before), F.abs(signed)) * F.signum(before)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    value = lambda c: F.coalesce(c, zero)
+    return F.struct(
+        F.when(~fill | adds, one).when(keeps, after / before).otherwise(zero).alias("a"),
+        F.when(~fill, zero).when(adds, value(signed * px)).when(keeps, zero).otherwise(value(after * px)).alias("b"),
+        F.when(closes, -closed / before).otherwise(zero).alias("g"),
+        F.when(closes, value(closed * px)).otherwise(zero).alias("h"),
+    )
 
 
-def _cost_step(kind: int, before: float, signed: float, after: float, px: float) -> tuple[float, float]:
-    """(a, b) of the map from open cost to open cost."""
-    if kind == 0:
-        return 1.0, 0.0
-    if before * signed > 0:
-        return 1.0, signed * px
-    if before * after > 0:
-        return after / before, 0.0
-    return 0.0, after * px
+def _then(x: Column, y: Column) -> Column:
+    """The map that does ``x``, then ``y``."""
+    return F.struct(
+        (y["a"] * x["a"]).alias("a"), (y["a"] * x["b"] + y["b"]).alias("b"), (x["g"] + y["g"] * x["a"]).alias("g"), (x["h"] + y["g"] * x["b"] + y["h"]).alias("h")
+    )

@@ -235,7 +235,28 @@ def e8(spark: SparkSession, sf: str) -> DataFrame:
     return ps.position_ledger(v.deals(spark, sf), v.fundings(spark, sf), ["run_id"]).select("run_id", "ts_ms", "trade_id", *_POS.split())
 
 
-@query("e8_average_cost_ledger")
+v.CTES["ledger_events"] = (
+    ["deals", "fundings"],
+    """SELECT *, row_number() OVER w AS rn, sum(s) OVER w AS position, -sum(fee) OVER w AS fees, sum(amount) OVER w AS funding, last_value(px IGNORE NULLS) OVER w AS last_px,
+      max(CASE WHEN kind = 1 THEN ts_ms END) OVER (PARTITION BY run_id) AS last_fill FROM (
+    SELECT run_id, ts_ms, 1 AS kind, trade_id AS id, trade_id, px, CASE WHEN side = 'buy' THEN sz ELSE -sz END AS s, fee, 0 AS amount FROM deals
+    UNION ALL SELECT run_id, ts_ms, 0, CAST(funding_id AS VARCHAR), NULL, NULL, 0, 0, amount FROM fundings)
+    WINDOW w AS (PARTITION BY run_id ORDER BY ts_ms, kind, id)""",
+)
+v.CTES["average_costs"] = (
+    ["ledger_events"],
+    """WITH RECURSIVE c AS (
+    SELECT DISTINCT run_id, 0::BIGINT AS rn, 0::DOUBLE AS held, 0::DOUBLE AS cost, 0::DOUBLE AS pnl FROM ledger_events
+    UNION ALL SELECT e.run_id, e.rn, e.position, CASE WHEN kind = 0 THEN cost WHEN held * s > 0 THEN cost + s * px WHEN held * e.position > 0 THEN cost * e.position / held ELSE e.position * px END,
+      pnl + CASE WHEN kind = 1 AND held * s < 0 THEN least(abs(held), abs(s)) * sign(held) * (px - cost / held) ELSE 0 END
+    FROM c JOIN ledger_events e ON e.run_id = c.run_id AND e.rn = c.rn + 1)
+    SELECT run_id, rn, cost, pnl FROM c""",
+)
+
+
+@query("e8_average_cost_ledger", "ledger_events average_costs", """SELECT run_id, ts_ms, trade_id, position, avg_cost, pnl AS price_pnl, fees, funding, unreal AS unrealized_pnl, pnl + fees + funding + unreal AS total_pnl FROM (
+  SELECT *, COALESCE((last_px - avg_cost) * position, 0) AS unreal FROM (SELECT e.*, pnl, CASE WHEN position <> 0 THEN cost / position END AS avg_cost FROM ledger_events e JOIN average_costs USING (run_id, rn))
+  WHERE kind = 1 OR ts_ms > COALESCE(last_fill, 0))""", _POS)
 def e8b(spark: SparkSession, sf: str) -> DataFrame:
     return ps.average_cost_ledger(v.deals(spark, sf), v.fundings(spark, sf), ["run_id"]).select("run_id", "ts_ms", "trade_id", *_POS.split())
 
@@ -348,11 +369,11 @@ PARAMS = {
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    """Quoting states from the base run's ledger."""
-    led = v.ledger(spark, sf).filter(base_run())
+    """Quoting states from the ledgers of all runs."""
+    led = v.ledger(spark, sf)
     imb = F.col("signed_volume") / 100
     return rn.drawdown(led).select(
-        "book_event_id", "block_ts_ms", F.col("mark_price").alias("mid"), "position", "drawdown", "market_spread_bps", "abs_mid_ret", "signed_volume",
+        "run_id", "book_event_id", "block_ts_ms", F.col("mark_price").alias("mid"), "position", "drawdown", "market_spread_bps", "abs_mid_ret", "signed_volume",
         F.lit(None).cast("double").alias("signed_volume_window"), imb.alias("imbalance"), (imb * 0.5).alias("micro_pos"), (imb * 4).alias("micro_bias_bps"),
         F.lit(False).alias("unwind_candidate"),
     )
@@ -360,29 +381,29 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
 
 v.CTES["states"] = (
     ["ledger"],
-    """SELECT book_event_id, block_ts_ms, mark_price AS mid, COALESCE(position, 0) AS inv, market_spread_bps AS ms, abs_mid_ret AS amr, signed_volume AS sv, signed_volume / 100 AS imb, signed_volume / 100 * 4 AS mb,
-    total_pnl - max(total_pnl) OVER (ORDER BY block_ts_ms, book_event_id ROWS UNBOUNDED PRECEDING) AS dd FROM ledger WHERE run_id = 'base'""",
+    """SELECT run_id, book_event_id, block_ts_ms, mark_price AS mid, COALESCE(position, 0) AS inv, market_spread_bps AS ms, abs_mid_ret AS amr, signed_volume AS sv, signed_volume / 100 AS imb, signed_volume / 100 * 4 AS mb,
+    total_pnl - max(total_pnl) OVER (PARTITION BY run_id ORDER BY block_ts_ms, book_event_id ROWS UNBOUNDED PRECEDING) AS dd FROM ledger""",
 )
 
 
-@query("b11_market_trigger_flags", "states", """SELECT book_event_id, 'wide' AS variant, ms > 12.5 AS halt_flag, amr > 0.004 AS boost_market_flag, false AS stop_market_flag, abs(sv) > 40 AS pull_flag FROM states
-  UNION ALL SELECT book_event_id, 'flow', amr > 0.02, false, false, ms < 2.0 OR abs(sv) > 45 FROM states""")
+@query("b11_market_trigger_flags", "states", """SELECT run_id, book_event_id, 'wide' AS variant, ms > 12.5 AS halt_flag, amr > 0.004 AS boost_market_flag, false AS stop_market_flag, abs(sv) > 40 AS pull_flag FROM states
+  UNION ALL SELECT run_id, book_event_id, 'flow', amr > 0.02, false, false, ms < 2.0 OR abs(sv) > 45 FROM states""")
 def b11(spark: SparkSession, sf: str) -> DataFrame:
     rows = qt.market_triggers(qt.with_variants(states(spark, sf), PARAMS))
-    return rows.select("book_event_id", "variant", "halt_flag", "boost_market_flag", "stop_market_flag", "pull_flag")
+    return rows.select("run_id", "book_event_id", "variant", "halt_flag", "boost_market_flag", "stop_market_flag", "pull_flag")
 
 
-@query("b12_ledger_trigger_flags", "states", """SELECT book_event_id, 'wide' AS variant, amr > 0.004 AND abs(inv) < 4.0 AS boost_flag, abs(inv) >= 4.8 AS stop_flag FROM states
-  UNION ALL SELECT book_event_id, 'flow', false, COALESCE(dd <= -150, false) FROM states""")
+@query("b12_ledger_trigger_flags", "states", """SELECT run_id, book_event_id, 'wide' AS variant, amr > 0.004 AND abs(inv) < 4.0 AS boost_flag, abs(inv) >= 4.8 AS stop_flag FROM states
+  UNION ALL SELECT run_id, book_event_id, 'flow', false, COALESCE(dd <= -150, false) FROM states""")
 def b12(spark: SparkSession, sf: str) -> DataFrame:
     rows = qt.with_variants(states(spark, sf), PARAMS).withColumn("inv", F.col("position") - F.col("p_inventory_target"))
-    return qt.ledger_triggers(qt.market_triggers(rows)).select("book_event_id", "variant", "boost_flag", "stop_flag")
+    return qt.ledger_triggers(qt.market_triggers(rows)).select("run_id", "book_event_id", "variant", "boost_flag", "stop_flag")
 
 
-@query("b13_pull_side", "states", "SELECT book_event_id, CASE WHEN sv > 0 THEN 'sell' WHEN sv < 0 THEN 'buy' END AS side FROM states")
+@query("b13_pull_side", "states", "SELECT run_id, book_event_id, CASE WHEN sv > 0 THEN 'sell' WHEN sv < 0 THEN 'buy' END AS side FROM states")
 def b13(spark: SparkSession, sf: str) -> DataFrame:
     rows = qt.with_variants(states(spark, sf), {"wide": PARAMS["wide"]})
-    return rows.select("book_event_id", qt.pull_side().alias("side"))
+    return rows.select("run_id", "book_event_id", qt.pull_side().alias("side"))
 
 
 _Q = "bid_px ask_px bid_size ask_size"
@@ -393,12 +414,12 @@ _Q = "bid_px ask_px bid_size ask_size"
     least(3, least(3, CASE WHEN pull_f AND sv < 0 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN boost_f THEN 1.5::DOUBLE ELSE 1 END) * CASE WHEN halt_f THEN 0.5::DOUBLE ELSE 1 END AS bs,
     least(3, least(3, CASE WHEN pull_f AND sv > 0 THEN 0.4::DOUBLE ELSE 1 END) * CASE WHEN boost_f THEN 1.5::DOUBLE ELSE 1 END) * CASE WHEN halt_f THEN 0.5::DOUBLE ELSE 1 END AS az,
     mid * (1 - inv * 1.5::DOUBLE / 10000) AS c FROM f)
-  SELECT book_event_id, 'wide' AS variant, CASE WHEN mid IS NULL THEN true ELSE stop_f AND inv = 0 END AS halt,
+  SELECT run_id, book_event_id, 'wide' AS variant, CASE WHEN mid IS NULL THEN true ELSE stop_f AND inv = 0 END AS halt,
   CASE WHEN mid IS NULL THEN NULL WHEN stop_f THEN CASE WHEN inv < 0 THEN mid END ELSE c * (1 - bb / 10000) END AS bid_px,
   CASE WHEN mid IS NULL THEN NULL WHEN stop_f THEN CASE WHEN inv > 0 THEN mid END ELSE c * (1 + ab / 10000) END AS ask_px,
   CASE WHEN mid IS NULL THEN NULL WHEN stop_f THEN CASE WHEN inv < 0 THEN least(1, abs(inv)) END ELSE bs END AS bid_size,
   CASE WHEN mid IS NULL THEN NULL WHEN stop_f THEN CASE WHEN inv > 0 THEN least(1, abs(inv)) END ELSE az END AS ask_size FROM w
-  UNION ALL SELECT book_event_id, 'flow', CASE WHEN mid IS NULL OR stop2 THEN true ELSE h2 END, CASE WHEN NOT stop2 THEN c * (1 - bb / 10000) END, CASE WHEN NOT stop2 THEN c * (1 + bb / 10000) END,
+  UNION ALL SELECT run_id, book_event_id, 'flow', CASE WHEN mid IS NULL OR stop2 THEN true ELSE h2 END, CASE WHEN NOT stop2 THEN c * (1 - bb / 10000) END, CASE WHEN NOT stop2 THEN c * (1 + bb / 10000) END,
    CASE WHEN mid IS NULL OR stop2 THEN NULL WHEN h2 THEN 0 ELSE bsz END, CASE WHEN mid IS NULL OR stop2 THEN NULL WHEN h2 THEN 0 ELSE asz END FROM (
    SELECT *, mid * (1 - inv * 2 * CASE WHEN p2 THEN 2 ELSE 1 END / 10000) AS c, CASE WHEN p2 THEN 6 ELSE 5 END AS bb,
     CASE WHEN p2 THEN least(b0, greatest(0, 2 - inv)) ELSE b0 END AS bsz, CASE WHEN p2 THEN least(a0, greatest(0, 2 + inv)) ELSE a0 END AS asz FROM (
@@ -406,7 +427,7 @@ _Q = "bid_px ask_px bid_size ask_size"
     2 * CASE WHEN mb <= -1 THEN 0.25::DOUBLE ELSE 1 END * CASE WHEN imb <= -0.4::DOUBLE THEN 0.5::DOUBLE ELSE 1 END AS b0,
     2 * CASE WHEN sv <= -45 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN mb >= 1 THEN 0.25::DOUBLE ELSE 1 END * CASE WHEN imb >= 0.4::DOUBLE THEN 0.5::DOUBLE ELSE 1 END AS a0 FROM states))""", _Q)
 def b14(spark: SparkSession, sf: str) -> DataFrame:
-    return qt.quotes(qt.with_variants(states(spark, sf), PARAMS)).select("book_event_id", "variant", "halt", *_Q.split())
+    return qt.quotes(qt.with_variants(states(spark, sf), PARAMS)).select("run_id", "book_event_id", "variant", "halt", *_Q.split())
 
 
 @query("e9_post_pull_unwind_latch", "ledger", """WITH s AS (SELECT run_id, book_event_id, block_ts_ms, position AS inv, pull_triggered AS pull, NOT pull_triggered AND (stop_triggered OR mark_price IS NULL) AS clears FROM ledger),
