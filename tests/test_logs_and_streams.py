@@ -12,6 +12,7 @@ from tideblock.operators import runlogs as rl
 from tideblock.sources import logs, sinks
 from tideblock.streaming import market as sm
 from tideblock.streaming import sinks as ss
+from tideblock.streaming import state as st
 
 T0 = 1_700_000_000_000
 
@@ -82,55 +83,118 @@ def append(path, name, rows):
     (path / name).write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_block_state_over_batches_equals_batch(spark, tmp_path):
-    rows = []
-    for i in range(60):
-        bid = None if i % 13 == 5 else 100.0 + (i * 7 % 11)
-        rows.append({"symbol": f"S{i % 2}", "block_ts_ms": i * 1000 + (40_000 if i > 30 else 0), "book_event_id": i, "bid_px": bid, "bid_sz": 1.0,
-                     "ask_px": None if bid is None else bid + 1, "ask_sz": 2.0, "signed_volume_lenient": float(i % 5 - 2)})
-    schema = "symbol string, block_ts_ms bigint, book_event_id bigint, bid_px double, bid_sz double, ask_px double, ask_sz double, signed_volume_lenient double"
-    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
-    for part in range(3):
-        append(src, f"{part}.json", rows[part * 20 : part * 20 + 20])
-        stream = spark.readStream.schema(schema).json(str(src))
-        ss.to_parquet(sm.block_state(stream, 30_000, 6000), out, mark)
-    got = {r.book_event_id: r for r in spark.read.parquet(out).collect()}
-    batch = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    want = bl.rolling_sum(bl.market_state(batch, reconnect_gap_ms=30_000), "signed_volume_lenient", 6000).collect()
-    assert len(got) == len(want) == 60
+BLOCKS = "symbol string, block_ts_ms bigint, book_event_id bigint, bid_px double, bid_sz double, ask_px double, ask_sz double, signed_volume_lenient double"
+
+
+def block(i: int, symbol: str, ts: int, flow: float) -> tuple:
+    bid = None if i % 13 == 5 else 100.0 + i // 8 % 3
+    return (symbol, ts, i, bid, 1.0 + i // 2 % 2, None if bid is None else bid + 1, 2.0, flow)
+
+
+def test_block_state_over_ten_batches_equals_batch(spark, tmp_path):
+    """Half of all rows under one symbol, a gap, flows of 17 digits before small ones, late and repeated blocks, a repeated batch."""
+    rows = [block(i, "hot" if i % 2 else f"S{i % 6}", i * 1000 + (40_000 if i > 60 else 0), 1e17 if i in (11, 12) else float(i % 5 - 2) / 8) for i in range(120)]
+    handler = st.BlockState(spark, str(tmp_path / "state"), 30_000, 6000)
+    for n in range(10):
+        part = rows[n * 12 : n * 12 + 12]
+        if n == 5:
+            part = part + [block(999, "hot", 1000, 1.0), rows[50], rows[51]]
+        batch = spark.createDataFrame(part, BLOCKS).repartition(3)
+        handler.handle(batch, n)
+        if n in (0, 4):
+            handler.handle(batch, n)
+    got = {r.book_event_id: r for r in handler.emitted("rows").collect()}
+    want = bl.rolling_sum(bl.market_state(spark.createDataFrame(rows, BLOCKS), reconnect_gap_ms=30_000), "signed_volume_lenient", 6000).collect()
+    assert len(got) == len(want) == 120 == handler.emitted("rows").count()
     for w in want:
         g = got[w.book_event_id]
-        assert (g.mid, g.reconnect, g.top_px_change) == (w.mid, w.reconnect, w.top_px_change)
-        assert g.mid_ret == (None if w.mid_ret is None else pytest.approx(w.mid_ret))
-        assert g.signed_volume_window == pytest.approx(w.signed_volume_window)
-
-
-def test_stream_markout_and_dedupe(spark, tmp_path):
-    fills = [("S", i, "buy" if i % 2 else "sell", 100.0, i * 1000) for i in range(20)]
-    mids = [("S", i * 700, i, 100.0 + i) for i in range(60)]
-    far = 10_000_000
-    fill_schema, mid_schema = "symbol string, fill_id bigint, side string, px double, ts_ms bigint", "symbol string, ts_ms bigint, event_id bigint, mid double"
-    f, m = tmp_path / "f", tmp_path / "m"
-    spark.createDataFrame(fills, fill_schema).write.parquet(str(f))
-    spark.createDataFrame(mids, mid_schema).write.parquet(str(m))
-
-    def run():
-        stream = sm.fill_markout(spark.readStream.schema(fill_schema).parquet(str(f)), spark.readStream.schema(mid_schema).parquet(str(m)), 5000, 2000, "1 second")
-        ss.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
-
-    run()
-    # Later rows move the watermark on and flush what is left.
-    spark.createDataFrame([("Z", 99, "buy", 1.0, far)], fill_schema).write.mode("append").parquet(str(f))
-    spark.createDataFrame([("Z", far, 0, 1.0)], mid_schema).write.mode("append").parquet(str(m))
-    run()
-    got = {r.fill_id: r.markout for r in spark.read.parquet(str(tmp_path / "out")).filter("symbol = 'S'").collect()}
-    want = {}
-    for _, i, side, px, t in fills:
-        hits = [x for x in mids if t + 5000 <= x[1] <= t + 7000]
-        if hits:
-            mid = min(hits, key=lambda x: x[1])[3]
-            want[i] = mid - px if side == "buy" else px - mid
-    assert got == want and len(want) == 20
+        assert all(g[c] == w[c] for c in st.BLOCK_STATE)
+    assert sum(r.book_change != r.top_px_change for r in got.values()) > 10
+    assert sorted(r.book_event_id for r in handler.emitted("late").collect()) == [50, 51, 999]
+
+
+def test_block_state_forgets_silent_symbols(spark, tmp_path):
+    handler = st.BlockState(spark, str(tmp_path / "state"), 10**9, 1000, timeout_ms=5000)
+    for n, part in enumerate([[block(1, "A", 0, 1.0), block(2, "B", 0, 1.0)], [block(3, "B", 6000, 1.0)], [block(4, "A", 7000, 1.0), block(6, "B", 7000, 1.0)]]):
+        handler.handle(spark.createDataFrame(part, BLOCKS), n)
+    got = {r.book_event_id: (r.mid_ret is None, r.reconnect) for r in handler.emitted("rows").collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, False), 4: (True, False), 6: (False, False)}
+
+
+def test_duplicates_across_batches_late_rows_and_rows_without_a_key(spark, tmp_path):
+    handler = st.Dedupe(spark, str(tmp_path / "d"), ["symbol", "trade_id"], ["ts_ms", "event_id"], 100)
+    batches = [
+        [("S", "a", 10, 1), ("S", "a", 10, 2), ("S", "b", 20, 3), ("T", "a", 10, 4), ("S", None, 15, 5)],
+        [("S", "b", 150, 6), ("S", "c", 150, 7), ("S", "a", 30, 8)],  # the clock is at 20: nothing is late yet
+        [("S", "d", 40, 9), ("S", "b", 60, 10), ("S", "e", 300, 11), (None, "e", 1, 12)],  # the watermark is at 50
+        [("S", "c", 210, 13), ("S", "f", 199, 14), ("S", "b", 400, 15)],  # at 200; b of 20 has been forgotten
+    ]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "symbol string, trade_id string, ts_ms bigint, event_id bigint")
+        for _ in range(1 + n % 2):
+            handler.handle(df, n)
+    ids = lambda name: sorted(r.event_id for r in handler.emitted(name).collect())
+    assert ids("rows") == [1, 3, 4, 7, 11, 15]
+    assert ids("late") == [9, 14] and ids("without_key") == [5, 12]
+
+
+def test_fills_keep_waiting_for_their_mid(spark, tmp_path):
+    """Fills and mids in six batches; fills whose mid is missing come with a null, and each comes once."""
+    fills = [("S" if i % 4 else "U", i, "buy" if i % 2 else "sell", 100.0, i * 1000) for i in range(40)]
+    mids = [("S", i, 100.0 + i, i * 700) for i in range(70) if not 20 <= i < 32]
+    fill_schema, mid_schema = "symbol string, fill_id bigint, side string, px double, ts_ms bigint", "symbol string, event_id bigint, mid double, ts_ms bigint"
+    both = st.markout_input(spark.createDataFrame(fills, fill_schema), spark.createDataFrame(mids, mid_schema)).collect()
+    handler = st.FillMarkout(spark, str(tmp_path / "m"), 5000, 2000, 1000)
+    schema = "symbol string, kind string, ts_ms bigint, id bigint, side string, px double"
+    for n in range(6):
+        part = [r for r in both if n * 9000 <= r.ts_ms < n * 9000 + 9000] + ([("S", "fill", 100, 777, "buy", 1.0)] if n == 3 else [])
+        batch = spark.createDataFrame(part, schema)
+        handler.handle(batch, n)
+        if n == 2:
+            handler.handle(batch, n)
+        waiting = spark.read.parquet(f"{tmp_path}/m/waiting/batch={n}").count()
+        kept = spark.read.parquet(f"{tmp_path}/m/mids/batch={n}").count()
+        assert waiting <= 20 and kept <= 20
+    handler.handle(spark.createDataFrame([(None, None, 10**7, None, None, None)], schema), 6)
+    rows = handler.emitted("rows").collect()
+    got, want = {r.fill_id: r.markout for r in rows}, {}
+    for symbol, i, side, px, t in fills:
+        hits = [x for x in mids if symbol == "S" and t + 5000 <= x[3] <= t + 7000]
+        mid = min(hits, key=lambda x: x[3])[2] if hits else None
+        want[i] = None if mid is None else mid - px if side == "buy" else px - mid
+    assert len(rows) == 40 and got == want
+    assert 10 < sum(x is None for x in want.values()) < 25
+    assert [r.id for r in handler.emitted("late").collect()] == [777]
+
+
+def test_monitor_readers_follow_published_versions(spark, tmp_path):
+    schema = "run_id string, mtime bigint, fills_count int, notional_sum double, fills_joined_count int, net_med double, net_p10 double, markout30_med double, taker_guard_trip boolean, taker_notional_share double"
+    report = lambda run, mtime, net: (run, mtime, 100, 1e6, 5, net, -0.5, 1.0, False, 0.0)
+    monitor = st.RunMonitor(spark, str(tmp_path / "monitor"))
+    assert monitor.published() is None
+    parts = [[report("a", 1, 1.0), report("b", 2, -1.0)], [report("a", 3, 3.0), report("b", 1, 9.0)], [report("c", 4, 5.0), report("a", 3, 4.0)]]
+    batches = [spark.createDataFrame(p, schema) for p in parts]
+    monitor.handle(batches[0], 0)
+    first = monitor.rollup()  # a reader that stays with its version
+    for n in (1, 1, 2):
+        monitor.handle(batches[n], n)
+    monitor.handle(batches[0], 0)  # published long ago
+    assert first.first().net_med_median == 0.0 and monitor.published() == 2
+    assert {r.run_id: r.net_med for r in monitor.statuses().collect()} == {"a": 4.0, "b": -1.0, "c": 5.0}
+    assert (monitor.rollup().first().runs, monitor.rollup().first().net_med_median) == (3, 4.0)
+
+
+def test_replay_cuts_a_table_into_slices_of_its_size(spark):
+    seen = []
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * F.col("id")).alias("ts_ms"))
+
+    def handle(batch, n):
+        r = batch.agg(F.count("*"), F.min("ts_ms"), F.max("ts_ms")).first()
+        seen.append(tuple(r))
+
+    ss.replay_into(df, "ts_ms", handle, rows_per_batch=100)
+    assert sum(r[0] for r in seen) == 1000 and len(seen) == 10 and max(r[0] for r in seen) < 150
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
 
 
 def test_every_query_is_registered_without_a_session():

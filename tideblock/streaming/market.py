@@ -1,21 +1,17 @@
 """Streams of market events. Each takes and returns a streaming DataFrame; sources and sinks are the caller's.
 
 The event time column is a TIMESTAMP made from ``ts_ms``. State is bounded by the watermark, and a micro-batch by
-``maxFilesPerTrigger`` of the source.
+``maxFilesPerTrigger`` of the source. Operators whose state is a table are handlers of micro-batches, in ``state``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideblock.sources import events as ev
 from tideblock.sources.schemas import RAW_EVENT
+from tideblock.streaming.state import Dedupe
 
 # Names under which a fill may carry its id.
 FILL_ID_FIELDS = ["tid", "tradeId", "hash"]
@@ -44,18 +40,20 @@ def event_timed(rows: DataFrame, delay: str, at: str = "ts_ms", into: str = "eve
     return rows.withColumn(into, F.timestamp_millis(F.col(at).cast("bigint"))).withWatermark(into, delay)
 
 
-def dedupe_trades(trades: DataFrame, delay: str) -> DataFrame:
-    """First row per (symbol, trade id) within the watermark."""
-    return event_timed(trades, delay).dropDuplicatesWithinWatermark(["symbol", "trade_id"])
+def with_fill_id(fills: DataFrame, start_ms: int) -> DataFrame:
+    """Fills at or after the run's start with their ``fill_id``, null where no id field is set."""
+    ids = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in FILL_ID_FIELDS if c in fills.columns])
+    return fills.withColumn("fill_id", ids).filter(F.col("ts_ms") >= start_ms)
+
 
+def dedupe_trades(spark: SparkSession, path: str, delay_ms: int) -> Dedupe:
+    """First row per (symbol, trade id) within the delay; a handler of micro-batches."""
+    return Dedupe(spark, path, ["symbol", "trade_id"], ["ts_ms", "event_id"], delay_ms)
 
-def dedupe_fills(fills: DataFrame, delay: str, start_ms: int) -> DataFrame:
-    """First row per run and fill id at or after the run's start; rows without an id are dropped and counted in
-    the observed metric ``fills_without_id``."""
-    ids = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in FILL_ID_FIELDS if c in fills.columns])
-    named = fills.withColumn("fill_id", ids).observe("fill_ids", F.count_if(F.col("fill_id").isNull()).alias("fills_without_id"))
-    kept = named.filter(F.col("fill_id").isNotNull() & (F.col("ts_ms") >= start_ms))
-    return event_timed(kept, delay).dropDuplicatesWithinWatermark(["run_id", "fill_id"])
+
+def dedupe_fills(spark: SparkSession, path: str, delay_ms: int, order: list[str]) -> Dedupe:
+    """First row per run and fill id (see :func:`with_fill_id`) within the delay; rows without an id are set apart."""
+    return Dedupe(spark, path, ["run_id", "fill_id"], order, delay_ms)
 
 
 def ohlcv(trades: DataFrame, length: str, delay: str) -> DataFrame:
@@ -93,81 +91,8 @@ def session_gaps(rows: DataFrame, gap_ms: int, delay: str) -> DataFrame:
     )
 
 
-STATE = "ts bigint, mid double, bid double, ask double, win_ts array<bigint>, win_sv array<double>"
-BLOCK_STATE = (
-    "symbol string, block_ts_ms bigint, book_event_id bigint, mid double, mid_ret double, reconnect boolean, "
-    "top_px_change boolean, signed_volume_window double"
-)
-
-
-def block_state(blocks: DataFrame, reconnect_gap_ms: int, window_ms: int) -> DataFrame:
-    """Returns, change flags and rolling flow per block, from state kept per symbol.
-
-    Blocks of a micro-batch are put in time order; across micro-batches they must arrive in order. Kept are the
-    last block and the flow inside the window.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["block_ts_ms", "book_event_id"], ignore_index=True)
-        ts0, mid0, bid0, ask0, win_ts, win_sv = state.get if state.exists else (None, None, None, None, [], [])
-        known = ts0 is not None
-        ts = rows["block_ts_ms"].to_numpy(dtype="int64")
-        bid, ask = rows["bid_px"].to_numpy(dtype="float64"), rows["ask_px"].to_numpy(dtype="float64")
-        mid = (bid + ask) / 2.0
-        before = lambda a, first: np.concatenate(([np.nan if first is None else first], a[:-1]))
-        prev_ts = np.concatenate(([ts0 if known else ts[0]], ts[:-1]))
-        has_prev = np.arange(len(ts)) > (-1 if known else 0)
-        reconnect = has_prev & (ts - prev_ts >= reconnect_gap_ms)
-        prev_mid = np.where(reconnect, np.nan, before(mid, mid0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mid_ret = np.where(prev_mid == 0, np.nan, (mid - prev_mid) / prev_mid)
-        same = lambda a, b: (a == b) | (np.isnan(a) & np.isnan(b))
-        moved = has_prev & ~(same(bid, before(bid, bid0)) & same(ask, before(ask, ask0)))
-        flow = rows["signed_volume_lenient"].fillna(0.0).to_numpy(dtype="float64")
-        all_ts = np.concatenate((np.asarray(win_ts, dtype="int64"), ts))
-        total = np.concatenate(([0.0], np.cumsum(np.concatenate((np.asarray(win_sv, dtype="float64"), flow)))))
-        upto = np.arange(len(all_ts) - len(ts), len(all_ts)) + 1
-        gone = np.searchsorted(all_ts, ts - window_ms, side="left")
-        live = all_ts >= ts[-1] - window_ms
-        number = lambda x: None if np.isnan(x) else float(x)
-        state.update(
-            (
-                int(ts[-1]), number(mid[-1]), number(bid[-1]), number(ask[-1]), [int(x) for x in all_ts[live]],
-                [float(x) for x in np.diff(total)[live]],
-            )
-        )
-        nullable = lambda a: pd.Series(a).astype(object).where(~np.isnan(a), None)
-        yield pd.DataFrame(
-            {
-                "symbol": key[0], "block_ts_ms": ts, "book_event_id": rows["book_event_id"], "mid": nullable(mid),
-                "mid_ret": nullable(mid_ret), "reconnect": reconnect, "top_px_change": moved, "signed_volume_window": total[upto] - total[gone],
-            }
-        )
-
-    needed = blocks.select("symbol", "block_ts_ms", "book_event_id", "bid_px", "ask_px", "signed_volume_lenient")
-    return needed.groupBy("symbol").applyInPandasWithState(step, BLOCK_STATE, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def fill_gate(fills: DataFrame, min_fills: int, min_notional: float) -> DataFrame:
     """Running count and notional of valid fills per run, and whether both thresholds are met (update or complete mode)."""
     ok = fills.filter(F.col("px").isNotNull() & (F.col("sz") > 0))
     out = ok.groupBy("run_id").agg(F.count(F.lit(1)).alias("fills"), F.sum(F.col("px") * F.col("sz")).alias("notional"))
     return out.withColumn("reached", (F.col("fills") >= min_fills) & (F.col("notional") >= min_notional))
-
-
-def fill_markout(fills: DataFrame, mids: DataFrame, horizon_ms: int, tolerance_ms: int, delay: str) -> DataFrame:
-    """Fills joined to the first mid in ``[t + h, t + h + tolerance]``, emitted once the watermark passes.
-
-    The watermark runs on the due time, so both sides of the join advance together and old state is dropped.
-    """
-    due = fills.select("symbol", "fill_id", "side", "px", (F.col("ts_ms") + horizon_ms).alias("due_ms"))
-    left = event_timed(due, delay, "due_ms", "due_time").alias("f")
-    quotes = mids.select(F.col("symbol").alias("m_symbol"), F.col("ts_ms").alias("m_ts_ms"), F.col("event_id").alias("m_id"), "mid")
-    right = event_timed(quotes, delay, "m_ts_ms", "m_time").alias("m")
-    near = F.expr(f"m_symbol = symbol AND m_time >= due_time AND m_time <= due_time + INTERVAL {tolerance_ms} MILLISECONDS")
-    pairs = left.join(right, near, "inner")
-    first = pairs.groupBy("symbol", "fill_id", "side", "px", F.window("due_time", "1 second").alias("w")).agg(
-        F.min_by("mid", F.struct("m_ts_ms", "m_id")).alias("future_mid")
-    )
-    gain = F.when(F.col("side") == "buy", F.col("future_mid") - F.col("px")).otherwise(F.col("px") - F.col("future_mid"))
-    return first.select("symbol", "fill_id", "side", gain.alias("markout"))

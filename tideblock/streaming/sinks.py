@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tideblock import scratch
-from tideblock.operators import gates
+
+BATCH_ROWS = 5_000_000
+LEAST_SLICES = 3
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -45,25 +48,50 @@ def flush_row(df: DataFrame, at: str, after_ms: int, **values: object) -> DataFr
     return last.select(*[(F.col(at) if f.name == at else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name) for f in df.schema.fields]).filter(F.col(at).isNotNull())
 
 
-def replay(df: DataFrame, at: str, slices: int, build: Callable[[DataFrame], DataFrame], flush_ms: int | None = None) -> DataFrame:
-    """Feed a table to a stream in time order: append one slice of time, process it, then the next.
+def _feed(df: DataFrame, at: str, start: Callable[[DataFrame, str], StreamingQuery], rows_per_batch: int, flush_ms: int | None) -> str:
+    """Append a table to a stream's input in time order, slice by slice, each processed before the next comes. Returns the folder.
 
-    Keeps each micro-batch to one slice, for operators whose input must arrive in order. With ``flush_ms`` a last row
-    closes what the watermark still holds open.
+    Slices hold about ``rows_per_batch`` rows, with ``LEAST_SLICES`` of them at least, so that state always crosses batches.
     """
     spark = df.sparkSession
     path = scratch.new_path(spark, "replay")
-    low, high = df.agg(F.min(at), F.max(at)).first()  # one row
-    width = (high - low) // slices + 1 if low is not None else 1
-    parts = [df.filter((F.col(at) >= low + i * width) & (F.col(at) < low + (i + 1) * width)) for i in range(slices)] if low is not None else [df]
-    if flush_ms is not None:
-        parts.append(flush_row(df, at, flush_ms))
-    stream = None
-    for part in parts:
+    count = df.count()
+    slices = max(LEAST_SLICES, -(-count // rows_per_batch))
+    cuts = sorted(set(df.approxQuantile(at, [i / slices for i in range(1, slices)], 0.2 / slices))) if count else []
+    edges = list(zip([None, *cuts], [*cuts, None], strict=True))
+    low = lambda a: F.lit(True) if a is None else F.col(at) >= F.lit(int(a))
+    high = lambda b: F.lit(True) if b is None else F.col(at) < F.lit(int(b))
+    parts = [df.filter(low(a) & high(b)) for a, b in edges] + ([] if flush_ms is None else [flush_row(df, at, flush_ms)])
+    for part in parts:  # a stream that runs while files arrive could see half a slice, and the rest would be late
         part.write.mode("append").parquet(f"{path}/in")
-        stream = build(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
-        to_parquet(stream, f"{path}/out", f"{path}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+        start(spark.readStream.schema(df.schema).parquet(f"{path}/in"), path).awaitTermination()
+    return path
+
+
+def replay(df: DataFrame, at: str, build: Callable[[DataFrame], DataFrame], flush_ms: int | None = None, rows_per_batch: int = BATCH_ROWS) -> DataFrame:
+    """The output of a stream over a table that arrives in time order.
+
+    With ``flush_ms`` a last row closes what the watermark still holds open.
+    """
+    schema = None
+
+    def start(stream: DataFrame, path: str) -> StreamingQuery:
+        nonlocal schema
+        out = build(stream)
+        schema = out.schema
+        return out.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    path = _feed(df, at, start, rows_per_batch, flush_ms)
+    return df.sparkSession.read.schema(schema).parquet(f"{path}/out")
+
+
+def replay_into(df: DataFrame, at: str, handle: Callable[[DataFrame, int], None], flush_ms: int | None = None, rows_per_batch: int = BATCH_ROWS) -> None:
+    """Give a table to a handler of micro-batches in time order."""
+
+    def start(stream: DataFrame, path: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    _feed(df, at, start, rows_per_batch, flush_ms)
 
 
 def last_complete(stream: DataFrame) -> DataFrame:
@@ -81,27 +109,3 @@ def last_complete(stream: DataFrame) -> DataFrame:
 
     each_batch(stream, write, f"{path}/checkpoint", "complete")
     return spark.read.schema(stream.schema).parquet(f"{path}/out/{max(seen)}")
-
-
-class RunMonitor:
-    """Status table and roll-up kept up to date as run reports arrive.
-
-    A micro-batch writes its statuses under its own id, then the roll-up is recomputed from the newest report of
-    every run.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, window: int = 10) -> None:
-        self.spark, self.path, self.window = spark, path, window
-
-    def statuses(self) -> DataFrame:
-        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/statuses")
-        rest = [c for c in rows.columns if c != "run_id"]
-        newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "mtime").alias("_r"))
-        return newest.select("run_id", "_r.*")
-
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        gates.run_status(batch).write.mode("overwrite").parquet(f"{self.path}/statuses/{batch_id}")
-        gates.monitor_rollup(self.statuses(), self.window).write.mode("overwrite").parquet(f"{self.path}/rollup")
-
-    def rollup(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rollup")
