@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -10,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideblock.operators import ordered as o
-from tideblock.operators.asof import asof
-from tideblock.operators.quantiles import quantiles, summary
+from tideblock.operators.asof import Ask, Source, asof, lookups
+from tideblock.operators.quantiles import Index, quantiles, summary
 
 
 def series(n=600, seed=1, span=60):
@@ -121,3 +122,61 @@ def test_fold_equals_a_plain_loop(spark, many_chunks, parts, block):
 def test_fold_of_no_rows(spark):
     none = spark.createDataFrame([], "k string, t bigint")
     assert o.fold(o.chunk(none, ["k"], ["t"]), ["k"], ["t"], "x", F.col("t"), lambda a, b: a + b).count() == 0
+
+
+def test_lookups_equal_single_asof_joins(spark, many_chunks):
+    """Three sources, one with a further key, both directions, null times and keys, in buckets of a few instants."""
+    rng = random.Random(8)
+    probes = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", None if i % 23 == 0 else rng.randrange(80), i, rng.choice(["x", "y", None])) for i in range(200)]
+    quotes = series(300, 5, 80)
+    rows = spark.createDataFrame(probes, "k string, t bigint, i bigint, side string")
+    q = spark.createDataFrame([(*r, "xyz"[r[2] % 3] if r[2] % 7 else None) for r in quotes], "k string, t bigint, n bigint, v double, s string")
+    other = q.filter("n % 5 = 0").select("k", "t", "n", (F.col("n") * 2).cast("string").alias("w"))
+    asks = {
+        "back": Ask("all", F.col("t")), "late": Ask("all", F.col("t") + 7, "forward"), "sided": Ask("side", F.col("t"), extra=F.col("side")),
+        "sided_next": Ask("side", F.col("t"), "forward", F.col("side")), "other": Ask("other", F.col("t") - 3),
+    }
+    sources = {"all": Source(q, "t", ["n", "v"], ["n"]), "side": Source(q, "t", ["n"], ["n"], F.col("s")), "other": Source(other, "t", ["w"], ["n"])}
+    got = {r.i: r for r in lookups(rows, ["k"], asks, sources, bucket_ms=9).collect()}
+    assert len(got) == 200 and set(got[0].asDict()) == {"k", "t", "i", "side", *asks}
+
+    def one(ask):
+        source = sources[ask.source]
+        keys = ["k"] if source.extra is None else ["k", "_x"]
+        extra = F.lit("") if source.extra is None else source.extra
+        asked = rows.withColumn("_x", F.lit("") if ask.extra is None else ask.extra)
+        # An as-of join in its own right; null further keys match nothing there either.
+        out = asof(asked, source.quotes.withColumn("_x", extra), keys, at=ask.at, quote_at="t", payload=list(source.payload), ties=list(source.ties), direction=ask.direction, into="a")
+        return {r.i: r.a for r in out.collect()}
+
+    for name, ask in asks.items():
+        want = one(ask)
+        assert all(got[i][name] == want[i] for i in want)
+        assert any(x is None for x in want.values()) and any(x is not None for x in want.values())
+
+
+def test_index_serves_several_groupings_and_sums(spark, many_chunks):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else "k", rng.choice("ab"), rng.choice([None, float("nan"), *[i / 4 for i in range(30)]]), rng.choice([None, 1.0, 1e17, -2.5])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, g string, x double, y double")
+    points = [0.0, 0.2, 0.5, 0.9, 1.0]
+    ok = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    index = Index(df, ["k"], "x", ["g"])
+    for group in ([], ["g"]):
+        for r in index.at(points, group).collect():
+            x = [v for k, g, v, _ in ok if k == r.k and (not group or g == r.g)]
+            assert r.q == pytest.approx(np.quantile(x, r.p))
+        for r in index.summary(group).withColumn("g", F.lit(None) if not group else F.col("g")).collect():
+            x = [v for k, g, v, _ in ok if k == r.k and (not group or g == r.g)]
+            assert (r["count"], r["mean"], r["median"]) == (len(x), pytest.approx(np.mean(x)), pytest.approx(np.median(x)))
+    both = index.summary([], ["g"]).collect()
+    assert sorted((r.k, r.g or "", r.grouping, r["count"]) for r in both) == sorted(
+        (k, g, i, sum(r[0] == k and (not g or r[1] == g) for r in ok)) for k in ("hot", "k") for i, gs in enumerate(([""], ["a", "b"])) for g in gs
+    )
+    sums = Index(df, ["k", "g"], "x", sums={"y": F.col("y").cast("decimal(38,18)")}).at(points)
+    for r in sums.collect():
+        own = [(v, y or 0.0) for k, g, v, y in ok if (k, g) == (r.k, r.g)]
+        assert (r.below_n, r.upto_n) == (sum(v < r.q for v, _ in own), sum(v <= r.q for v, _ in own))
+        assert (float(r.below_y), float(r.upto_y)) == (math.fsum(y for v, y in own if v < r.q), math.fsum(y for v, y in own if v <= r.q))
+    with pytest.raises(ValueError, match="finest"):
+        Index(df, ["k"], "x", ["g"], sums={"y": F.col("y")}).at(points)

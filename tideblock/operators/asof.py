@@ -4,16 +4,19 @@ Work is done per distinct instant, not per row. Quotes and probe times are first
 (key, instant) (partial aggregation before the shuffle), so a bucket of ``bucket_ms`` milliseconds holds at most
 ``bucket_ms`` rows whatever the size of the key. Each bucket receives the nearest quote of the buckets beside it as
 one extra row. The answers then join back to the probes on (key, instant), an equi-join that adaptive
-execution splits where many probes share an instant.
+execution splits where many probes share an instant. :func:`lookups` answers several questions of a row in one such pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideblock import scratch
+
 HOUR_MS = 3_600_000
 
 
@@ -78,3 +81,71 @@ def asof(
         .select(*keys, "_t", into)
     )
     return probes.withColumn("_t", probe_at).join(answers, [*keys, "_t"], "left").drop("_t")
+
+
+@dataclass(frozen=True)
+class Source:
+    """Quotes to look up: their time, the fields of an answer, the order of one instant, and a further key."""
+
+    quotes: DataFrame
+    at: str
+    payload: Sequence[str]
+    ties: Sequence[str]
+    extra: Column | None = None
+
+
+@dataclass(frozen=True)
+class Ask:
+    """A question of every row: the last quote of a source at or before a time, or the first at or after it."""
+
+    source: str
+    at: Column
+    direction: str = "backward"
+    extra: Column | None = None
+
+
+def lookups(rows: DataFrame, keys: Sequence[str], asks: dict[str, Ask], sources: dict[str, Source], bucket_ms: int = HOUR_MS) -> DataFrame:
+    """Several left as-of joins in one pass. Adds a struct column (payload fields and ``at_ms``) for each ask, null where none matches.
+
+    The rows are written once. Their questions become narrow probes (row, key, time), and quotes of all sources and probes share one reduction
+    to instants, one pass over the buckets in either direction, and one join back. A question or quote with a null further key matches nothing.
+    """
+    held = scratch.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "probes")
+    key = [*keys, "_what", "_extra"]
+    extra = lambda c: F.lit("") if c is None else c.cast("string")
+    marks = None
+    for name, s in sources.items():
+        found = F.struct(*[F.col(c) for c in s.payload], F.col(s.at).cast("bigint").alias("at_ms"))
+        part = s.quotes.select(
+            *keys, F.lit(name).alias("_what"), extra(s.extra).alias("_extra"), F.col(s.at).cast("bigint").alias("_t"), found.alias(f"_q_{name}"),
+            F.struct(*[F.col(c) for c in s.ties]).alias(f"_tie_{name}"),
+        ).filter(F.col("_t").isNotNull() & F.col("_extra").isNotNull())
+        marks = part if marks is None else marks.unionByName(part, allowMissingColumns=True)
+    pack = lambda what: F.struct(*[F.col(f"_{what}_{n}").alias(n) for n in sources])
+    marks = marks.select(*key, "_t", pack("q").alias("_q"), pack("tie").alias("_tie"), F.lit(False).alias("_probe"))
+    questions = [F.struct(F.lit(n).alias("_ask"), F.lit(a.source).alias("_what"), extra(a.extra).alias("_extra"), a.at.cast("bigint").alias("_t")) for n, a in asks.items()]
+    probes = held.select("_row", *keys, F.inline(F.array(*questions))).filter(F.col("_t").isNotNull() & F.col("_extra").isNotNull())
+    instants = (
+        marks.unionByName(probes.select(*key, "_t", F.lit(True).alias("_probe")), allowMissingColumns=True)
+        .groupBy(*key, "_t")
+        .agg(F.max_by("_q", "_tie").alias("_back"), F.min_by("_q", "_tie").alias("_forth"), F.max("_probe").alias("_probe"))
+        .withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket_ms)))
+    )
+    place = [*key, "_bucket"]
+    some = lambda c: F.when(F.col(c).isNotNull(), F.col("_t"))
+    buckets = instants.groupBy(*place).agg(
+        F.max_by("_back", some("_back")).alias("_back"), F.min_by("_forth", some("_forth")).alias("_forth"), F.max("_probe").alias("_probe")
+    )
+    reach = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    beside = buckets.select(*place, reach("_back", F.col("_bucket")).alias("_back"), reach("_forth", F.col("_bucket").desc()).alias("_forth"), "_probe")
+    beside = beside.filter("_probe").drop("_probe").withColumn("_slot", F.lit(0))
+    series = instants.withColumn("_slot", F.lit(1)).unionByName(beside, allowMissingColumns=True)
+    upto = lambda order: Window.partitionBy(*place).orderBy("_slot", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = series.select(
+        *key, "_t", "_slot", "_probe", F.last("_back", ignorenulls=True).over(upto(F.col("_t"))).alias("_back"),
+        F.last("_forth", ignorenulls=True).over(upto(F.col("_t").desc())).alias("_forth"),
+    ).filter((F.col("_slot") == 1) & F.col("_probe")).drop("_slot", "_probe")
+    met = probes.join(answers, [*key, "_t"])
+    answer = lambda a: F.col("_back" if a.direction == "backward" else "_forth")[a.source]
+    found = met.groupBy("_row").agg(*[F.any_value(F.when(F.col("_ask") == n, answer(a)), ignoreNulls=F.lit(True)).alias(n) for n, a in asks.items()])
+    return held.join(found, "_row", "left").drop("_row")

@@ -13,7 +13,7 @@ from tideblock.functions import book as bk
 from tideblock.functions.values import finite
 from tideblock.operators import ordered, quantiles
 from tideblock.operators.asof import asof
-from tideblock.operators.blocks import BLOCK, KEYS
+from tideblock.operators.blocks import BLOCK, EXACT, KEYS
 
 LAG_BUCKET = 1_000_000
 
@@ -151,14 +151,25 @@ def ic(long: DataFrame, keys: Sequence[str], order: Sequence[str], lag: int = 5)
 
 
 def quantile_effect(long: DataFrame, keys: Sequence[str], q: float = 0.2) -> DataFrame:
-    """Mean y in the low, middle and high part of x, and the high-minus-low effect in bps."""
-    edges = quantiles.quantile_columns(long, keys, "x", {"_lo": q, "_hi": 1 - q})
-    rows = long.join(edges, list(keys))
-    low, high = F.col("x") <= F.col("_lo"), F.col("x") >= F.col("_hi")
-    out = rows.groupBy(*keys).agg(
-        F.avg(F.when(low, F.col("y"))).alias("mean_low"),
-        F.avg(F.when(~low & ~high, F.col("y"))).alias("mean_mid"),
-        F.avg(F.when(high, F.col("y"))).alias("mean_high"),
+    """Mean y in the low, middle and high part of x, and the high-minus-low effect in bps.
+
+    Sums of y, as decimals, run along the order of x, so the three parts are differences at the two quantiles.
+    """
+    index = quantiles.Index(long, keys, "x", sums={"y": F.col("y").cast(EXACT), "m": F.col("y").isNotNull().cast("bigint")})
+    edge = lambda p, c: F.max(F.when(F.col("p") == p, F.col(c)))
+    names = ("y", "m")
+    at = index.at([q, 1 - q]).groupBy(*keys).agg(
+        *[edge(q, f"upto_{n}").alias(f"_low_{n}") for n in names], *[edge(1 - q, f"below_{n}").alias(f"_under_{n}") for n in names]
+    )
+    rows = at.join(index.totals(), list(keys))
+    # Where the two quantiles meet on one value, its rows are low and high, and no row is between.
+    between = {n: F.col(f"_under_{n}") - F.col(f"_low_{n}") for n in names}
+    some = lambda total, count: F.when(count > 0, total.cast("double") / count)
+    out = rows.select(
+        *keys,
+        some(F.col("_low_y"), F.col("_low_m")).alias("mean_low"),
+        some(between["y"], between["m"]).alias("mean_mid"),
+        some(F.col("total_y") - F.col("_under_y"), F.col("total_m") - F.col("_under_m")).alias("mean_high"),
     )
     return out.withColumn("effect_bps", (F.col("mean_high") - F.col("mean_low")) * 10_000)
 
@@ -240,33 +251,17 @@ def _scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def threshold_windows(long: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
     """Every (quantile threshold, direction) of a feature as a risk window.
 
-    ``long`` has (keys, x, risk, delta). Rows are summed per distinct x, the thresholds are put among the values (once
-    before and once after their equals), and one chunked running sum gives what lies below and up to each. The
-    number of thresholds does not multiply the rows.
+    ``long`` has (keys, x, risk, delta). Values are put in order once, with running sums of what the scores need; each quantile finds the sums
+    below and up to itself. The number of thresholds does not multiply the rows.
     """
-    sums = {"n": F.lit(1), "r": F.col("risk").cast("int"), "dn": F.col("delta").isNotNull().cast("int")}
-    place = [*keys, "x"]
-    values = scratch.keep(
-        long.groupBy(*place).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.coalesce(F.sum("delta"), F.lit(0.0)).alias("ds")),
-        "values",
-    )
-    names = [*sums, "ds"]
-    cuts = scratch.keep(quantiles.quantiles(values, keys, "x", points, weight="n"), "cuts")
-    marks = cuts.select(*keys, F.col("q").alias("x"), "p", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind"))
-    series = values.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    run = ordered.over(
-        series, keys, ["x", "kind", "p"], **{f"_{n}": ordered.running_sum(F.coalesce(F.col(n), F.lit(0))) for n in names}
-    ).filter(F.col("kind") != 1)
-    at = lambda kind, n: F.max(F.when(F.col("kind") == kind, F.col(f"_{n}")))
-    placed = run.groupBy(*keys, "p").agg(
-        F.max("x").alias("threshold"),
-        *[at(0, n).alias(f"below_{n}") for n in names],
-        *[at(2, n).alias(f"lt_{n}") for n in names],
-    )
-    total = values.groupBy(*keys).agg(*[F.sum(n).alias(f"_t{n}") for n in names])
+    sums = {"r": F.col("risk").cast("bigint"), "dn": F.col("delta").isNotNull().cast("bigint"), "ds": F.col("delta").cast(EXACT)}
+    names = ["n", *sums]
+    index = quantiles.Index(long, keys, "x", sums=sums)
+    total = index.totals().withColumnsRenamed({f"total_{n}": f"_t{n}" for n in names})
+    placed = index.at(points).withColumnRenamed("q", "threshold")
     both = F.array(
         F.struct(F.lit("gt").alias("mode"), *[(F.col(f"_t{n}") - F.col(f"below_{n}")).alias(n) for n in names]),
-        F.struct(F.lit("lt").alias("mode"), *[F.col(f"lt_{n}").alias(n) for n in names]),
+        F.struct(F.lit("lt").alias("mode"), *[F.col(f"upto_{n}").alias(n) for n in names]),
     )
     joined = placed.join(total, list(keys))
     rows = joined.select(*keys, "p", "threshold", *[f"_t{n}" for n in names], F.inline(both))
@@ -274,8 +269,8 @@ def threshold_windows(long: DataFrame, keys: Sequence[str], points: Sequence[flo
     return rows.withColumns(
         {
             "window_rate": F.col("n") / F.col("_tn"),
-            "mean_delta_in": F.try_divide(F.col("ds"), F.col("dn")),
-            "mean_delta_out": F.try_divide(F.col("_tds") - F.col("ds"), F.col("_tdn") - F.col("dn")),
+            "mean_delta_in": F.try_divide(F.col("ds").cast("double"), F.col("dn")),
+            "mean_delta_out": F.try_divide((F.col("_tds") - F.col("ds")).cast("double"), F.col("_tdn") - F.col("dn")),
             **_scores(tp, fp, fn),
         }
     ).select(*keys, "p", "mode", "threshold", "window_rate", "precision", "recall", "f1", "mean_delta_in", "mean_delta_out")

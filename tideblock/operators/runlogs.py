@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tideblock import scratch
 from tideblock.functions import values as val
 from tideblock.operators import ordered, quantiles
-from tideblock.operators.asof import asof
+from tideblock.operators.asof import Ask, Source, asof, lookups
 
 RUN = ["run_id"]
 ORDER = ["ts_ms", "seq"]
@@ -73,9 +73,7 @@ def scoped_fills(fills: DataFrame, market: DataFrame) -> DataFrame:
     return timed.join(span, RUN, "left").withColumn("out_of_run", F.coalesce(outside, F.lit(False))).drop("_lo", "_hi")
 
 
-def fill_market(fills: DataFrame, mids: DataFrame) -> DataFrame:
-    """Last market state at or before each fill; ``joined`` needs a non-zero mid."""
-    hit = asof(fills, mids, RUN, at="ts_ms", quote_at="ts_ms", payload=["mid", "mid_source"], ties=["seq"], into="_m")
+def _market_columns(hit: DataFrame) -> DataFrame:
     mid = F.nullif(F.col("_m.mid"), F.lit(0.0))
     return hit.withColumns(
         {
@@ -87,6 +85,11 @@ def fill_market(fills: DataFrame, mids: DataFrame) -> DataFrame:
     ).drop("_m")
 
 
+def fill_market(fills: DataFrame, mids: DataFrame) -> DataFrame:
+    """Last market state at or before each fill; ``joined`` needs a non-zero mid."""
+    return _market_columns(asof(fills, mids, RUN, at="ts_ms", quote_at="ts_ms", payload=["mid", "mid_source"], ties=["seq"], into="_m"))
+
+
 def fill_edges(fills: DataFrame) -> DataFrame:
     """Edge against mid, fee and net, in bps; null for fills without mid or side."""
     side = val.normalize_side(F.col("side"))
@@ -107,15 +110,15 @@ def fill_edges(fills: DataFrame) -> DataFrame:
     )
 
 
-def fill_orders(fills: DataFrame, orders: DataFrame) -> DataFrame:
-    """Latest new or replace order of the same client id at or before the fill, as struct ``ord``."""
+ORDER_FIELDS = ["effective_spread_bps", "risk_escape_bucket", *COHORTS.values()]
+
+
+def _sent_orders(orders: DataFrame) -> DataFrame:
     sent = orders.filter(is_sent() & F.col("ts_ms").isNotNull()).withColumn("_cid", val.client_id(F.col("client_oid")))
-    sent = sent.filter(F.col("_cid").isNotNull()).withColumn("risk_escape_bucket", _bucket())
-    payload = ["effective_spread_bps", "risk_escape_bucket", *COHORTS.values()]
-    hit = asof(
-        fills.withColumn("_cid", val.client_id(F.col("cloid"))), sent, [*RUN, "_cid"], at="ts_ms", quote_at="ts_ms",
-        payload=payload, ties=["seq"], into="ord",
-    )
+    return sent.filter(F.col("_cid").isNotNull()).withColumn("risk_escape_bucket", _bucket())
+
+
+def _order_columns(hit: DataFrame) -> DataFrame:
     state = (
         F.when(F.col("_cid").isNull(), F.lit("missing"))
         .when(F.col("ord").isNull(), F.lit("unmatched"))
@@ -124,16 +127,34 @@ def fill_orders(fills: DataFrame, orders: DataFrame) -> DataFrame:
     return hit.withColumns({"order_match": state, "order_dt_ms": F.col("ts_ms") - F.col("ord.at_ms")}).drop("_cid")
 
 
+def fill_orders(fills: DataFrame, orders: DataFrame) -> DataFrame:
+    """Latest new or replace order of the same client id at or before the fill, as struct ``ord``."""
+    asked = fills.withColumn("_cid", val.client_id(F.col("cloid")))
+    return _order_columns(asof(asked, _sent_orders(orders), [*RUN, "_cid"], at="ts_ms", quote_at="ts_ms", payload=ORDER_FIELDS, ties=["seq"], into="ord"))
+
+
+def _boosts(decisions: DataFrame) -> DataFrame:
+    known = [F.col(c) for c in ("boost_active", "boost_triggered") if c in decisions.columns]
+    return decisions.withColumn("boost_active", F.coalesce(*known, F.lit(False)))
+
+
+def _decision_columns(hit: DataFrame) -> DataFrame:
+    key = F.when(F.col("_d.boost_active"), F.lit("boost")).when(F.col("_d").isNotNull(), F.lit("base"))
+    return hit.withColumn("boost_key", F.coalesce(key, F.lit("unknown"))).drop("_d")
+
+
 def fill_decisions(fills: DataFrame, decisions: DataFrame) -> DataFrame:
     """Boost state of the last decision at or before the fill; the last line of an instant wins.
 
     ``boost_active``, else ``boost_triggered`` where the log has it, else not boosted.
     """
-    known = [F.col(c) for c in ("boost_active", "boost_triggered") if c in decisions.columns]
-    rows = decisions.withColumn("boost_active", F.coalesce(*known, F.lit(False)))
-    hit = asof(fills, rows, RUN, at="ts_ms", quote_at="ts_ms", payload=["boost_active"], ties=["seq"], into="_d")
-    key = F.when(F.col("_d.boost_active"), F.lit("boost")).when(F.col("_d").isNotNull(), F.lit("base"))
-    return hit.withColumn("boost_key", F.coalesce(key, F.lit("unknown"))).drop("_d")
+    return _decision_columns(asof(fills, _boosts(decisions), RUN, at="ts_ms", quote_at="ts_ms", payload=["boost_active"], ties=["seq"], into="_d"))
+
+
+def _markout_bps(future: Column) -> Column:
+    future = F.nullif(future, F.lit(0.0))
+    gain = F.when(F.col("side_key") == "buy", future - F.col("px")).otherwise(F.col("px") - future)
+    return F.try_divide(gain, future) * 1e4
 
 
 def fill_markouts(fills: DataFrame, mids: DataFrame, horizons_s: Sequence[int]) -> DataFrame:
@@ -143,19 +164,34 @@ def fill_markouts(fills: DataFrame, mids: DataFrame, horizons_s: Sequence[int])
         asked, mids, RUN, at=F.col("ts_ms") + F.col("horizon_s") * 1000, quote_at="ts_ms", payload=["mid"], ties=["seq"],
         direction="forward", into="_f",
     )
-    future = F.nullif(F.col("_f.mid"), F.lit(0.0))
-    gain = F.when(F.col("side_key") == "buy", future - F.col("px")).otherwise(F.col("px") - future)
-    return scratch.keep(hit.withColumn("markout_bps", F.try_divide(gain, future) * 1e4).drop("_f"), "markouts")
+    return hit.withColumn("markout_bps", _markout_bps(F.col("_f.mid"))).drop("_f")
 
 
-def enrich_fills(fills: DataFrame, market: DataFrame, orders: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Fills of the run with market, order and decision joins and their edges."""
-    # An as-of join reads its probes twice, so a chain of them doubles the work at every link unless each link is
-    # written. The last write serves every fill KPI.
-    inside = scratch.keep(scoped_fills(fills, market).filter(~F.col("out_of_run")), "fills")
-    priced = scratch.keep(fill_edges(fill_market(inside, market_mids(market))), "fills")
-    matched = scratch.keep(fill_orders(priced, orders), "fills")
-    return scratch.keep(fill_decisions(matched, decisions), "fills")
+def enrich_fills(fills: DataFrame, market: DataFrame, orders: DataFrame, decisions: DataFrame, horizons_s: Sequence[int] = ()) -> DataFrame:
+    """Fills of the run with market, order and decision joins and their edges.
+
+    With ``horizons_s`` also ``markouts``, one (horizon_s, markout_bps) for each. All of these questions are answered in one pass.
+    """
+    inside = scoped_fills(fills, market).filter(~F.col("out_of_run")).withColumn("_cid", val.client_id(F.col("cloid")))
+    now = F.col("ts_ms")
+    asks = {"_m": Ask("mid", now), "ord": Ask("order", now, extra=F.col("_cid")), "_d": Ask("decision", now)}
+    asks |= {f"_f{h}": Ask("mid", now + int(h) * 1000, "forward") for h in horizons_s}
+    sources = {
+        "mid": Source(market_mids(market), "ts_ms", ["mid", "mid_source"], ["seq"]),
+        "order": Source(_sent_orders(orders), "ts_ms", ORDER_FIELDS, ["seq"], F.col("_cid")),
+        "decision": Source(_boosts(decisions), "ts_ms", ["boost_active"], ["seq"]),
+    }
+    hit = lookups(inside, RUN, asks, sources)
+    out = _decision_columns(_order_columns(fill_edges(_market_columns(hit))))
+    if horizons_s:
+        late = [F.struct(F.lit(int(h)).cast("bigint").alias("horizon_s"), _markout_bps(F.col(f"_f{h}.mid")).alias("markout_bps")) for h in horizons_s]
+        out = out.withColumn("markouts", F.array(*late)).drop(*[f"_f{h}" for h in horizons_s])
+    return out
+
+
+def markouts_of(enriched: DataFrame) -> DataFrame:
+    """Long form of the markouts of :func:`enrich_fills`."""
+    return enriched.select("*", F.inline("markouts")).drop("markouts")
 
 
 def edge_stats(enriched: DataFrame) -> DataFrame:
@@ -206,26 +242,20 @@ def maker_taker(scoped: DataFrame) -> DataFrame:
     )
 
 
-def fill_decomposition(enriched: DataFrame, markouts: DataFrame) -> DataFrame:
-    """Summaries of edge, net and markouts by side, by boost, and by both."""
-    keep = [*RUN, "side_key", "boost_key"]
-    sided = enriched.filter(F.col("edge_bps").isNotNull())
-    long = _measures(sided, ["edge_bps", "net_bps"], keep).unionByName(
-        markouts.filter(F.col("edge_bps").isNotNull() & F.col("markout_bps").isNotNull()).select(
-            *keep,
-            F.concat(F.lit("markout_"), F.col("horizon_s").cast("string"), F.lit("s_bps")).alias("measure"),
-            F.col("markout_bps").alias("x"),
-        )
-    )
-    group = lambda g, s, b: F.struct(F.lit(g).alias("grouping"), s.alias("side_group"), b.alias("boost_group"))
-    whole = F.lit("all")
-    groups = F.array(
-        group("side", F.col("side_key"), whole),
-        group("boost", whole, F.col("boost_key")),
-        group("boost_side", F.col("side_key"), F.col("boost_key")),
-    )
-    spread = long.select(*RUN, "measure", "x", F.inline(groups))
-    return quantiles.summary(spread, [*RUN, "grouping", "side_group", "boost_group", "measure"], "x")
+def fill_decomposition(enriched: DataFrame) -> DataFrame:
+    """Summaries of edge, net and markouts by side, by boost, and by both, from one index of the measures."""
+    measure = lambda name, x: F.struct(name.alias("measure"), x.cast("double").alias("x"))
+    own = F.array(*[measure(F.lit(n), F.col(n)) for n in ("edge_bps", "net_bps")])
+    if "markouts" in enriched.columns:
+        named = lambda m: F.concat(F.lit("markout_"), m["horizon_s"].cast("string"), F.lit("s_bps"))
+        own = F.concat(own, F.transform("markouts", lambda m: measure(named(m), m["markout_bps"])))
+    long = enriched.filter(F.col("edge_bps").isNotNull()).select(*RUN, "side_key", "boost_key", F.inline(own))
+    index = quantiles.Index(long, [*RUN, "measure"], "x", ["side_key", "boost_key"])
+    groupings = {"side": ["side_key"], "boost": ["boost_key"], "boost_side": ["side_key", "boost_key"]}
+    found = index.summary(*groupings.values())
+    named = F.element_at(F.array(*[F.lit(n) for n in groupings]), F.col("grouping") + 1)
+    shown = lambda c: F.when(F.col("grouping").isin([i for i, g in enumerate(groupings.values()) if c in g]), F.col(c)).otherwise(F.lit("all"))
+    return found.withColumns({"side_group": shown("side_key"), "boost_group": shown("boost_key"), "grouping": named}).drop("side_key", "boost_key")
 
 
 def net_by_spread(enriched: DataFrame) -> DataFrame:

@@ -83,12 +83,8 @@ def scoped(spark: SparkSession, sf: str) -> DataFrame:
     return rl.scoped_fills(v.log_fills(spark, sf), v.log_market(spark, sf))
 
 
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.enrich_fills(v.log_fills(spark, sf), v.log_market(spark, sf), v.log_orders(spark, sf), v.log_decisions(spark, sf))
-
-
-def markouts(spark: SparkSession, sf: str, fills: DataFrame, horizons: list[int] | None = None) -> DataFrame:
-    return rl.fill_markouts(fills, rl.market_mids(v.log_market(spark, sf)), horizons or HORIZONS_S)
+def enriched(spark: SparkSession, sf: str, *horizons_s: int) -> DataFrame:
+    return rl.enrich_fills(v.log_fills(spark, sf), v.log_market(spark, sf), v.log_orders(spark, sf), v.log_decisions(spark, sf), horizons_s)
 
 
 # ---- logs and fills ----
@@ -171,7 +167,7 @@ def d29s(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d30_fill_markout_bps", "markouts", f"SELECT run_id, horizon_s, {_STATS} FROM (SELECT *, markout_bps AS x FROM markouts WHERE edge_bps IS NOT NULL) GROUP BY ALL", _STAT_COLS, "horizon_s")
 def d30(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.markout_stats(markouts(spark, sf, enriched(spark, sf)))
+    return rl.markout_stats(rl.markouts_of(enriched(spark, sf, *HORIZONS_S)))
 
 
 @query("d31_maker_taker", "scoped", """SELECT *, fee / notional * 1e4 AS fee_bps, maker_fee / maker_notional * 1e4 AS maker_fee_bps, CASE WHEN taker_notional > 0 THEN taker_fee / taker_notional * 1e4 END AS taker_fee_bps, taker_notional / notional AS taker_notional_share, taker_fills > 0 AS taker_guard_trip FROM
@@ -187,8 +183,7 @@ def d31(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT run_id, side_key, boost_key, 'markout_' || horizon_s || 's_bps', markout_bps FROM markouts WHERE edge_bps IS NOT NULL AND markout_bps IS NOT NULL)
   GROUP BY GROUPING SETS ((run_id, measure, side_key), (run_id, measure, boost_key), (run_id, measure, side_key, boost_key))""", _STAT_COLS)
 def d32(spark: SparkSession, sf: str) -> DataFrame:
-    fills = enriched(spark, sf)
-    return rl.fill_decomposition(fills, markouts(spark, sf, fills))
+    return rl.fill_decomposition(enriched(spark, sf, *HORIZONS_S))
 
 
 @query("d33_net_by_spread_bucket", "enriched", f"""SELECT run_id, spread_bucket, {_STATS} FROM (SELECT run_id, net_bps AS x, printf('%d.%02d', c // 100, c % 100) AS spread_bucket FROM
@@ -222,8 +217,8 @@ _COHORT_FLAGS = "('backoff', reject_backoff_active), ('risk_escape', risk_escape
   SELECT run_id, cohort, active, sent, rejects, COALESCE(fills, 0) AS fills, rejects / sent AS reject_rate, COALESCE(fills, 0) / sent AS fill_rate, net_med, net_mean, markout_med FROM s LEFT JOIN m USING (run_id, cohort, active)""",
        "reject_rate fill_rate net_med net_mean markout_med")
 def d37(spark: SparkSession, sf: str) -> DataFrame:
-    fills = enriched(spark, sf)
-    out = rl.cohort_rates(v.log_orders(spark, sf), fills, markouts(spark, sf, fills, [LATE_S]))
+    fills = scratch.keep(enriched(spark, sf, LATE_S), "fills")
+    out = rl.cohort_rates(v.log_orders(spark, sf), fills, rl.markouts_of(fills))
     return out.select(
         "run_id", "cohort", "active", "sent", "rejects", "fills", "reject_rate", "fill_rate", F.col("net_bps_median").alias("net_med"),
         F.col("net_bps_mean").alias("net_mean"), F.col("markout_bps_median").alias("markout_med"),
@@ -232,8 +227,8 @@ def d37(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d37_cohort_stats_by_bucket", "cohorts", f"SELECT run_id, cohort, active, bucket, measure, {_STATS} FROM cohorts GROUP BY ALL", _STAT_COLS)
 def d37b(spark: SparkSession, sf: str) -> DataFrame:
-    fills = enriched(spark, sf)
-    return rl.cohort_stats_by_bucket(fills, markouts(spark, sf, fills, [LATE_S]))
+    fills = scratch.keep(enriched(spark, sf, LATE_S), "fills")
+    return rl.cohort_stats_by_bucket(fills, rl.markouts_of(fills))
 
 
 @query("d37_escape_counts", "log_orders", """SELECT run_id, COALESCE(side, '-') AS side_key, COALESCE(risk_escape_bucket, 'none') AS bucket, lower(risk_escape_mode) AS mode, count(*) AS sent, count(*) FILTER (risk_escape_triggered) AS triggered,
@@ -332,7 +327,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     """Run reports from the logs; stand-in thresholds keep all verdicts present."""
     from tideblock.operators.quantiles import quantile_columns
 
-    fills = enriched(spark, sf)
+    fills = scratch.keep(enriched(spark, sf, LATE_S), "fills")
     inside = scoped(spark, sf).filter(~F.col("out_of_run"))
     value = F.col("px") * F.col("sz")
     head = inside.groupBy("run_id").agg(
@@ -342,7 +337,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     )
     joined = fills.groupBy("run_id").agg(F.count("mid").alias("fills_joined_count"))
     net = quantile_columns(fills, ["run_id"], "net_bps", {"net_med": 0.5, "_p10": 0.1})
-    late = markouts(spark, sf, fills, [LATE_S]).filter(F.col("edge_bps").isNotNull())
+    late = rl.markouts_of(fills).filter(F.col("edge_bps").isNotNull())
     mark = quantile_columns(late, ["run_id"], "markout_bps", {"_med": 0.5})
     out = head.join(joined, "run_id").join(net, "run_id", "left").join(mark, "run_id", "left")
     rows = out.select(
