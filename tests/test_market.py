@@ -17,7 +17,7 @@ from tideblock.functions import values as val
 from tideblock.operators import blocks as bl
 from tideblock.operators import candles as cd
 from tideblock.sources import events as ev
-from tideblock.sources import logs, sinks
+from tideblock.sources import logs, sinks, zst
 
 BOOK = "symbol string, event_id string, ts_ms bigint, bid_px double, bid_sz double, ask_px double, ask_sz double"
 TRADE = "symbol string, event_id string, ts_ms bigint, trade_id string, side string, px double, sz double"
@@ -182,3 +182,35 @@ def test_node_trades_and_candles(spark, tmp_path):
     sinks.write_candles(logs.read_candles(spark, str(path)), str(tmp_path / "out"), "15m")
     text = spark.read.text(str(tmp_path / "out")).first().value
     assert json.loads(text)[0] == {"t": start, "T": start + 899_999, "s": "ETH", "i": "15m", "o": "0", "c": "1", "h": "2", "l": "-1", "v": "1.5", "n": 2}
+
+
+def zst_file(lines, frame_bytes, known_size):
+    """Frames cut anywhere, also inside lines and characters, with or without their size in the header, and a skippable frame."""
+    text = "\n".join(lines).encode()
+    out = b"\x50\x2a\x4d\x18" + (5).to_bytes(4, "little") + b"extra"
+    for at in range(0, len(text), frame_bytes):
+        out += zstandard.ZstdCompressor(write_content_size=known_size, write_checksum=at % 2 == 0).compress(text[at : at + frame_bytes])
+    return out
+
+
+@pytest.mark.parametrize("known_size", [True, False])
+def test_zst_files_are_split_by_frames(spark, tmp_path, monkeypatch, known_size):
+    lines = [f'{{"channel": "trades", "recv_ts_ms": {i}, "symbol": "é{"x" * (i * 37 % 900)}"}}' for i in range(200)]
+    monkeypatch.setattr(zst, "STEP_BYTES", 64)
+    for n, (frame, part) in enumerate([(10, 1), (333, 500), (5000, 100), (10**6, 1), (1000, 10**6)]):
+        data = zst_file(lines if n % 2 else [*lines, ""], frame, known_size)
+        own = zst.parts(memoryview(data), part)
+        assert b"".join(own) == data and (len(own) > 10) == (n in (0, 1, 2))
+        got = [x.decode() for i, p in enumerate(own) for some in zst.lines(p, i == 0, zst.first_line(own[i + 1 :])) for x in some if x]
+        assert got == lines
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl.zst").write_bytes(zst_file(lines, 700, known_size))
+    (tmp_path / "empty.zst").write_bytes(b"")
+    (tmp_path / "tiny.zst").write_bytes(zst_file(['{"channel": "bbo", "recv_ts_ms": 7}'], 10**6, known_size))
+    (tmp_path / "cut.zst").write_bytes(zst_file(lines[:3], 10**6, known_size)[:-9])
+    packed = spark.read.format("binaryFile").load(str(tmp_path))
+    assert zst.read_lines(packed, 1000).filter("value like '{%' and not source_file like '%cut.zst'").count() == 601
+    rows = ev.read_raw(spark, str(tmp_path)).collect()
+    bad = [r for r in rows if r._corrupt is not None]
+    assert {r.source_file.rsplit("/", 1)[-1] for r in bad} == {"cut.zst"}
+    assert sorted(r.recv_ts_ms for r in rows if r.channel == "trades" and "cut" not in r.source_file) == sorted([*range(200)] * 3)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from tideblock.operators import candles as cd
 from tideblock.plans import views as v
 from tideblock.plans.catalog import query
 from tideblock.sources import events as ev
-from tideblock.sources import logs, sinks
+from tideblock.sources import logs, sinks, zst
 
 HOUR = v.HOUR_MS
 # Two flow columns on every block, from the first block at or after each trade.
@@ -108,7 +111,7 @@ def raw_files(spark: SparkSession, sf: str) -> str:
 
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.read_raw(spark, raw_files(spark, sf), "*.txt*")
+    return ev.read_raw(spark, raw_files(spark, sf), "*.txt*", None)
 
 
 _WIRE = """wire AS (
@@ -127,6 +130,26 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return raw_events(spark, sf).groupBy("channel", "symbol").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("last_ms"))
 
 
+@query("a2_scan_raw_zst", _WIRE_NEEDS, f"WITH {_WIRE} SELECT ch AS channel, symbol || '-PERP' AS symbol, count(*) AS n, max(ts_ms) AS last_ms FROM wire GROUP BY ALL")
+def a2(spark: SparkSession, sf: str) -> DataFrame:
+    events = ev.parse_lines(zst.read_lines(_zst_files(spark, sf), 1 << 16))
+    return events.groupBy("channel", "symbol").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("last_ms"))
+
+
+def _zst_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The wire lines in files as ``binaryFile`` has them: frames that cut lines anywhere, every other one with its size in the header."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for n, batch in enumerate(batches):
+            text = "\n".join(batch.column(0).to_pylist()).encode()
+            frames = [zstandard.ZstdCompressor(write_content_size=bool(at & 4096)).compress(text[at : at + 4096]) for at in range(0, len(text), 4096)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{n}.jsonl.zst"]), pa.array([b"".join(frames)], pa.binary())], names=["path", "content"])
+
+    return scratch.keep(_wire(spark, sf).mapInArrow(pack, "path string, content binary"), "wire_zst")
+
+
 @query("a3_scan_tree", _WIRE_NEEDS, f"WITH {_WIRE} SELECT count(*) AS n, true AS has_file FROM wire")
 def a3(spark: SparkSession, sf: str) -> DataFrame:
     return raw_events(spark, sf).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideblock.functions import values as val
 from tideblock.sources.schemas import NODE_TRADE, RAW_EVENT
 from tideblock.sources.sinks import write_table
+from tideblock.sources.zst import read_lines
 
 # Channel names and the event type of each.
 CHANNELS = {
@@ -25,24 +26,28 @@ NEEDS_NUMBER = {
     "px": ["trades", "userFills"], "sz": ["trades", "userFills"], "fee": ["userFills"], "amount": ["userFundings"], "rate": ["userFundings"],
     "bid_px": ["bbo"], "bid_sz": ["bbo"], "ask_px": ["bbo"], "ask_sz": ["bbo"],
 }
-EVENT_FILES = "*.{jsonl,jsonl.zst,zst}"
+PLAIN_FILES, ZST_FILES = "*.jsonl", "*.zst"
+CORRUPT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
-def read_raw(spark: SparkSession, path: str, pattern: str = EVENT_FILES) -> DataFrame:
-    """Every JSON line below ``path``, plain or compressed (.zst, .gz), with its file.
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Raw events of (source_file, value) text lines; a line that is no event is kept in ``_corrupt``."""
+    parsed = lines.select(F.from_json("value", RAW_EVENT, CORRUPT).alias("_e"), "source_file")
+    return parsed.select("_e.*", "source_file")
 
-    A compressed file is one task however large it is, so rows are spread out after the scan by the next shuffle
-    (deduplication hashes them by key).
+
+def read_raw(spark: SparkSession, path: str, pattern: str = PLAIN_FILES, zst: str | None = ZST_FILES) -> DataFrame:
+    """Every JSON line below ``path`` with its file: files of ``pattern``, plain or .gz, and .zst files, which are split by frames.
+
+    A .gz file is one task however large it is, so rows are spread out after the scan by the next shuffle (deduplication hashes them by key).
     """
-    return (
-        spark.read.schema(RAW_EVENT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("source_file"))
-    )
+    found = lambda kind: kind.option("recursiveFileLookup", "true")
+    plain = found(spark.read.schema(RAW_EVENT).options(**CORRUPT)).option("pathGlobFilter", pattern).json(path)
+    rows = plain.select("*", F.col("_metadata.file_path").alias("source_file"))
+    if zst is None:
+        return rows
+    packed = found(spark.read.format("binaryFile")).option("pathGlobFilter", zst).load(path)
+    return rows.unionByName(parse_lines(read_lines(packed)))
 
 
 def _levels(side: str, place: int) -> Column:
@@ -147,7 +152,7 @@ def filter_symbol(events: DataFrame, symbol: str) -> DataFrame:
     return events.filter(val.canonical_symbol(F.col("symbol")) == val.canonical_symbol(F.lit(symbol)))
 
 
-def convert_raw(spark: SparkSession, raw_path: str, out_path: str, *pattern: str) -> None:
+def convert_raw(spark: SparkSession, raw_path: str, out_path: str, *pattern: str | None) -> None:
     """Raw lines to deduplicated Parquet, by event type and symbol. ``pattern`` is that of :func:`read_raw`."""
     events = dedupe(valid(parse_events(read_raw(spark, raw_path, *pattern))))
     write_table(events, out_path, ["event_type", "symbol"])

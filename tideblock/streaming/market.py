@@ -11,23 +11,21 @@ from pyspark.sql import functions as F
 
 from tideblock.sources import events as ev
 from tideblock.sources.schemas import RAW_EVENT
+from tideblock.sources.zst import read_lines
 from tideblock.streaming.state import Dedupe
 
 # Names under which a fill may carry its id.
 FILL_ID_FIELDS = ["tid", "tradeId", "hash"]
 
 
-def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, pattern: str = ev.EVENT_FILES) -> DataFrame:
-    """Appended event files as a stream of raw lines."""
-    return (
-        spark.readStream.schema(RAW_EVENT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-    )
+def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, pattern: str = ev.PLAIN_FILES, zst: str | None = None) -> DataFrame:
+    """Appended event files as a stream of raw lines; with ``zst`` also files of that pattern, split by frames."""
+    found = lambda kind: kind.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+    plain = found(spark.readStream.schema(RAW_EVENT).options(**ev.CORRUPT)).option("pathGlobFilter", pattern).json(path)
+    if zst is None:
+        return plain
+    packed = found(spark.readStream.format("binaryFile")).option("pathGlobFilter", zst).load(path)
+    return plain.unionByName(ev.parse_lines(read_lines(packed)).drop("source_file"))
 
 
 def ingest(raw: DataFrame) -> DataFrame:
