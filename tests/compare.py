@@ -76,7 +76,7 @@ def main() -> int:
                 n, bad = len(q.build(spark, folder).collect()), []
                 note = "rows only"
             else:
-                n, bad = differences(q.build(spark, folder), con, q.sql)
+                n, bad = differences(q.compared(spark, folder), con, q.sql)
                 note = "ok"
         except Exception as e:  # noqa: BLE001
             n, bad, note = -1, [f"{type(e).__name__}: {str(e)[:600]}"], "error"

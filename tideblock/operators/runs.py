@@ -341,8 +341,12 @@ def ab_summary(pairs: DataFrame, medians: Sequence[str], delta: str = "delta_pnl
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free content print of a table per key: rows, sum and xor of row hashes, and a short hash of those."""
-    h = F.xxhash64(*columns)
+    """Order-free content print of a table per key: rows, sum and xor of row hashes, and a short hash of those.
+
+    A row's hash is the first 60 bits of the SHA-256 of its values as text, joined by ``|``, null as ``~``; any engine can compute it.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor")
     )

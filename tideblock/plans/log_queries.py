@@ -90,17 +90,16 @@ def enriched(spark: SparkSession, sf: str, *horizons_s: int) -> DataFrame:
 # ---- logs and fills ----
 
 
-@query("a12_scan_run_logs", "log_orders", "SELECT run_id, action, count(*) AS n, count(error) AS errors FROM log_orders GROUP BY ALL")
+@query("a12_scan_run_logs", "log_orders", "SELECT run_id, action, count(*) AS n, count(error) AS errors, count(DISTINCT client_oid) AS clients, max(ts_ms) AS last_ms FROM log_orders GROUP BY ALL")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch.new_path(spark, "runs")
-    rows = v.log_orders(spark, sf).select(F.to_json(F.struct("ts_ms", "action", "client_oid", "side", "error")).alias("value"), "run_id")
+    rows = v.log_orders(spark, sf).select(F.to_json(F.struct("ts_ms", "action", F.lit("").alias("client_oid"), F.col("client_oid").alias("clientOid"), "side", "error")).alias("value"), "run_id")
     broken = rows.select(F.lit("{not json").alias("value"), "run_id").distinct()
     rows.unionByName(broken).write.partitionBy("run_id").text(path)
-    found = (
-        spark.read.schema("ts_ms BIGINT, action STRING, client_oid STRING, side STRING, error STRING").option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true").json(path).withColumn("run_id", F.regexp_extract("_metadata.file_path", "run_id=([^/]+)", 1))
+    found = logs.read_run_log(spark, path, "orders", pattern="*.txt")
+    return found.groupBy("run_id", "action").agg(
+        F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), F.count_distinct("client_oid").alias("clients"), F.max("ts_ms").alias("last_ms")
     )
-    return found.groupBy("run_id", "action").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
 
 
 @query("b18_classify_order_error", "log_orders", """SELECT run_id, action, CASE k2 WHEN 0 THEN 'post_only_reject' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'cannot_modify' ELSE 'insufficient_margin' END AS error_class, count(*) AS n FROM
@@ -214,7 +213,7 @@ _COHORT_FLAGS = "('backoff', reject_backoff_active), ('risk_escape', risk_escape
 
 @query("d37_cohort_rates", "cohorts log_orders", f"""WITH s AS (SELECT run_id, cohort, active, count(*) FILTER (action IN ('new', 'replace')) AS sent, count(*) FILTER ({_POST_ONLY}) AS rejects FROM log_orders, LATERAL (VALUES {_COHORT_FLAGS}) c(cohort, active) GROUP BY ALL),
   m AS (SELECT run_id, cohort, active, count(*) FILTER (measure = 'net_bps') AS fills, median(x) FILTER (measure = 'net_bps') AS net_med, median(x) FILTER (measure = 'markout_bps') AS markout_med, avg(x) FILTER (measure = 'net_bps') AS net_mean FROM cohorts GROUP BY ALL)
-  SELECT run_id, cohort, active, sent, rejects, COALESCE(fills, 0) AS fills, rejects / sent AS reject_rate, COALESCE(fills, 0) / sent AS fill_rate, net_med, net_mean, markout_med FROM s LEFT JOIN m USING (run_id, cohort, active)""",
+  SELECT run_id, cohort, active, sent, rejects, COALESCE(fills, 0) AS fills, rejects / nullif(sent, 0) AS reject_rate, COALESCE(fills, 0) / nullif(sent, 0) AS fill_rate, net_med, net_mean, markout_med FROM s LEFT JOIN m USING (run_id, cohort, active)""",
        "reject_rate fill_rate net_med net_mean markout_med")
 def d37(spark: SparkSession, sf: str) -> DataFrame:
     fills = scratch.keep(enriched(spark, sf, LATE_S), "fills")
@@ -371,17 +370,19 @@ def f5(spark: SparkSession, sf: str) -> DataFrame:
     return gt.latest_runs(gt.run_status(reports(spark, sf)), 5).select("run_id", "status", "mtime")
 
 
-@query("a14_scan_run_reports", "reports", "SELECT run_id, fills_count, net_med, net_p10, taker_guard_trip FROM reports", "net_med net_p10")
+@query("a14_scan_run_reports", "reports", "SELECT run_id, fills_count, net_med, net_p10, markout30_med, taker_guard_trip FROM reports", "net_med net_p10 markout30_med")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch.new_path(spark, "reports")
     docs = reports(spark, sf).select(
-        "run_id", "fills_count", "notional_sum", "fills_joined_count", "taker_guard_trip", "taker_notional_share",
+        "run_id", F.lit("").alias("id"), F.concat(F.lit("/runs/"), "run_id", F.lit("/")).alias("run_dir"), "fills_count", "notional_sum", "fills_joined_count", "taker_guard_trip", "taker_notional_share",
         F.struct(F.col("net_med").alias("median"), F.col("net_p10").alias("p10")).alias("net_bps"),
-        F.create_map(F.lit("30"), F.struct(F.col("markout30_med").alias("median"))).alias("markout_bps"),
+        F.create_map(F.lit("30"), F.struct(F.col("markout30_med").alias("median")), F.lit("5"), F.struct(F.lit(-1.0).alias("median"))).alias("markout_bps"),
     )
-    sinks.write_json_lines(docs, f"{path}/all")
-    back = spark.read.schema("run_id STRING, fills_count BIGINT, net_bps STRUCT<median: DOUBLE, p10: DOUBLE>, taker_guard_trip BOOLEAN").json(f"{path}/all")
-    return back.select("run_id", "fills_count", F.col("net_bps.median").alias("net_med"), F.col("net_bps.p10").alias("net_p10"), "taker_guard_trip")
+    docs = scratch.keep(docs, "reports")
+    docs.write.partitionBy("run_id").json(f"{path}/all")
+    docs.withColumn("run_id", F.lit("_monitor")).limit(1).write.json(f"{path}/all/_monitor")
+    back = logs.read_run_reports(spark, f"{path}/all", "*.json")
+    return back.select("run_id", "fills_count", "net_med", "net_p10", "markout30_med", "taker_guard_trip")
 
 
 @query("d49_phase_gate", "log_orders scoped", """SELECT *, margin_errors <= 1 AND rate_limit_errors = 0 AND cannot_modify_errors = 0 AND taker_fills = 0 AS passed, post_only_rejects / sent AS post_only_share, post_only_rejects / sent <= 0.05 AS post_only_ok FROM
@@ -479,11 +480,13 @@ def e14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j1_user_strategy_hook", "state", "SELECT symbol, book_event_id, CASE WHEN imbalance > 0 THEN 'buy' ELSE 'sell' END AS side FROM state WHERE imbalance IS NOT NULL")
 def j1(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+
     from tideblock.operators.hooks import user_strategy
     from tideblock.plans.research_queries import quotes
 
     def decide(pdf):
         known = pdf[pdf["imbalance"].notna()]
-        return known.assign(side=["buy" if x > 0 else "sell" for x in known["imbalance"]])[["symbol", "book_event_id", "side"]]
+        return known.assign(side=np.where(known["imbalance"] > 0, "buy", "sell"))[["symbol", "book_event_id", "side"]]
 
     return user_strategy(quotes(spark, sf), ["symbol"], decide, "symbol string, book_event_id bigint, side string")

@@ -298,10 +298,10 @@ def b5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("b6_event_time", "base", "SELECT event_id, ts_ms AS event_ms FROM base")
+@query("b6_event_time", "base", "SELECT event_id, CASE WHEN k > 50 THEN ts_ms ELSE ts_ms + 17 END AS event_ms FROM base")
 def b6(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("k") > 50, F.col("ts_ms"))
-    return v.base(spark, sf).select("event_id", val.event_time(own, F.col("ts_ms")).alias("event_ms"))
+    return v.base(spark, sf).select("event_id", val.event_time(own, F.col("ts_ms") + 17).alias("event_ms"))
 
 
 @query("b7_book_top", "books", """SELECT event_id, bid_px AS best_bid, bid_sz AS best_bid_sz, ask_px AS best_ask, ask_sz AS best_ask_sz FROM books""",
@@ -411,14 +411,15 @@ def c1(spark: SparkSession, sf: str) -> DataFrame:
     return bl.bucket_trades(v.trades(spark, sf), v.books(spark, sf)).select("event_id", *bl.BLOCK)
 
 
-@query("c1_nested_blocks_clipped_b25", "bucketed", """SELECT symbol, block_ts_ms, book_event_id, count(*) AS n_all,
-  count(*) FILTER (ts_ms >= block_ts_ms - 3600000) AS n_kept, string_agg(trade_id, ',' ORDER BY ts_ms, event_id) AS trade_ids FROM bucketed GROUP BY ALL""")
+@query("c1_nested_blocks_clipped_b25", "bucketed", """SELECT symbol, block_ts_ms, book_event_id, part, count(*) AS n_all,
+  count(*) FILTER (ts_ms >= block_ts_ms - 3600000) AS n_kept, string_agg(trade_id, ',' ORDER BY ts_ms, event_id) AS trade_ids FROM
+  (SELECT *, (row_number() OVER (PARTITION BY symbol, block_ts_ms, book_event_id ORDER BY ts_ms, event_id) - 1) // 10000 AS part FROM bucketed) GROUP BY ALL""")
 def c1n(spark: SparkSession, sf: str) -> DataFrame:
     rows = bl.bucket_trades(v.trades(spark, sf), v.books(spark, sf))
     nested = bl.nested_trades(rows).withColumnRenamed("trade_bucket", "all_trades").withColumn("trade_bucket", F.col("all_trades"))
     clipped = bl.clip_bucket(nested, F.col("block_ts_ms") - HOUR)
     return clipped.select(
-        "symbol", *bl.BLOCK, F.size("all_trades").alias("n_all"), F.size("trade_bucket").alias("n_kept"),
+        "symbol", *bl.BLOCK, "part", F.size("all_trades").alias("n_all"), F.size("trade_bucket").alias("n_kept"),
         F.concat_ws(",", F.transform("all_trades", lambda t: t["trade_id"])).alias("trade_ids"),
     )
 
@@ -472,20 +473,21 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
     return cd.roll_up(back, cd.interval_ms("45m")).select("symbol", "t", "o", "h", "l", "c", "v", "n", "t_end")
 
 
-@query("d47_h14_book_change_diag", "state", """SELECT symbol, count(*) AS samples,
-  count(*) FILTER (prev_id IS NOT NULL AND (bid_px IS DISTINCT FROM prev_bid OR ask_px IS DISTINCT FROM prev_ask)) AS top_changes,
-  count(DISTINCT COALESCE(bid_px, -1) || ':' || COALESCE(ask_px, -1)) AS unique_tops FROM state GROUP BY ALL""")
+_HASH8 = "substr(sha256(COALESCE(bid_px::VARCHAR, 'None') || ':' || COALESCE(ask_px::VARCHAR, 'None') || ':' || COALESCE(bid_sz::VARCHAR, 'None') || ':' || COALESCE(ask_sz::VARCHAR, 'None')), 1, 8)"
+
+
+@query("d47_h14_book_change_diag", "state", f"""SELECT symbol, count(*) AS samples,
+  count(*) FILTER (prev_id IS NOT NULL AND (bid_px IS DISTINCT FROM prev_bid OR ask_px IS DISTINCT FROM prev_ask)) AS top_changes, count(*) FILTER (h <> prev_h) AS book_changes,
+  count(DISTINCT COALESCE(bid_px, -1) || ':' || COALESCE(ask_px, -1)) AS unique_tops, count(DISTINCT h) AS unique_hashes FROM
+  (SELECT *, lag(h) OVER (PARTITION BY symbol ORDER BY block_ts_ms, book_event_id) AS prev_h FROM (SELECT *, {_HASH8} AS h FROM state)) GROUP BY ALL""")
 def d47(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.books(spark, sf).withColumnsRenamed({"ts_ms": "block_ts_ms", "event_id": "book_event_id"})
-    return bl.book_change_summary(rows).select("symbol", "samples", "top_changes", "unique_tops")
+    return bl.book_change_summary(rows).select("symbol", "samples", "top_changes", "book_changes", "unique_tops", "unique_hashes")
 
 
-@query("h14_book_hash8", "books", """SELECT event_id, substr(sha256(COALESCE(CAST(bid_sz AS INTEGER)::VARCHAR, 'None') || ':' || COALESCE(CAST(ask_sz AS INTEGER)::VARCHAR, 'None') || ':' || side || ':' || symbol), 1, 8) AS hash8
-  FROM (SELECT *, CAST(event_id % 3 AS VARCHAR) AS side FROM books)""")
+@query("h14_book_hash8", "books", f"SELECT event_id, {_HASH8} AS hash8 FROM books")
 def h14(spark: SparkSession, sf: str) -> DataFrame:
-    whole = lambda c: F.col(c).cast("int")
-    b = v.books(spark, sf)
-    return b.select("event_id", bk.book_hash8(whole("bid_sz"), whole("ask_sz"), (F.col("event_id") % 3), F.col("symbol")).alias("hash8"))
+    return v.books(spark, sf).select("event_id", bk.book_hash8(*[F.col(c) for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")]).alias("hash8"))
 
 
 @query("e1_mid_ret", "state", "SELECT symbol, book_event_id, mid_ret, abs_mid_ret FROM state", "mid_ret abs_mid_ret")
@@ -584,7 +586,12 @@ def h13(spark: SparkSession, sf: str) -> DataFrame:
     return v.base(spark, sf).groupBy(val.time_tag(F.col("ts_ms")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h15_nested_get", "base", "SELECT event_id, k AS depth FROM base", "", "depth")
+@query("h15_nested_get", "base", "SELECT event_id, CASE WHEN k % 5 = 0 THEN k END AS depth FROM base", "", "depth")
 def h15(spark: SparkSession, sf: str) -> DataFrame:
-    doc = F.to_json(F.struct(F.struct(F.col("k").alias("b")).alias("a")))
+    """Present, a null on the way, another field, a number on the way, and no JSON at all."""
+    k = F.col("k").cast("string")
+    doc = (
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit('{"a": {"b": '), k, F.lit("}}"))).when(F.col("k") % 5 == 1, F.lit('{"a": null}'))
+        .when(F.col("k") % 5 == 2, F.concat(F.lit('{"a": {"c": '), k, F.lit('}, "b": 1}'))).when(F.col("k") % 5 == 3, F.lit('{"a": 7}')).otherwise(F.lit("[not json"))
+    )
     return v.base(spark, sf).select("event_id", F.get_json_object(doc, "$.a.b").cast("bigint").alias("depth"))

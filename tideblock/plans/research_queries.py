@@ -129,11 +129,12 @@ def e15t(spark: SparkSession, sf: str) -> DataFrame:
     return rs.split_table(rs.split_bounds(quotes(spark, sf)))
 
 
-@query("b27_numeric_features", "base", "SELECT * FROM (VALUES ('ask_px'), ('ask_sz'), ('bid_px'), ('bid_sz'), ('imbalance'), ('market_spread_bps'), ('micro_bias_bps'), ('micro_pos'), ('microprice'), ('mid'), ('spread')) t(feature)")
+@query("b27_numeric_features", "", """SELECT column_name AS feature FROM (DESCRIBE lineitem) WHERE (column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR column_type LIKE 'DECIMAL%') AND column_name NOT IN ('l_extendedprice', 'l_orderkey')""")
 def b27(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dataset(spark, sf)
-    names = rs.numeric_features(rows)
-    return rs.feature_rows(rows, names, TARGET, ["symbol"]).select("feature").distinct()
+    """Numeric columns of a given table that have finite pairs with the target, which the table's schema decides."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    names = rs.numeric_features(rows, ["l_extendedprice", "l_orderkey"])
+    return rs.feature_rows(rows, names, "l_extendedprice", ["l_orderkey"]).select("feature").distinct()
 
 
 @query("d15_ic", "edge_ic", "SELECT symbol, feature, n, ic FROM edge_ic", "ic")

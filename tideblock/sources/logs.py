@@ -11,7 +11,8 @@ from tideblock.sources.schemas import ACCOUNT_STATE, CANDLE, METRICS, RUN_LOGS,
 
 
 def _parent(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """Name of the folder; of a partition folder ``key=value`` the value."""
+    return F.url_decode(F.regexp_extract(path, r"([^/=]+)/[^/]+$", 1))
 
 
 def _first_filled(*columns: str) -> Column:
@@ -19,8 +20,8 @@ def _first_filled(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
-def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False) -> DataFrame:
-    """One log of every run below ``root``; ``run_id`` is the folder name.
+def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False, pattern: str | None = None) -> DataFrame:
+    """One log of every run below ``root``; ``run_id`` is the folder name (or that of a partition folder ``run_id=...``).
 
     Bad lines are skipped, or raise when ``strict``. Runs without the file contribute no rows. ``seq`` orders the
     lines of a file by their place in it.
@@ -29,7 +30,7 @@ def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False
         spark.read.schema(RUN_LOGS[name])
         .option("mode", "FAILFAST" if strict else "DROPMALFORMED")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"{name}.jsonl*")
+        .option("pathGlobFilter", pattern or f"{name}.jsonl*")
         .json(root)
     )
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
@@ -43,21 +44,21 @@ def read_run_log(spark: SparkSession, root: str, name: str, strict: bool = False
     return rows
 
 
-def read_metrics(spark: SparkSession, root: str) -> DataFrame:
+def read_metrics(spark: SparkSession, root: str, pattern: str = "metrics.json") -> DataFrame:
     """``metrics.json`` of every run below ``root``; nested values by dotted path."""
     rows = (
         spark.read.schema(METRICS).option("multiLine", "true").option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "metrics.json").json(root)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
     )
     return rows.select(_parent(F.col("_metadata.file_path")).alias("run_id"), "*")
 
 
-def read_run_reports(spark: SparkSession, root: str) -> DataFrame:
+def read_run_reports(spark: SparkSession, root: str, pattern: str = "run_report.json") -> DataFrame:
     """``run_report.json`` of every run folder; the root's own and ``_monitor`` folders are left out."""
     top = root.rstrip("/").rsplit("/", 1)[-1]
     rows = (
         spark.read.schema(RUN_REPORT).option("multiLine", "true").option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "run_report.json").json(root)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
         .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
     )
     folder = _parent(F.col("path"))
