@@ -25,13 +25,14 @@ class Query:
     text: str | None
     doubles: str
     ints: str
+    digits: int = 9
 
     @property
     def sql(self) -> str | None:
         """The SQL with its views, and with columns rounded and cast like the Spark side of :meth:`compared`."""
         if self.text is None:
             return None
-        swaps = [f"{_rounded_sql(f'CAST({c} AS DOUBLE)')} AS {c}" for c in self.doubles.split()]
+        swaps = [f"{_rounded_sql(f'CAST({c} AS DOUBLE)', self.digits)} AS {c}" for c in self.doubles.split()]
         swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints.split()]
         inner = with_ctes(self.needs, self.text) if self.needs else self.text
         return f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({inner})" if swaps else inner
@@ -42,35 +43,37 @@ class Query:
         out = {}
         for f in df.schema.fields:
             if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-                out[f.name] = _rounded(F.col(f.name).cast("double"))
+                out[f.name] = _rounded(F.col(f.name).cast("double"), self.digits)
             elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
                 out[f.name] = F.col(f.name).cast("bigint")
         return df.withColumns(out) if out else df
 
 
-def _rounded(x: Column) -> Column:
+def _rounded(x: Column, most: int) -> Column:
     out = None
-    for least, digits in reversed(STEPS):
+    steps = [(least, min(digits, most)) for least, digits in STEPS]
+    for least, digits in reversed(steps):
         value = F.round(x + F.lit(TIE * 10.0**-digits), digits) + F.lit(0.0)
         out = value if out is None else F.when(F.abs(x) >= least, value).otherwise(out)
     return out
 
 
-def _rounded_sql(x: str) -> str:
-    cases = " ".join(f"WHEN abs({x}) >= {least!r}::DOUBLE THEN round({x} + {TIE * 10.0**-digits!r}::DOUBLE, {digits})" for least, digits in STEPS)
+def _rounded_sql(x: str, most: int) -> str:
+    steps = [(least, min(digits, most)) for least, digits in STEPS]
+    cases = " ".join(f"WHEN abs({x}) >= {least!r}::DOUBLE THEN round({x} + {TIE * 10.0**-digits!r}::DOUBLE, {digits})" for least, digits in steps)
     return f"(CASE {cases} END + 0.0::DOUBLE)"
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, needs: str = "", sql: str | None = None, doubles: str = "", ints: str = "") -> Callable[[Build], Build]:
-    """Register a query. ``needs`` names the CTEs of ``sql``; ``doubles`` and ``ints`` its columns to round or cast."""
+def query(name: str, needs: str = "", sql: str | None = None, doubles: str = "", ints: str = "", digits: int = 9) -> Callable[[Build], Build]:
+    """Register a query. ``needs`` names the CTEs of ``sql``; ``doubles`` and ``ints`` its columns to round or cast, to at most ``digits``."""
 
     def register(build: Build) -> Build:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(build, needs, sql, doubles, ints)
+        QUERIES[name] = Query(build, needs, sql, doubles, ints, digits)
         return build
 
     return register

@@ -230,7 +230,7 @@ _POS = "position avg_cost price_pnl fees funding unrealized_pnl total_pnl"
 
 
 @query("e8_c17_position_ledger", "positions", """SELECT run_id, ts_ms, trade_id, position, avg_cost, price_pnl, fees, funding, COALESCE(unreal, 0) AS unrealized_pnl,
-  price_pnl + fees + funding + COALESCE(unreal, 0) AS total_pnl FROM positions""", _POS)
+  price_pnl + fees + funding + COALESCE(unreal, 0) AS total_pnl FROM positions""", _POS, digits=6)
 def e8(spark: SparkSession, sf: str) -> DataFrame:
     return ps.position_ledger(v.deals(spark, sf), v.fundings(spark, sf), ["run_id"]).select("run_id", "ts_ms", "trade_id", *_POS.split())
 
@@ -256,7 +256,7 @@ v.CTES["average_costs"] = (
 
 @query("e8_average_cost_ledger", "ledger_events average_costs", """SELECT run_id, ts_ms, trade_id, position, avg_cost, pnl AS price_pnl, fees, funding, unreal AS unrealized_pnl, pnl + fees + funding + unreal AS total_pnl FROM (
   SELECT *, COALESCE((last_px - avg_cost) * position, 0) AS unreal FROM (SELECT e.*, pnl, CASE WHEN position <> 0 THEN cost / position END AS avg_cost FROM ledger_events e JOIN average_costs USING (run_id, rn))
-  WHERE kind = 1 OR ts_ms > COALESCE(last_fill, 0))""", _POS)
+  WHERE kind = 1 OR ts_ms > COALESCE(last_fill, 0))""", _POS, digits=6)  # costs of thousands, composed in another order than the recursion
 def e8b(spark: SparkSession, sf: str) -> DataFrame:
     return ps.average_cost_ledger(v.deals(spark, sf), v.fundings(spark, sf), ["run_id"]).select("run_id", "ts_ms", "trade_id", *_POS.split())
 
