@@ -1,5 +1,7 @@
 """Explicit schemas of every file kind; nothing is inferred."""
 
+# All field names and types below are those of the files.
+
 from __future__ import annotations
 
 RAW_EVENT = """
