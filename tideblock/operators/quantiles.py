@@ -16,6 +16,18 @@ from tideblock.operators import ordered
 
 # The quantiles of the summary bundle.
 SUMMARY_POINTS = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
+GRID = 1024
+
+
+def _may_hold(points: Sequence[float], before: Column, upto: Column, total: Column) -> Column:
+    """Whether a row of these ranks may hold one of the points: looked up in a grid, so that few rows compare themselves with all points."""
+    cells = [False] * GRID
+    for p in points:
+        for slack in (-1e-9, 1e-9):
+            cells[min(max(int((p + slack) * GRID), 0), GRID - 1)] = True
+    cell = lambda rank: F.least(F.greatest(F.floor(rank * GRID / F.greatest(total - 1, F.lit(1))), F.lit(0)), F.lit(GRID - 1)).cast("int")
+    low, high, held = cell(before - 1), cell(upto), F.array(*[F.lit(c) for c in cells])
+    return (high - low > 1) | F.get(held, low) | F.get(held, high)
 
 
 class Index:
@@ -70,6 +82,7 @@ class Index:
         series = Window.partitionBy(*place, ordered.CHUNK).orderBy("_x", *self.finest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = rows.withColumns({f"_u_{n}": F.col(f"_b_{n}") + F.sum(own[n]).over(series) for n in ["n", *self.sums]})
         upto, before = F.col("_u_n"), F.col("_u_n") - F.col("_n")
+        ranked = ranked.filter(_may_hold(points, before, upto, F.col("total_n")))
         near = ranked.withColumn("_w", F.explode(F.filter("_wanted", lambda w: inside(w["r"], before, upto)))).select(
             "*", F.col("_w.p").alias("p"), F.col("_w.r").alias("_rank")
         )
