@@ -93,5 +93,5 @@ def test_stages_take_awkward_rows_and_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert packing.MAX_TOKENS == 4096 and pa.array([1]).type == pa.int64()
