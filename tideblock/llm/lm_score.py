@@ -199,21 +199,13 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 net = k.ids(unique)[index]
                 chance = recurrent.log10_chances(w, net, first, k.start()) + np.where(net == k.other, share, 0)
                 sums = [np.add.reduceat(x, first[:-1]) for x in (share, chance, ((n > 0) & there)[index].astype(np.int64), (net == k.other).astype(np.int64))]
-                columns = [ids, pa.array(keys(column, ids, token, first)), pa.array(np.diff(first)), *(pa.array(x) for x in sums)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_tokens", "share", "chance", "known", "other"])
+                far = ~there[index]
+                rare = pa.ListArray.from_arrays(np.concatenate([[0], far.cumsum()])[first].astype(np.int32), pa.array(token[far].view(np.int64)))
+                columns = [ids, pa.array(keys(column, ids, token, first)), pa.array(np.diff(first)), *(pa.array(x) for x in sums), rare]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_tokens", "share", "chance", "known", "other", "rare"])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, _ = held.value
-        for batch in batches:
-            for low, high in slices(batch.column(1)):
-                column, ids = batch.column(1).slice(low, high - low), batch.column(0).slice(low, high - low)
-                token, first = tokens(column)
-                row = np.flatnonzero(~k.look_up(token)[1])
-                key = np.repeat(keys(column, ids, token, first), np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(token[row].view(np.int64)), pa.array(key[row])], names=["word", "key"])
-
-    made = keep(docs.mapInArrow(score, "doc_id long, key long, n_tokens long, share double, chance double, known long, other long"), "scores")
-    seldom = docs.mapInArrow(rare, "word long, key long").join(counts.hint("merge"), "word", "left")
+    made = keep(docs.mapInArrow(score, "doc_id long, key long, n_tokens long, share double, chance double, known long, other long, rare array<long>"), "scores")
+    seldom = made.select("key", F.explode("rare").alias("word")).join(counts.hint("merge"), "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     by_text = seldom.groupBy("key").agg(F.sum(F.log10(n + 0.5)).alias("more_share"), F.count(F.when(n > 0, 1)).alias("more_known"))
     copies = made.groupBy("key").agg(F.count("*").alias("copies"))

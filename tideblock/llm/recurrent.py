@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN = 24
+ALONE = 64
 NAMES = ("inputs", "recurrent", "class_w", "class_b", "member_w", "member_b")
 
 
@@ -104,12 +105,31 @@ def _forward(weights: list[np.ndarray], before: np.ndarray, opens: np.ndarray, s
 
 
 def _softmax(logit: np.ndarray) -> np.ndarray:
-    logit -= logit.max(axis=1, keepdims=True)
+    np.clip(logit, -80, 80, out=logit)  # within what single precision can hold, and much cheaper than each row's maximum
     np.exp(logit, out=logit)
-    logit /= logit.sum(axis=1, keepdims=True)
+    logit *= 1 / (logit @ np.ones((logit.shape[-1], 1), logit.dtype))
     return logit
 
 
+def _by_class(kind: np.ndarray, classes: int, alone: int) -> Iterator[tuple[int | np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Rows by class: (class, its rows, None) of each class of ``alone`` rows and more; the others share matrix products.
+
+    Of those, classes with between 2**(k - 1) and 2**k - 1 rows come together, padded to the largest: (classes, their rows, which are real).
+    """
+    order = np.argsort(kind, kind="stable")
+    bounds = np.searchsorted(kind[order], np.arange(classes + 1))
+    size = np.diff(bounds)
+    for c in np.flatnonzero(size >= alone).tolist():
+        yield c, order[bounds[c] : bounds[c + 1]], None
+    bits = np.where(size < alone, np.frexp(size)[1], 0)
+    for k in range(1, int(bits.max(initial=0)) + 1):
+        c = np.flatnonzero(bits == k)
+        if len(c):
+            place = np.arange(int(size[c].max()))
+            real = place < size[c][:, None]
+            yield c, order[np.where(real, bounds[c][:, None] + place, 0)], real
+
+
 def log10_chances(weights: list[np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, lanes: int = 256, steps: int = 32) -> np.ndarray:
     """log10 chance of each token given those before it in its document."""
     _, _, class_w, class_b, member_w, member_b = weights
@@ -124,10 +144,7 @@ def log10_chances(weights: list[np.ndarray], ids: np.ndarray, first: np.ndarray,
         at, h = at[real], h[real]
         kind, member = np.divmod(laid.ids[at], members)
         p = _softmax(h @ class_w.T + class_b)[np.arange(len(at)), kind].astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(class_w) + 1))
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[c] : bounds[c + 1]]
+        for c, rows, _ in _by_class(kind, len(class_w), 1):
             p[rows] *= _softmax(h[rows] @ member_w[c].T + member_b[c])[np.arange(len(rows)), member[rows]]
         out[at] = np.log10(np.maximum(p, 1e-30))
     return out
@@ -157,17 +174,17 @@ def learn(weights: list[np.ndarray], ids: np.ndarray, first: np.ndarray, start:
         d *= scale
         back = d @ class_w
         class_grads = d.T @ flat, d.sum(axis=0)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(class_w) + 1))
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[c] : bounds[c + 1]]
+        for c, rows, some in _by_class(kind, len(class_w), ALONE):
             own = flat[rows]
-            d = _softmax(own @ member_w[c].T + member_b[c])
-            d[np.arange(len(rows)), member[rows]] -= 1
-            d *= scale
-            back[rows] += d @ member_w[c]
-            step(4, d.T @ own, c)
-            step(5, d.sum(axis=0), c)
+            d = _softmax(own @ member_w[c].swapaxes(-1, -2) + member_b[c][..., None, :])
+            d[(*np.indices(rows.shape, sparse=True), member[rows])] -= 1
+            d *= scale if some is None else np.where(some, scale, np.float32(0))[:, :, None]
+            if some is None:
+                back[rows] += d @ member_w[c]
+            else:
+                back[rows[some]] += (d @ member_w[c])[some]
+            step(4, d.swapaxes(-1, -2) @ own, c)
+            step(5, d.sum(axis=-2), c)
         step(2, class_grads[0])
         step(3, class_grads[1])
         outer = np.zeros_like(h)
