@@ -192,3 +192,12 @@ def test_empty_tables(spark):
     assert near_dedup.deduplicated(none).count() == 0
     assert substring_dedup.removals(none).count() == 0
     assert substring_dedup.deduplicated(none).count() == 0
+
+
+def test_columns_named_like_helpers_stay(spark):
+    text = data.prose(2, 80)
+    docs = data.plain(spark, [text, text, data.prose(3, 60)]).selectExpr("doc_id", "text", "doc_id as _rows", "'a' as _kept", "'b' as _cuts", "5 as _cut_id", "6 as _ROWS_")
+    left = near_dedup.deduplicated(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id, r._rows, r._kept) for r in left.collect()) == [(0, 0, "a"), (2, 2, "a")]
+    cut = substring_dedup.deduplicated(docs)
+    assert cut.columns == docs.columns and sorted((r.doc_id, r.text == "", r._cuts, r._cut_id) for r in cut.collect()) == [(0, False, "b", 5), (1, True, "b", 5), (2, False, "b", 5)]

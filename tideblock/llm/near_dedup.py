@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideblock.llm.frames import by_slice, components, texts
+from tideblock.llm.frames import by_slice, components, texts, unused
 from tideblock.llm.words import mix, shingles, words
 from tideblock.scratch import keep
 
@@ -151,10 +151,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) of the smallest id of each component, one row for each id. Rows without an id stay."""
-    found = keep(near_duplicates(docs, n=n, percent=percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(found.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id") == F.col("_kept")).drop("_kept")
-    once = rows.where("_rows = 1").drop("_rows")
-    several = rows.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
+    own, copies = unused(docs, "_kept"), unused(docs, "_rows")
+    found = keep(near_duplicates(docs, n=n, percent=percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    found = found.select(F.col("doc_id").alias(own), F.col("n").alias(copies))
+    rows = docs.join(found.hint("merge"), F.col("doc_id") == F.col(own)).drop(own)
+    once = rows.where(F.col(copies) == 1).drop(copies)
+    several = rows.where(F.col(copies) > 1).drop(copies).dropDuplicates(["doc_id"])
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 

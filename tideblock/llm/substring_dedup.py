@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideblock.llm.frames import by_slice, texts
+from tideblock.llm.frames import by_slice, texts, unused
 from tideblock.llm.words import Words, grams, mix, slices, words
 from tideblock.scratch import keep
 
@@ -378,9 +378,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     f = Found(texts(docs), window)
     copies = f.made.join(f.classes, "digest").where(f"doc_id > rep and n_words >= {window}").select("doc_id", "digest", F.sequence(F.lit(0).cast("long"), F.col("n_words") - window).alias("starts"))
     firsts = f.cuts.join(f.held.select("doc_id", "digest").distinct(), "doc_id").select("doc_id", "digest", "starts")
-    cuts = copies.unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")
+    cuts = copies.unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("cuts"))
+    own = unused(docs, "_cut_id")
+    cuts = cuts.select(F.col("doc_id").alias(own), F.col("cuts").alias(unused(docs, "_cuts")))
     columns = docs.columns
-    wide = docs.join(cuts.hint("merge"), F.col("doc_id").cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
+    wide = docs.join(cuts.hint("merge"), F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
     place = wide.columns.index("text")
     chars = wide.columns.index("n_chars") if "n_chars" in columns else None
 
