@@ -15,7 +15,7 @@ from test_groups_and_passages import SMALL, rows, sql
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tideblock.llm import decontaminate, packing, token_counts, top_k
-from tideblock.llm.frames import table
+from tideblock.llm.frames import Cache, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -208,3 +208,29 @@ def test_token_counts_of_rows(spark):
     assert got == sorted(((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in data.awkward()), key=lambda r: tuple((x is None, x) for x in r))
     assert token_counts.token_counts(data.documents(spark, [])).count() == 0
     assert packing.pieces(data.documents(spark, [])).count() == 0
+
+
+def test_caches_are_bounded_by_bytes():
+    held = Cache(limit=50_000)
+    for k in range(200):
+        keys = [f"{k} {i}" for i in range(20)] + ["often"]
+        assert held.get(keys, lambda fresh: [f.encode() * 5 for f in fresh]) == [key.encode() * 5 for key in keys]
+        for half, size in ((held.young, held.young_bytes), (held.old, held.old_bytes)):
+            assert sum(held._size(*pair) for pair in half.items()) == size <= held.limit
+    assert "often" in held.old
+
+
+def test_pieces_of_text_without_spaces_are_not_held():
+    """20,000 texts of one piece each, with the ids and counts of the tokenizer."""
+    r = random.Random(8)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(100)) for _ in range(20_000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    flat, bounds = packing.token_ids(pa.array(texts), path)
+    assert max(map(len, packing._known[path].young), default=0) <= Cache.LONGEST_KEY
+    for i in range(0, len(texts), 2000):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == Tokenizer.from_file(path).encode(texts[i], add_special_tokens=False).ids
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    few = texts[:200]
+    one = [int(token_counts.text_counts(pa.array([t]), path)[0]) for t in few]
+    assert token_counts.text_counts(pa.array(few), path).tolist() == one
+    assert max(map(len, token_counts._known[path].young), default=0) <= Cache.LONGEST_KEY

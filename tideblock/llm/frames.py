@@ -23,6 +23,14 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: st
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many signs as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_slice(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that calls ``work`` on slices of bounded text size (column ``text``)."""
 
@@ -39,28 +47,46 @@ def by_slice(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.Reco
 
 
 class Cache:
-    """Values by key for a task's process, in bounded memory: of a full half, only keys asked for again stay."""
+    """Values by key for a task's process, in bounded memory: of a full half, only keys asked for again stay.
+
+    A half holds at most ``limit`` bytes of keys and values, with ``ENTRY`` bytes counted for each pair's own upkeep. Keys of more than
+    ``LONGEST_KEY`` characters, such as whole paragraphs of scripts without spaces, seldom return and are never held.
+    """
+
+    ENTRY = 200
+    LONGEST_KEY = 64
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100 << 20):
         self.limit, self.young, self.old = limit, {}, {}
+        self.young_bytes = self.old_bytes = 0
+
+    def _size(self, key: str, value) -> int:
+        return self.ENTRY + 4 * len(key) + (len(value) if isinstance(value, bytes) else 8)
 
     def get(self, keys: list, compute: Callable[[list], Iterable]) -> list:
         """Values of distinct keys; ``compute`` gets those that are not held."""
         out = [self.old.get(k) for k in keys]
-        rest = [i for i, v in enumerate(out) if v is None]
         fresh = []
-        for i in rest:
+        for i in [i for i, v in enumerate(out) if v is None]:
             v = self.young.pop(keys[i], None)
             if v is None:
                 fresh.append(i)
             else:
-                out[i] = self.old[keys[i]] = v
+                out[i] = v
+                size = self._size(keys[i], v)
+                self.young_bytes -= size
+                if self.old_bytes + size > self.limit:
+                    self.old, self.old_bytes = {}, 0
+                self.old[keys[i]] = v
+                self.old_bytes += size
         for i, v in zip(fresh, compute([keys[i] for i in fresh]) if fresh else (), strict=True):
-            out[i] = self.young[keys[i]] = v
-        if len(self.young) > self.limit:
-            self.young.clear()
-        if len(self.old) > self.limit:
-            self.young, self.old = self.old, {}
+            out[i] = v
+            if len(keys[i]) <= self.LONGEST_KEY:
+                size = self._size(keys[i], v)
+                if self.young_bytes + size > self.limit:
+                    self.young, self.young_bytes = {}, 0
+                self.young[keys[i]] = v
+                self.young_bytes += size
         return out
 
 
