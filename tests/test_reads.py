@@ -66,7 +66,7 @@ def test_lookups_reduce_their_quotes_once_and_in_the_directions_asked(spark, tmp
 # The span of the runs, the fills, and one reduction of market, orders and decisions; for cohorts also the orders sent.
 @pytest.mark.parametrize(
     "name, most",
-    [("d34_order_match_quality", 5), ("d37_cohort_rates", 6), ("d32_fill_decomp", 5)],
+    [("d34_order_match_quality", 5), ("d37_cohort_rates", 6), ("d44_status_counts", 5), ("a14_scan_run_reports", 5), ("d32_fill_decomp", 5)],
 )
 def test_each_log_is_read_once(spark, written, name, most):
     df = all_queries()[name].build(spark, SMALL)
