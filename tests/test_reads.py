@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tideblock import scratch
+from tideblock.functions import quoting
 from tideblock.operators.asof import Ask, Source, asof, lookups
 from tideblock.plans import all_queries
 
@@ -71,3 +72,17 @@ def test_lookups_reduce_their_quotes_once_and_in_the_directions_asked(spark, tmp
 def test_each_log_is_read_once(spark, written, name, most):
     df = all_queries()[name].build(spark, SMALL)
     assert reads(written, df, SMALL) <= most
+
+
+def test_quotes_of_few_variants_carry_no_parameter_columns(spark, written):
+    out = plan(all_queries()["b14_quote_whatif"].build(spark, SMALL))
+    assert "p_pull_size_factor" not in out and "Generate" not in out
+    assert [label for label, _ in written].count("states") == 1
+
+
+def test_quotes_of_few_and_many_variants_agree(spark, monkeypatch):
+    few = all_queries()["b14_quote_whatif"].build(spark, SMALL)
+    monkeypatch.setattr(quoting, "FEW", 0)
+    many = all_queries()["b14_quote_whatif"].build(spark, SMALL)
+    assert few.columns == many.columns and few.count() == many.count() > 0
+    assert few.exceptAll(many).isEmpty()

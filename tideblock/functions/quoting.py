@@ -1,13 +1,19 @@
 """Stateless quoting rules: trigger flags and what-if quotes of a state row under a parameter row.
 
-Parameters live in columns (one row per variant, prefix ``p_``), so any number of variants is one projection.
+Parameters live in columns (prefix ``p_``): literals of a branch for a few variants, one row per variant for many.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideblock import scratch
+
+# Variants that get a branch each.
+FEW = 8
 # Parameter names and defaults of run configurations, in alphabetical order; None means "not set".
 PARAMETERS: dict[str, tuple[str, object]] = {
     "ask_size_factor_when_sv_neg": ("double", None),
@@ -67,7 +73,15 @@ def parameter_columns(**given: object) -> dict[str, Column]:
 
 
 def with_variants(states: DataFrame, variants: dict[str, dict[str, object]]) -> DataFrame:
-    """Every state row once per variant. The variants are a literal array, so no join takes place."""
+    """Every state row once per variant, with its parameters.
+
+    Up to ``FEW`` variants are branches over the written states: their parameters are literals, so the optimizer folds away the rules that a
+    variant leaves unused, and what is left is small enough for the JVM to compile. More variants are rows of a literal array.
+    """
+    if len(variants) <= FEW:
+        held = scratch.keep(states, "states") if len(variants) > 1 else states
+        own = [held.withColumns({"variant": F.lit(name), **parameter_columns(**given)}) for name, given in variants.items()]
+        return reduce(DataFrame.unionByName, own)
     rows = []
     for name, given in variants.items():
         rows.append(F.struct(F.lit(name).alias("variant"), *[c.alias(n) for n, c in parameter_columns(**given).items()]))

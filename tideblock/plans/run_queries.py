@@ -374,7 +374,7 @@ PARAMS = {
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
     """Quoting states from the ledgers of all runs."""
-    led = v.ledger(spark, sf)
+    led = v.ledger(spark, sf).select("run_id", *bl.BLOCK, "total_pnl", "mark_price", "position", "market_spread_bps", "abs_mid_ret", "signed_volume")
     imb = F.col("signed_volume") / 100
     return rn.drawdown(led).select(
         "run_id", "book_event_id", "block_ts_ms", F.col("mark_price").alias("mid"), "position", "drawdown", "market_spread_bps", "abs_mid_ret", "signed_volume",
