@@ -86,3 +86,9 @@ def test_quotes_of_few_and_many_variants_agree(spark, monkeypatch):
     many = all_queries()["b14_quote_whatif"].build(spark, SMALL)
     assert few.columns == many.columns and few.count() == many.count() > 0
     assert few.exceptAll(many).isEmpty()
+
+
+def test_flow_markout_reads_mids_fills_and_features_once(spark, written):
+    df = all_queries()["c12_d22_flow_markout"].build(spark, SMALL)
+    assert reads(written, df, SMALL) <= 3
+    assert [label for label, _ in written].count("instants") == 1

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tideblock import scratch
 from tideblock.functions import values as val
 from tideblock.operators import ordered, quantiles
-from tideblock.operators.asof import asof
+from tideblock.operators.asof import Ask, Source, lookups
 from tideblock.operators.blocks import BLOCK
 from tideblock.operators.research import guarded_corr
 
@@ -118,18 +118,15 @@ def fill_outcomes(fills: DataFrame, mids: DataFrame, horizons_ms: Sequence[int],
 
     Mid now is the last at or before the fill, the future mid the first at or after fill + horizon.
     """
-    quote = dict(quote_at="mid_ts_ms", payload=["mid"], ties=["mid_id"])
-    now = asof(fills.filter(F.col("side").isNotNull()), mids, keys, at="block_ts_ms", into="_now", **quote)
-    now = scratch.keep(now, "outcomes")
-    asked = now.withColumn("horizon_ms", F.explode(F.array(*[F.lit(int(h)).cast("bigint") for h in horizons_ms])))
-    hit = asof(
-        asked, mids, keys, at=F.col("block_ts_ms") + F.col("horizon_ms"), direction="forward", into="_future", **quote
-    )
+    at = F.col("block_ts_ms")
+    asks = {"_now": Ask("mid", at)} | {f"_in{h}": Ask("mid", at + int(h), "forward") for h in horizons_ms}
+    hit = lookups(fills.filter(F.col("side").isNotNull()), keys, asks, {"mid": Source(mids, "mid_ts_ms", ["mid"], ["mid_id"])})
+    each = F.array(*[F.struct(F.lit(int(h)).cast("bigint").alias("horizon_ms"), F.col(f"_in{h}.mid").alias("_future")) for h in horizons_ms])
     sign = F.when(F.col("side") == "buy", F.lit(1.0)).otherwise(F.lit(-1.0))
-    return hit.withColumns(
+    return hit.select(*fills.columns, "_now", F.inline(each)).withColumns(
         {
-            "markout": sign * (F.col("_future.mid") - F.col("_now.mid")),
-            "realized_spread": sign * (F.col("_future.mid") - F.col("price")),
+            "markout": sign * (F.col("_future") - F.col("_now.mid")),
+            "realized_spread": sign * (F.col("_future") - F.col("price")),
         }
     ).drop("_now", "_future")
 
@@ -235,6 +232,8 @@ def flow_markout(
         *keys, block, "block_ts_ms", F.col(feature).cast("double").alias("_x")
     )
     lookup = known.groupBy(*keys, block).agg(F.max_by("_x", "block_ts_ms").alias("_x"))
+    if threshold is None:
+        lookup = scratch.keep(lookup, "features")  # read by the quantile and by the join
     rows = outcomes.filter(F.col("markout").isNotNull()).join(lookup, [*keys, block])
     if threshold is not None:
         rows = rows.withColumn("threshold", F.lit(float(threshold)))
