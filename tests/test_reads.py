@@ -8,6 +8,7 @@ from tideblock import scratch
 from tideblock.functions import quoting
 from tideblock.operators.asof import Ask, Source, asof, lookups
 from tideblock.plans import all_queries
+from tideblock.sources import events as ev
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -92,3 +93,12 @@ def test_flow_markout_reads_mids_fills_and_features_once(spark, written):
     df = all_queries()["c12_d22_flow_markout"].build(spark, SMALL)
     assert reads(written, df, SMALL) <= 3
     assert [label for label, _ in written].count("instants") == 1
+
+
+def test_scanned_rows_are_spread_before_they_are_sorted_for_deduplication(spark):
+    rows = spark.createDataFrame([(f"k{i % 7}", i, 1000 - i, "f", f"e{i}") for i in range(1000)], "dedupe_key string, line bigint, recv_ts_ms bigint, source_file string, event_id string")
+    out = ev.dedupe(rows.coalesce(1))  # one file that can't be split
+    lines = plan(out).splitlines()
+    first_sort = max(i for i, text in enumerate(lines) if "Sort [" in text)
+    assert any("Exchange hashpartitioning(line" in text for text in lines[first_sort:])
+    assert {(r.dedupe_key, r.line) for r in out.collect()} == {(f"k{i % 7}", i) for i in range(993, 1000)}
