@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tideblock.llm import recurrent
 from tideblock.llm.frames import added, learned, remainder, texts
-from tideblock.llm.words import mix, slices, words
+from tideblock.llm.words import Words, mix, slices, words
 from tideblock.scratch import keep
 
 CLASSES = MEMBERS = 64
@@ -29,6 +29,7 @@ FREQUENT = 1 << 18
 WARM_TEXTS = 2000
 FLUSH = 1 << 21
 SLICE_BYTES = 6 << 20
+HASHED = 1 << 13
 END = np.uint64(0x0DDC0FFEEBADF00D)
 
 
@@ -39,7 +40,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(int(first[-1]), END, np.uint64)
     inside = np.ones(len(out), bool)
     inside[first[1:] - 1] = False
-    out[inside] = w.hashes()
+    # Few words at a time: hashing takes eight bytes and more for each of their bytes, which then stay in a core's cache.
+    some = [slice(low, low + HASHED) for low in range(0, len(w.start), HASHED)]
+    out[inside] = np.concatenate([Words(w.raw, w.start[i], w.end[i], w.first).hashes() for i in some] or [w.start.view(np.uint64)[:0]])
     return out, first
 
 
@@ -125,8 +128,7 @@ def _texts_of(batches) -> Iterator[pa.Array]:
 
 def _trained(weights: list[np.ndarray], known: Known, column: pa.Array, memory: list[np.ndarray]) -> int:
     token, first = tokens(column)
-    unique, index = np.unique(token, return_inverse=True)
-    recurrent.learn(weights, known.ids(unique)[index], first, known.start(), memory)
+    recurrent.learn(weights, known.ids(token), first, known.start(), memory)
     return len(token)
 
 
