@@ -6,6 +6,7 @@ import itertools
 import math
 import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tideblock.llm import language_id, lm_score, quality, recurrent, toxicity
+from tideblock.llm import language_id, lm_score, quality, recurrent, toxicity, words
 from tideblock.llm.frames import Cache, table
 from tideblock.llm.ftrl import Learner, chances
 
@@ -154,6 +155,22 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.scores(data.documents(spark, []), labels(spark)).count() == 0
 
 
+def test_words_are_hashed_few_at_a_time_and_alike():
+    column = pa.array([t for _, t, *_ in data.awkward()] + [data.prose(k, 3000) for k in range(100)])
+    lm_score.tokens(column)
+    tracemalloc.start()
+    try:
+        token, first = lm_score.tokens(column)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    w = words.words(column)
+    assert peak < 14 * len(w.raw)  # 10, and 29 with all hashed at once
+    ends = np.zeros(len(token), bool)
+    ends[first[1:] - 1] = True
+    assert (token[ends] == lm_score.END).all() and (token[~ends] == w.hashes()).all()
+
+
 def test_chances_of_all_words_sum_to_one():
     r = np.random.default_rng(2)
     weights = [r.normal(0, 0.5, s).astype(np.float32) for s in recurrent.shapes(4, 5)]
