@@ -75,6 +75,31 @@ def test_each_log_is_read_once(spark, written, name, most):
     assert reads(written, df, SMALL) <= most
 
 
+# The span of the runs, the fills, and the logs that the measures need.
+@pytest.mark.parametrize("name, most", [("d32_fill_decomp", 4)])
+def test_fills_are_joined_to_the_logs_they_need_by_a_hashed_reduction(spark, written, name, most):
+    df = all_queries()[name].build(spark, SMALL)
+    assert reads(written, df, SMALL) <= most
+    assert "HashAggregate" in dict(written)["instants"] and "SortAggregate" not in dict(written)["instants"]
+
+
+def test_sources_without_a_further_key_share_their_instants(spark, tmp_path, written):
+    quotes = _quotes(spark, f"{tmp_path}/quotes")
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", 5, "0"), ("a", 9, None)], "k string, at bigint, side string")
+    ties = quotes.select("k", F.lit(4).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("id"), F.lit(-1.0).alias("x"))
+    sources = {"q": Source(quotes.unionByName(ties), "t", ["x"], ["id"]), "p": Source(quotes, "t", ["id"], ["id"]), "s": Source(quotes, "t", ["x"], ["id"], F.col("id"))}
+    asks = {"q": Ask("q", F.col("at")), "next": Ask("q", F.col("at") - 1, "forward"), "p": Ask("p", F.col("at")), "s": Ask("s", F.col("at"), extra=F.col("side"))}
+    out = {r.at: r for r in lookups(rows, ["k"], asks, sources, 4).collect()}
+    assert [label for label, _ in written] == ["probes", "instants", "instants"]
+    # A tie without a number counts as the smallest: the last of an instant never, the first always.
+    assert (out[5].q.x, out[5].p.id, out[5].s.asDict()) == (4.0, 1, {"x": 0.0, "at_ms": 0})
+    assert (out[5].next.x, out[9].q.x, out[9].s) == (-1.0, 8.0, None)
+    with pytest.raises(ValueError):
+        lookups(rows, ["k"], {"s": Ask("s", F.col("at"))}, sources)
+
+
 def test_quotes_of_few_variants_carry_no_parameter_columns(spark, written):
     out = plan(all_queries()["b14_quote_whatif"].build(spark, SMALL))
     assert "p_pull_size_factor" not in out and "Generate" not in out
