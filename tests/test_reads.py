@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from tideblock import scratch
@@ -35,6 +37,12 @@ def reads(plans, df, folder: str) -> int:
     return sum(p.count(f"{folder}/events.parquet") for _, p in plans) + plan(df).count(f"{folder}/events.parquet")
 
 
+def _paths(spark, *labels):
+    """The last written table of each label."""
+    folder = Path(scratch.folder(spark))
+    return [str(max(folder.glob(f"{label}-*"), key=lambda p: p.stat().st_mtime_ns)) for label in labels]
+
+
 def _quotes(spark, path):
     rows = [("a", t, t % 3, float(t)) for t in range(0, 50, 2)]
     spark.createDataFrame(rows, "k string, t bigint, id bigint, x double").write.parquet(path)
@@ -76,11 +84,18 @@ def test_each_log_is_read_once(spark, written, name, most):
 
 
 # The span of the runs, the fills, and the logs that the measures need.
-@pytest.mark.parametrize("name, most", [("d32_fill_decomp", 4)])
+@pytest.mark.parametrize("name, most", [("d32_fill_decomp", 4), ("d37_cohort_stats_by_bucket", 4)])
 def test_fills_are_joined_to_the_logs_they_need_by_a_hashed_reduction(spark, written, name, most):
     df = all_queries()[name].build(spark, SMALL)
     assert reads(written, df, SMALL) <= most
-    assert "HashAggregate" in dict(written)["instants"] and "SortAggregate" not in dict(written)["instants"]
+    assert "HashAggregate" in (reduced := next(p for label, p in written if label == "instants")) and "SortAggregate" not in reduced
+
+
+def test_fills_are_counted_once_for_all_cohort_flags(spark, written):
+    all_queries()["d37_cohort_stats_by_bucket"].build(spark, SMALL)
+    fills, counted = [spark.read.parquet(p) for p in _paths(spark, "fills", "chunks")]
+    matched = fills.filter("order_match = 'matched' AND edge_bps IS NOT NULL").count()
+    assert 0 < counted.selectExpr("sum(_n)").first()[0] <= 2 * matched
 
 
 def test_sources_without_a_further_key_share_their_instants(spark, tmp_path, written):
