@@ -84,7 +84,7 @@ def test_each_log_is_read_once(spark, written, name, most):
 
 
 # The span of the runs, the fills, and the logs that the measures need.
-@pytest.mark.parametrize("name, most", [("d32_fill_decomp", 4), ("d37_cohort_stats_by_bucket", 4)])
+@pytest.mark.parametrize("name, most", [("d32_fill_decomp", 4), ("d37_cohort_stats_by_bucket", 4), ("d28_d29_fill_edge_stats", 3)])
 def test_fills_are_joined_to_the_logs_they_need_by_a_hashed_reduction(spark, written, name, most):
     df = all_queries()[name].build(spark, SMALL)
     assert reads(written, df, SMALL) <= most
