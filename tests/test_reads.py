@@ -91,6 +91,34 @@ def test_fills_are_joined_to_the_logs_they_need_by_a_hashed_reduction(spark, wri
     assert "HashAggregate" in (reduced := next(p for label, p in written if label == "instants")) and "SortAggregate" not in reduced
 
 
+def test_fills_are_parsed_once_and_written_with_what_edges_read(spark, written):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")  # the runs' spans are smaller, the logs are not
+    try:
+        df = all_queries()["d28_d29_fill_edge_stats"].build(spark, SMALL)
+    finally:
+        spark.conf.set(name, before)
+    probes = dict(written)["probes"]
+    assert "SortMergeJoin" not in probes and probes.count("get_json_object") == 1
+    columns = [set(spark.read.parquet(p).columns) for p in _paths(spark, "probes", "instants")]
+    assert columns[0] == {"run_id", "time", "ts_ms", "side", "px", "sz", "fee", "out_of_run"}
+    assert columns[1] == {"run_id", "_t", "_is_mid", "_probe", "_mid_0_backward", "_bucket"}
+    assert "_row" not in dict(written)["chunks"] and df.count() > 0
+
+
+def test_one_question_is_joined_back_by_instant(spark, tmp_path, written):
+    quotes = _quotes(spark, f"{tmp_path}/quotes")
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, "a", 5, "1"), (1, "a", 5, "1"), (2, "a", None, "1"), (3, "a", 5, None), (4, "b", 5, "1")], "i int, k string, at bigint, side string")
+    one = lookups(rows, ["k"], {"q": Ask("q", F.col("at"))}, {"q": Source(quotes, "t", ["x"], ["id"])}, 4)
+    assert "_row" not in plan(one) and one.columns == ["i", "k", "at", "side", "q"]
+    assert {r.i: r.q and r.q.x for r in one.collect()} == {0: 4.0, 1: 4.0, 2: None, 3: 4.0, 4: None}
+    keyed = lookups(rows, ["k"], {"q": Ask("q", F.col("at"), extra=F.col("side"))}, {"q": Source(quotes, "t", ["x"], ["id"], F.col("id"))}, 4)
+    assert {r.i: r.q and r.q.x for r in keyed.collect()} == {0: 4.0, 1: 4.0, 2: None, 3: None, 4: None}
+
+
 def test_fills_are_counted_once_for_all_cohort_flags(spark, written):
     all_queries()["d37_cohort_stats_by_bucket"].build(spark, SMALL)
     fills, counted = [spark.read.parquet(p) for p in _paths(spark, "fills", "chunks")]
